@@ -17,18 +17,6 @@ from pyspark.sql import types as T
 SLICE_BYTES = 2 << 20
 
 
-def column(df: DataFrame, name: str):
-    """The column of exactly this name, also when others differ from it in case only."""
-    exact = [i for i, c in enumerate(df.columns) if c == name]
-    same = [c for c in df.columns if c.lower() == name.lower()]
-    if len(same) == 1 and exact:
-        return df[f"`{name}`"]
-    if not exact:
-        raise ValueError(f"no column {name!r} in {df.columns}")
-    renamed = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    raise ValueError(f"column {name!r} is ambiguous among {same}; rename with project() first: {renamed.columns}")
-
-
 def project(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, as out=in, picked by position: further columns may clash with them in any way."""
     at = {}
@@ -76,6 +64,13 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[first : first + int(starts[-1])], starts
 
 
+def encoded(array: pa.Array) -> list[bytes]:
+    """The values in UTF-8; null is empty."""
+    raw, at = utf8(array)
+    whole, at = raw.tobytes(), at.tolist()
+    return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def strings(array: pa.Array) -> list[str]:
     return [x or "" for x in array.to_pylist()]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstream.llm import media, pieces
+from inkstream.llm import decontaminate, media, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +32,15 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found)
+
+
 QUERIES: dict[str, Query] = {
     "op1_media_jpeg": op1_media_jpeg,
     "op3_sentencepiece": op3_sentencepiece,
+    "op7_decontaminate": op7_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
