@@ -6,8 +6,9 @@ import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkstream.llm import decontaminate, media, pieces
+from inkstream.llm import decontaminate, media, pieces, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,10 +38,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, bits=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_media_jpeg": op1_media_jpeg,
     "op3_sentencepiece": op3_sentencepiece,
     "op7_decontaminate": op7_decontaminate,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
