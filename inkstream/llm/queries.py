@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import decontaminate, media, pieces, quality, secrets, simhash
+from inkstream.llm import archives, decontaminate, media, pieces, quality, secrets, shards, simhash, token_counts
+
+#: Byte limit of a shard.
+SHARD_BYTES = 1 << 20
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,10 +32,27 @@ def op1_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(stored, n_bytes="n_bytes")
 
 
+def op2_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign_shards(read(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    kind = dict(pages.dtypes)["page_id"]
+    back = archives.read_archives(archives.write_archives(pages, least=0))
+    return back.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.section_tokens(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), rule="first")
+    counts = F.transform("sections", lambda s: s["tokens"])
+    return found.select("doc_id", "n_tokens", F.size("sections").cast("long").alias("n_sections"), "n_crossing", F.array_max(counts).alias("most_tokens"), F.sha2(F.array_join(counts.cast("array<string>"), ","), 256).alias("section_tokens_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
@@ -56,7 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_media_jpeg": op1_media_jpeg,
+    "op2_extendible_hashing": op2_extendible_hashing,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_arc_to_warc": op4_arc_to_warc,
+    "op5_section_tokens": op5_section_tokens,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
