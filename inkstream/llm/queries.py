@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.llm import archives, decontaminate, media, pieces, quality, secrets, shards, simhash, token_counts
+from inkstream.llm import archives, decontaminate, media, pieces, quality, repeats, secrets, shards, simhash, token_counts
 
 #: Byte limit of a shard.
 SHARD_BYTES = 1 << 20
@@ -53,6 +53,12 @@ def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.size("sections").cast("long").alias("n_sections"), "n_crossing", F.array_max(counts).alias("most_tokens"), F.sha2(F.array_join(counts.cast("array<string>"), ","), 256).alias("section_tokens_sha256"))
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents"), length=200)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
@@ -80,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_arc_to_warc": op4_arc_to_warc,
     "op5_section_tokens": op5_section_tokens,
+    "op6_suffix_repeats": op6_suffix_repeats,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
