@@ -138,7 +138,7 @@ def mask_secrets(df: DataFrame, text: str = "text", owner: str = "source", repo:
     names = df.columns
     at = {k: names.index(v) for k, v in (("text", text), ("owner", owner), ("repo", repo))}
     flat = df.toDF(*[f"_c{i}" for i in range(len(names))])
-    body = f"_c{at['text']}"
+    body, inner = f"_c{at['text']}", flat.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in flat.dtypes)
 
     def kernel(batch: pa.RecordBatch) -> dict:
@@ -155,8 +155,8 @@ def mask_secrets(df: DataFrame, text: str = "text", owner: str = "source", repo:
                 mask(t, [(s["start"], s["stop"], s["kind"]) for s in spans if s["kind"] < 3 or not s["shared"]])
                 for t, spans in zip(strings(batch.column(body)), batch.column("judged").to_pylist(), strict=True)
             ]
-            columns = [pa.array(texts, batch.schema.field(body).type) if c == body else batch.column(c) for c in flat.columns]
-            yield pa.RecordBatch.from_arrays(columns, names=flat.columns)
+            columns = [pa.array(texts, batch.schema.field(body).type) if c == body else batch.column(c) for c in inner]
+            yield pa.RecordBatch.from_arrays(columns, names=inner)
 
     clean = found.filter(F.size("spans") == 0).drop("spans")
     return clean.unionByName(met.mapInArrow(hide, flat.schema)).toDF(*names)

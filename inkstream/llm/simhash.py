@@ -8,6 +8,11 @@ in full. So all pairs of at most `bits` differing bits are found, without compar
 
 A shard returns a spanning forest of its links, not all pairs; connected components are then taken over all shards.
 
+A radius of `bits` finds copies with small changes. At a similarity of 0.8 fingerprints differ in about 10 of 64 bits,
+which is within the spread of unrelated ones (32 +- 4) as far as the triangle bounds go: trees then prune nothing and
+compare all with all. So `similar_documents` adds a second source of candidates for that, MinHash bands over the same
+shingle hashes, and checks each of those links by the exact similarity of the shingle sets.
+
 Null and empty texts have the fingerprint zero, which is linked like any other. Fewer words than a shingle has count
 as one shingle. Repeated rows share a fingerprint. Null ids never become a component's name.
 """
@@ -23,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import encoded, map_slices, project, settle
+from inkstream.llm.common import encoded, map_slices, project, settle, text_slices, with_row_key
 from inkstream.llm.components import stars
 
 #: Fingerprints the top tree is built from, those with the smallest hashes; this bounds what the driver holds.
@@ -32,6 +37,8 @@ SAMPLE = 16_384
 SHARD, SAMPLED_LEAF = 4_096, 16
 #: Points compared in full.
 BLOCK = 512
+#: MinHash values, and how many of them make a band: at similarity 0.8 all bands miss with probability 0.002.
+BINS, BAND = 126, 6
 
 
 def shingle_hashes(text: bytes, words: int) -> list[int]:
@@ -49,10 +56,14 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
 
 
 def fingerprints_of(texts: list[bytes], words: int) -> np.ndarray:
-    """SimHash of each text: a bit is 1 if set in over half of the shingle hashes."""
-    lists = [shingle_hashes(t, words) for t in texts]
+    """SimHash of each text."""
+    return fold([shingle_hashes(t, words) for t in texts])
+
+
+def fold(lists: list[list[int]]) -> np.ndarray:
+    """SimHash of each list of hashes: a bit is 1 if set in over half of them."""
     size = np.array([len(x) for x in lists], np.int64)
-    out = np.zeros((len(texts), 64), np.uint8)
+    out = np.zeros((len(lists), 64), np.uint8)
     full = np.flatnonzero(size)
     if len(full):
         flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint64, int(size.sum()))
@@ -234,3 +245,103 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     classes = settle(named.join(least, "root").select("fp", "component"), "fingerprint-classes")
     return prints.join(classes, "fp").select(F.col("key").alias(key), "fp", "component")
+
+
+def sketches(lists: list[list[int]]) -> np.ndarray:
+    """One-permutation MinHash of each list of hashes: BINS values, empty bins filled from the next full one."""
+    size = np.array([len(x) for x in lists], np.int64)
+    flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint64, int(size.sum()))
+    spread = flat * np.uint64(0x9E3779B97F4A7C15)
+    spread ^= spread >> np.uint64(32)
+    owner = np.repeat(np.arange(len(lists)), size) * BINS
+    out = np.full(len(lists) * BINS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(out, owner + (spread % np.uint64(BINS)).astype(np.int64), spread)
+    out = out.reshape(-1, BINS)
+    twice = np.concatenate([out, out], axis=1)
+    full = twice != np.iinfo(np.uint64).max
+    place = np.where(full, np.arange(2 * BINS), 4 * BINS)
+    nearest = np.minimum(np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :BINS], 2 * BINS - 1)
+    away = (nearest - np.arange(BINS)).astype(np.uint64)
+    return np.take_along_axis(twice, nearest, axis=1) + away * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _band_keys(values: np.ndarray) -> np.ndarray:
+    """One number for each band of each sketch."""
+    parts = values.reshape(len(values), BINS // BAND, BAND)
+    keys = np.broadcast_to(np.arange(BINS // BAND, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(BAND):
+        keys = (keys ^ parts[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def _described(rows: DataFrame, words: int) -> DataFrame:
+    """_row, copy (a digest of the words in order), fp and band keys."""
+
+    def kernel(batch: pa.RecordBatch) -> dict:
+        texts = encoded(batch.column("text"))
+        lists = [shingle_hashes(t, words) for t in texts]
+        return {
+            "_row": batch.column("_row"),
+            "copy": [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts],
+            "fp": fold(lists).view(np.int64),
+            "bands": list(_band_keys(sketches(lists)).view(np.int64)),
+        }
+
+    return map_slices(rows, kernel, "_row long, copy binary, fp long, bands array<long>", limit=1 << 20)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs (u, v) of rows those whose sets of shingles are similar enough."""
+
+    def sets(batch: pa.RecordBatch) -> dict:
+        lists = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in encoded(batch.column("text"))]
+        return {"_row": batch.column("_row"), "hashes": lists}
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "left"):
+            good = []
+            for a, b in zip(batch.column("left"), batch.column("right"), strict=True):
+                x, y = (np.frombuffer(h.as_buffer(), np.uint64) for h in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
+    known = settle(map_slices(rows.join(asked, "_row", "left_semi").select("_row", "text"), sets, "_row long, hashes binary", limit=1 << 20), "shingle-sets")
+    met = pairs.join(known.select(F.col("_row").alias("u"), F.col("hashes").alias("left")), "u").join(known.select(F.col("_row").alias("v"), F.col("hashes").alias("right")), "v")
+    return met.mapInArrow(compare, "u long, v long")
+
+
+def similar_documents(rows: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
+    """(_row, least): each row in a group of similar ones, but its smallest, with that smallest; rows has _row and text.
+
+    Copies count once. Links come from fingerprints of at most `bits` differing bits, and from pairs of at least the
+    similarity among the candidates that share a band. In each band every text meets the band's first in an order of
+    the band's own, so a text meets up to BINS / BAND others and no group emits all its pairs.
+    """
+    told = settle(_described(rows, words), "near-described")
+    texts = settle(told.groupBy("copy").agg(F.min("_row").alias("one"), F.first("fp").alias("fp"), F.min_by("bands", "_row").alias("bands")), "near-texts")
+    by_print = texts.groupBy("fp").agg(F.min("one").alias("one"))
+    tree = links(settle(by_print, "near-prints"), bits)
+    prints = by_print.select("fp", "one")
+    near = tree.join(prints.select(F.col("fp").alias("u"), F.col("one").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("one").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = texts.join(prints.select("fp", F.col("one").alias("v")), "fp").select(F.col("one").alias("u"), "v").filter("u <> v")
+    banded = texts.select("one", F.explode("bands").alias("band"))
+    crowd = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("one", "band").alias("h"), "one")).alias("first")).filter("n > 1").select("band", "first.one")
+    crowd = settle(crowd.withColumnRenamed("one", "v"), "near-bands")
+    pairs = banded.join(crowd, "band").filter("one <> v").select(F.greatest("one", "v").alias("u"), F.least("one", "v").alias("v")).distinct()
+    good = _verified(settle(pairs, "near-pairs"), rows, words, similarity)
+    copies = told.join(texts.select("copy", F.col("one").alias("v")), "copy").select(F.col("_row").alias("u"), "v").filter("u <> v")
+    star = stars(near.unionByName(same).unionByName(good), "near-links")
+    moved = copies.join(star.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select(F.col("u").alias("_row"), F.coalesce("root", "v").alias("least"))
+    return moved.unionByName(star.select(F.col("u").alias("_row"), F.col("v").alias("least")))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
+    """The rows without all but the smallest of each group of similar texts; columns as given."""
+    names = df.columns
+    flat = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    rows = with_row_key(flat, f"_c{names.index(key)}")
+    found = similar_documents(rows.select("_row", F.col(f"_c{names.index(text)}").alias("text")), words, similarity, bits)
+    return rows.join(settle(found.select("_row"), "near-removed"), "_row", "left_anti").drop("_row").toDF(*names)
