@@ -1,4 +1,6 @@
 """All registered queries of the library, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from inkstream.plans import page_queries, parsed_queries, scalar_queries, store_queries  # noqa: F401
+from inkstream.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
