@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Text bytes that one step of a Python kernel holds; a longer single text is a step of its own.
 SLICE_BYTES = 2 << 20
+#: Rows that Spark hands to Python at once. Texts may be long, so the default of 10,000 could be gigabytes.
+BATCH_ROWS = 256
 
 
 def project(df: DataFrame, **wanted: str) -> DataFrame:
@@ -76,9 +78,10 @@ def strings(array: pa.Array) -> list[str]:
 
 
 def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema: T.StructType | str, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
-    """kernel: bounded slice -> its output columns by name. No shuffle."""
+    """kernel: bounded slice -> its output columns by name. No shuffle. Lowers the session's Arrow batch size."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bound_batches(df.sparkSession)
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(schema)
@@ -91,6 +94,12 @@ def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema:
     return df.mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
