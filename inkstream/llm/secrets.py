@@ -101,6 +101,10 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", owner:
     return found.select("_row", "key").join(judged, "_row", "left").select(F.col("key").alias(key), F.coalesce(kept, none).alias("judged"))
 
 
+def _of_kind(kind: int):
+    return lambda s: s["kind"] == kind
+
+
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts by kind, the digest of the base spans, all spans as text, and how many values look live or are shared."""
     name = F.array(*map(F.lit, KINDS))
@@ -109,7 +113,7 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     n = lambda test: F.size(F.filter("judged", test)).cast("long")
     return scanned.select(
         key,
-        *[n(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(4)],
+        *[n(_of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(4)],
         F.sha2(words(base), 256).alias("base_sha256"),
         words(F.col("judged")).alias("spans"),
         n(lambda s: ~s["shared"]).alias("n_owner_specific"),
@@ -130,8 +134,9 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def mask_secrets(df: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id", live_owners: int = LIVE_OWNERS) -> DataFrame:
-    """The rows with base spans and live strings masked in the text; columns as given.
+def mask_secrets(df: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id", live_owners: int = LIVE_OWNERS, length: str | None = None) -> DataFrame:
+    """The rows with base spans and live strings masked in the text; columns as given. The column `length`, if one is
+    named, gets the masked text's length in characters.
 
     Texts without candidates pass straight through; only the others are written and meet the counts.
     """
@@ -159,4 +164,8 @@ def mask_secrets(df: DataFrame, text: str = "text", owner: str = "source", repo:
             yield pa.RecordBatch.from_arrays(columns, names=inner)
 
     clean = found.filter(F.size("spans") == 0).drop("spans")
-    return clean.unionByName(met.mapInArrow(hide, flat.schema)).toDF(*names)
+    hidden = met.mapInArrow(hide, flat.schema)
+    if length:
+        n = f"_c{names.index(length)}"
+        hidden = hidden.withColumn(n, F.length(body).cast(dict(flat.dtypes)[n]))
+    return clean.unionByName(hidden).toDF(*names)
