@@ -203,3 +203,25 @@ def shortest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B3, B7, I4."""
     return read(spark, sf_dir, "supplier").select("s_suppkey", F.to_json(F.struct(F.col("s_name").alias("name"), F.round("s_acctbal").cast("long").alias("balance"))).alias("json"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '1 Main Street North' WHEN 1 THEN '22 Oak Avenue' ELSE '3 Rue' END AS street_address, CASE c_custkey % 3 WHEN 1 THEN 'Apt 5' END AS extended_address,
+CASE c_custkey % 4 WHEN 0 THEN 'California' WHEN 1 THEN 'Ontario' WHEN 2 THEN 'Bavaria' ELSE 'British Columbia' END AS region, CASE c_custkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'CA' WHEN 3 THEN 'CA' END AS country,
+CASE WHEN c_custkey % 2 = 0 THEN 'one' ELSE 'forty-four' END AS calling, CASE WHEN c_custkey % 2 = 0 THEN 'Toronto' END AS locality FROM customer""")
+def scrubbed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8, D9, I93, I95, I96, I98."""
+    from inkstream.operators import contacts
+
+    k = F.col("c_custkey")
+    found = contacts.address(
+        {
+            "street-address": F.when(k % 3 == 0, "1 Main St. N").when(k % 3 == 1, "22 Oak Ave\n Apt 5").otherwise("3 Rue"),
+            "region": F.when(k % 4 == 0, "ca").when(k % 4 == 2, "Bavaria").otherwise(""),
+            "postal-code": F.when(k % 4 == 1, "m5v 1a1").when(k % 4 == 3, "V6B 1A1").otherwise("90210"),
+            "country-name": F.lit(""),
+        }
+    )
+    c = read(spark, sf_dir, "customer").select("c_custkey", *[v.alias(n) for n, v in found.items() if n != "postal_code"], F.when(k % 2 == 0, "+1 (416) 555-0000").otherwise("+44 20 7946 0000").alias("phone"))
+    calling = spark.createDataFrame([("1", "one"), ("44", "forty-four")], "code string, country string")
+    areas = spark.createDataFrame([("416", "Toronto")], "code string, locality string")
+    return contacts.phone_places(c.withColumnRenamed("country", "_country"), calling, areas, "phone").withColumnsRenamed({"country": "calling", "_country": "country"}).drop("phone")
