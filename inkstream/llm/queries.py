@@ -93,4 +93,30 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: SQL for the queries that it can express on whole tables. The others are held against brute force in tests: JPEG
+#: coding, merges of pieces and XXH64 have no SQL form, byte windows of whole texts are too slow there.
+ORACLE_SQL: dict[str, str] = {
+    "op2_extendible_hashing": f"""
+WITH h AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+    lpad(bin(CAST('0x' || substr(md5(coalesce(source, '')), 1, 4) AS BIGINT)), 16, '0') || lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10) AS BIGINT)), 40, '0') AS bits FROM documents),
+p AS (SELECT doc_id, n_bytes, d, substr(bits, 1, d) AS shard FROM h, (SELECT unnest(generate_series(0, 56)) AS d)),
+s AS (SELECT d, shard, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY d, shard),
+f AS (SELECT p.*, shard_bytes, shard_rows FROM p JOIN s USING (d, shard) WHERE shard_bytes <= {SHARD_BYTES} OR d = 56 QUALIFY d = min(d) OVER (PARTITION BY doc_id))
+SELECT doc_id, n_bytes, shard, CAST(d AS BIGINT) AS depth, shard_bytes, shard_rows, shard_bytes <= {SHARD_BYTES} AS fits FROM f""",
+    "op4_arc_to_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages), h AS (SELECT *, sha1(html) AS h FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, i // 4 * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM h""",
+    "op7_decontaminate": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT item, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM (SELECT item, w, least(len(w), 10) AS n FROM b) WHERE n > 0)),
+dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, k, n, item FROM dw JOIN bw USING (n, win)),
+hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS pos FROM m) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+}
