@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 SLICE_BYTES = 2 << 20
 #: Rows that Spark hands to Python at once. Texts may be long, so the default of 10,000 could be gigabytes.
 BATCH_ROWS = 256
+#: Rows of numbers (some 20 bytes each) that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def project(df: DataFrame, **wanted: str) -> DataFrame:
@@ -122,6 +124,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled table of row numbers, to be broadcast if it has few rows; else its join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of steps whose results are written."""
     gc.collect()

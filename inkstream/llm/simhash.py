@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import encoded, map_slices, project, settle, text_slices, with_row_key
+from inkstream.llm.common import encoded, map_slices, project, settle, sized, text_slices, with_row_key
 from inkstream.llm.components import stars
 
 #: Fingerprints the top tree is built from, those with the smallest hashes; this bounds what the driver holds.
@@ -307,8 +307,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float)
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct()
-    known = settle(map_slices(rows.join(asked, "_row", "left_semi").select("_row", "text"), sets, "_row long, hashes binary", limit=1 << 20), "shingle-sets")
+    asked = settle(pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct(), "near-asked")
+    known = settle(map_slices(rows.join(sized(asked), "_row", "left_semi").select("_row", "text"), sets, "_row long, hashes binary", limit=1 << 20), "shingle-sets")
     met = pairs.join(known.select(F.col("_row").alias("u"), F.col("hashes").alias("left")), "u").join(known.select(F.col("_row").alias("v"), F.col("hashes").alias("right")), "v")
     return met.mapInArrow(compare, "u long, v long")
 
@@ -344,4 +344,4 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     flat = df.toDF(*[f"_c{i}" for i in range(len(names))])
     rows = with_row_key(flat, f"_c{names.index(key)}")
     found = similar_documents(rows.select("_row", F.col(f"_c{names.index(text)}").alias("text")), words, similarity, bits)
-    return rows.join(settle(found.select("_row"), "near-removed"), "_row", "left_anti").drop("_row").toDF(*names)
+    return rows.join(sized(settle(found.select("_row"), "near-removed")), "_row", "left_anti").drop("_row").toDF(*names)
