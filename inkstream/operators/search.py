@@ -59,10 +59,10 @@ def bm25(docs: DataFrame, query: str, key: str, field: str) -> DataFrame:
     aggregate joined as a single row.
     """
     words = sorted({w for w in query.lower().split() if w})
-    tokens = F.filter(F.split(F.lower(F.coalesce(F.col(field), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    tokens = F.array_remove(F.split(F.lower(F.coalesce(F.col(field), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     sized = docs.select(F.col(key), tokens.alias("w")).select(key, F.size("w").alias("len"), "w")
     totals = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    each = F.array(*[F.struct(F.lit(w).alias("term"), F.size(F.filter("w", _equals(w))).alias("tf")) for w in words])
+    each = F.array(*[F.struct(F.lit(w).alias("term"), (F.size("w") - F.size(F.array_remove("w", w))).alias("tf")) for w in words])
     hits = sized.select(key, "len", F.explode(each).alias("t")).select(key, "len", "t.term", "t.tf").filter("tf > 0")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -71,10 +71,6 @@ def bm25(docs: DataFrame, query: str, key: str, field: str) -> DataFrame:
     return weighed.groupBy(key).agg(F.sum(idf * tf).alias("score"))
 
 
-def _equals(word: str):
-    return lambda x: x == F.lit(word)
-
-
 def result_json(docs: DataFrame, facets: DataFrame, total: int, number: int, size: int) -> DataFrame:
     """One row: the page of results with facets and page links as JSON text; both inputs are pages, so small."""
     items = docs.agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("articles"))

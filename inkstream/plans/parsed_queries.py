@@ -92,7 +92,7 @@ def atom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS pos, n_name AS title, 'http://example.com/' || CAST(n_nationkey AS VARCHAR) AS uri FROM nation""")
-def opml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def outline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A24, B13."""
     fields = {"text": F.col("n_name"), "url": F.concat(F.lit("http://example.com/"), F.col("n_nationkey").cast("string"))}
     docs = feeds.write_opml(read(spark, sf_dir, "nation"), ["n_regionkey"], "n_nationkey", F.lit("Nations"), fields)
