@@ -3,6 +3,7 @@ they were made from, so that SQL over the source columns checks them."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -170,7 +171,12 @@ def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkstream-")
+    """A folder of its own within the shared one; in local mode, where there is none, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="inkstream-")
     return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
