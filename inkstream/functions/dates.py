@@ -87,3 +87,13 @@ def duration(start: Column, stop: Column) -> Column:
 
 def next_refresh(now: Column, minutes: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(now) + minutes * 60)
+
+
+def zones(spark, at: str = "2024-01-01"):
+    """(zone, offset_minutes): the system's time zones from west to east, by their offset at a time."""
+    from datetime import datetime
+    from zoneinfo import ZoneInfo, available_timezones
+
+    when = datetime.fromisoformat(at)
+    rows = [(z, int(ZoneInfo(z).utcoffset(when).total_seconds() // 60)) for z in sorted(available_timezones()) if "/" in z]
+    return spark.createDataFrame(rows, "zone string, offset_minutes int").orderBy("offset_minutes", "zone")

@@ -169,3 +169,15 @@ def not_crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: parameters that are null are left out."""
     return read(spark, sf_dir, "pages").select(urls.query_string({"x": F.col("page_id").cast("string"), "url": F.when(F.col("page_id") % 2 == 0, F.col("url"))}).alias("q"), "page_id")
+
+
+@query(r"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, url FROM p WHERE NOT (host LIKE '%.org' AND starts_with(path, '/en')) OR (host LIKE '%.org' AND starts_with(path, '/en/6'))""")
+def allowed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts in .org forbid /en but for /en/6."""
+    from inkstream.operators import robots
+
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = p.select(urls.host(F.col("url")).alias("host")).distinct().filter(F.col("host").endswith(".org"))
+    rules = robots.read_rules(hosts.withColumn("text", F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en # but\nAllow: /en/6\n")), "text")
+    return robots.may_fetch(p, rules)

@@ -188,3 +188,27 @@ def scrubbed_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = F.concat(F.lit(" mailto:"), F.replace("c_name", F.lit("#"), F.lit(".")), F.lit("@Example.com?subject=x"))
     uri = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("ftp://"), "c_name")).otherwise(F.concat(F.lit("http://example.com/"), F.replace("c_name", F.lit("#"), F.lit("-"))))
     return read(spark, sf_dir, "customer").select("c_custkey", lookup.scrub_email(mail).alias("email"), lookup.valid_uri(uri).alias("uri_ok"))
+
+
+@query("""WITH t AS (SELECT conv_id, list(role ORDER BY turn, role) AS roles, min(role) AS first_role FROM conversations GROUP BY conv_id)
+SELECT conv_id, '<b>' || upper(first_role) || '</b> ' || CASE WHEN conv_id > 20 THEN 'late &amp; ' || CAST(conv_id AS VARCHAR) ELSE 'early' END || ': ' || array_to_string(list_transform(roles, lambda r, i: CAST(i AS VARCHAR) || '=' || r || CASE WHEN i = len(roles) THEN '.' ELSE ', ' END), '') || ' {{ raw }}' AS html FROM t""")
+def rendered_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template with a condition, a loop and filters, compiled to one Column."""
+    from inkstream.functions import template
+
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"), F.min("role").alias("first_role"), F.lit("late & ").alias("late"))
+    text = "<b>{{ first_role|upper }}</b> {% if conv_id > 20 %}{{ late }}{{ conv_id }}{% else %}early{% endif %}: {% for r in roles %}{{ forloop.counter }}={{ r }}{% if forloop.last %}.{% else %}, {% endif %}{% endfor %} {% asis %}{{ raw }}{% endasis %}"
+    return c.select("conv_id", template.compile_template(text).alias("html"))
+
+
+@query("""SELECT c_custkey, c_name AS tel, c_mktsegment AS tel_work, 'x' AS tel_1, 3 AS n_all, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS n_known FROM customer""")
+def record_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C15, C16, C17, H3, H4."""
+    from inkstream.functions import records
+
+    m = F.create_map(F.lit("tel"), "c_name", F.lit("@hidden"), F.lit("h"))
+    m = records.united(records.without_marks(m), F.create_map(F.lit("tel"), F.lit("lost"), F.lit("tel.work"), "c_mktsegment"))
+    df = read(spark, sf_dir, "customer").select("c_custkey", records.add(m, "tel", F.lit("x")).alias("m"))
+    known, _ = records.parted(F.col("m"), ["tel", "tel.work"])
+    at = lambda k: F.try_element_at("m", F.lit(k))
+    return df.select("c_custkey", at("tel").alias("tel"), at("tel.work").alias("tel_work"), at("tel.1").alias("tel_1"), F.size("m").alias("n_all"), F.when(F.col("c_custkey") % 2 == 0, F.size(known)).otherwise(F.size(records.with_parts(known, "work"))).alias("n_known"))

@@ -105,3 +105,25 @@ def test_scopes(spark):
     df = spark.sql("select cast(null as string) inner_a, 'out' outer_a")
     resolve = expression.scoped(lambda n: F.col(f"inner_{n}"), lambda n: F.col(f"outer_{n}"))
     assert df.select(expression.compile_expression("a == 'out'", resolve)).first()[0] is True
+
+
+def test_templates(spark):
+    from inkstream.functions import template
+
+    df = spark.sql("select 'a <b>' t, array('x', 'y') l, 2 n, cast(null as string) z")
+    one = lambda text, **k: df.select(template.compile_template(text, **k)).first()[0]
+    assert one("{{ t }}|{{ t|safe }}|{{ z }}|{{ t|upper|cut:\"<\" }}") == "a &lt;b&gt;|a <b>||A B&gt;"
+    assert one("{% for x in l %}{{ forloop.revcounter0 }}{{ x }}{% if forloop.first %}-{% endif %}{% endfor %}") == "1x-0y"
+    assert one("{% if n > 1 and not z %}yes{% else %}no{% endif %}") == "yes"
+    assert one("{% autoescape off %}{{ t }}{% endautoescape %}{% asis %}{{ t }}{% endasis %}") == "a <b>{{ t }}"
+    assert one("plain") == "plain" and one("") == ""
+    template.register("twice", lambda c, a: F.concat(c, c))
+    assert one("{{ 'q'|twice }}") == "qq"
+    for bad in ("{% if n %}", "{% nothing %}", "{{ t|nothing }}", "{% for x %}{% endfor %}"):
+        with pytest.raises(template.TemplateError):
+            template.compile_template(bad)
+
+
+def test_zones_go_from_west_to_east(spark):
+    offsets = [r.offset_minutes for r in dates.zones(spark).collect()]
+    assert offsets == sorted(offsets) and len(offsets) > 300

@@ -95,3 +95,26 @@ def test_repeated_batches_change_nothing(spark, tmp_path):
     for n in (0, 0, 1, 1):
         write(batch, n)
     assert rows(spark.read.schema("k int, o int").parquet(str(tmp_path / "t" / "batch=*")), "k") == [(1, 1), (2, 5)]
+
+
+def test_robots(spark):
+    from inkstream.operators import robots
+
+    text = "User-agent: a\nUser-agent: *\nDisallow: /x\nAllow: /x/y\nDisallow:\nUser-agent: bot\nDisallow: /"
+    assert robots.rules_of(text, "mybot/1") == [{"allow": False, "path": "/"}]
+    rules = robots.read_rules(spark.createDataFrame([("h.com", text)], "host string, text string"), "text")
+    links = ["http://h.com/x", "http://h.com/x/y?q", "http://h.com/", "http://o.com/x"]
+    got = {r.url for r in robots.may_fetch(spark.createDataFrame([(u,) for u in links], "url string"), rules).collect()}
+    assert got == set(links[1:])
+
+
+def test_contacts(spark):
+    from inkstream.operators import contacts
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(contacts.street(F.lit(s))) for s in ("1 Main St.", "2 St James Rd W", "Broadway", "5 N")] == ["1 Main Street", "2 St James Road West", "Broadway", "5 N"]
+    assert [one(contacts.postal_region(F.lit(p))) for p in ("v6b 1a1", "90210", "D1A 1A1")] == ["British Columbia", None, None]
+    assert one(contacts.region_country(contacts.region_name(F.lit("qc")))) == "CA"
+    names = lookup.split_name(F.lit("Lee, Ann Mary"))
+    assert [one(names[k]) for k in ("given_name", "additional_name", "family_name", "honorific_prefix")] == ["Ann", "Mary", "Lee", None]
+    assert one(lookup.scrub_name(F.lit('"bob" (work)'), F.lit("ACME"), F.lit("e"))) == "Bob" and one(lookup.scrub_name(F.lit(""), F.lit(""), F.lit("e"))) == "e"
