@@ -78,10 +78,10 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH l AS (SELECT page_id, url, unnest({_HREFS}) AS href FROM pages)
 SELECT page_id, href, CASE WHEN href LIKE 'http://%' THEN href WHEN href LIKE '/%' THEN 'http://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) || href ELSE url || href END AS bookmark,
-  replace(coalesce(nullif(regexp_extract(href, '([^/]*)/*$', 1), ''), ''), '+', '+') AS tag FROM l WHERE href NOT LIKE '%\%%' ESCAPE '\' AND href NOT LIKE '%#%'""")
+  url_decode(regexp_extract(regexp_replace(href, '#.*$', ''), '([^/]*)/*$', 1)) AS tag FROM l""")
 def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I50, I51, I61."""
-    found = read(spark, sf_dir, "pages").select("page_id", "url", F.explode(pages.hrefs(F.col("html"))).alias("href")).filter(~F.contains("href", F.lit("%")) & ~F.contains("href", F.lit("#")))
+    found = read(spark, sf_dir, "pages").select("page_id", "url", F.explode(pages.hrefs(F.col("html"))).alias("href"))
     return found.select("page_id", "href", urls.absolutise(F.col("href"), F.col("url")).alias("bookmark"), urls.tag_name(F.col("href")).alias("tag"))
 
 
@@ -158,11 +158,11 @@ def feed_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.discovery_ladder(found.withColumn("stage", stage), "page_id")
 
 
-@query(rf"""WITH a AS (SELECT url, {_HOST} AS host FROM pages WHERE page_id % 2 = 0) SELECT page_id, url FROM pages WHERE {_HOST} NOT IN (SELECT host FROM a)""")
+@query(rf"""WITH a AS (SELECT url, {_HOST} AS host FROM pages WHERE url LIKE 'https:%') SELECT page_id, url FROM pages WHERE {_HOST} NOT IN (SELECT host FROM a)""")
 def not_crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of hosts of which no even page was crawled."""
+    """Pages of hosts of which no page was crawled over https."""
     p = read(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url"), True).alias("host"))
-    return store.not_crawled(p, p.filter("page_id % 2 = 0"), "host").select("page_id", "url")
+    return store.not_crawled(p, p.filter("url like 'https:%'"), "host").select("page_id", "url")
 
 
 @query("""SELECT 'x=' || CAST(page_id AS VARCHAR) || CASE WHEN page_id % 2 = 0 THEN '&url=' || url_encode(url) ELSE '' END AS q, page_id FROM pages""")

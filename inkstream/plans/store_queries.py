@@ -12,11 +12,11 @@ from inkstream.plans.base import NOW, query, read
 
 
 @query(f"""SELECT event_id, user_id, ts + INTERVAL (CAST(user_id % 7 AS INTEGER) * 120) MINUTE AS refresh_at FROM events
-WHERE event_id % 11 <> 0 AND ts + INTERVAL (CAST(user_id % 7 AS INTEGER) * 120) MINUTE < TIMESTAMP '2024-01-15 00:00:00'""")
+WHERE event_type <> 'error' AND ts + INTERVAL (CAST(user_id % 7 AS INTEGER) * 120) MINUTE < TIMESTAMP '2024-01-15 00:00:00'""")
 def due_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without a refresh time are not due."""
     later = F.col("ts") + F.make_dt_interval(mins=(F.col("user_id") % 7 * 120).cast("int"))
-    pages = read(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 11 != 0, later).alias("refresh_at"))
+    pages = read(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") != "error", later).alias("refresh_at"))
     return store.due_pages(pages, F.lit("2024-01-15 00:00:00").cast("timestamp"))
 
 
@@ -58,22 +58,22 @@ def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.first_wins(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_custkey"], ["o_orderkey"])
 
 
-@query("""WITH s AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 3 = 0), f AS (SELECT o_custkey AS id, 'new' || CAST(min(o_orderkey) AS VARCHAR) AS name FROM orders GROUP BY o_custkey)
+@query("""WITH s AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'), f AS (SELECT o_custkey AS id, 'new' || CAST(min(o_orderkey) AS VARCHAR) AS name FROM orders GROUP BY o_custkey)
 SELECT * FROM s UNION ALL SELECT * FROM f WHERE id NOT IN (SELECT id FROM s)""")
 def get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D5."""
-    stored = read(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    stored = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     found = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.concat(F.lit("new"), "o_orderkey").alias("name"), "o_orderkey")
     return store.get_or_create(found, stored, ["id"], ["o_orderkey"])
 
 
-@query("""WITH f AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'upd' END AS name, c_mktsegment AS seg FROM customer WHERE c_custkey % 5 < 2), s AS (SELECT c_custkey AS id, c_name AS name, 'old' AS seg FROM customer WHERE c_custkey % 5 < 4 AND c_custkey % 5 > 0)
+@query("""WITH f AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'upd' END AS name, c_mktsegment AS seg FROM customer WHERE c_acctbal < 5000), s AS (SELECT c_custkey AS id, c_name AS name, 'old' AS seg FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT coalesce(f.id, s.id) AS id, coalesce(f.name, s.name) AS name, coalesce(f.seg, s.seg) AS seg FROM s FULL JOIN f ON f.id = s.id""")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1, D5."""
     c = read(spark, sf_dir, "customer")
-    found = c.filter("c_custkey % 5 < 2").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "upd").alias("name"), F.col("c_mktsegment").alias("seg"))
-    stored = c.filter("c_custkey % 5 < 4 and c_custkey % 5 > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("old").alias("seg"))
+    found = c.filter("c_acctbal < 5000").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "upd").alias("name"), F.col("c_mktsegment").alias("seg"))
+    stored = c.filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("old").alias("seg"))
     return store.upsert(found, stored, ["id"])
 
 
@@ -163,13 +163,13 @@ def triple_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT s_suppkey, 'n' || CAST(s_nationkey AS VARCHAR) AS contact, s_nationkey FROM supplier)
-SELECT 's' || CAST(s_suppkey AS VARCHAR) AS s, contact, r_name AS see_also, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name FROM k JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
+SELECT 's' || CAST(s_suppkey AS VARCHAR) AS s, contact, r_name AS see_also, CASE WHEN n_name < 'K' THEN n_name END AS name FROM k JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
 def triple_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7."""
     k = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("s"), F.lit("knows").alias("p"), F.concat(F.lit("n"), "s_nationkey").alias("o"))
     n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     more = n.select(F.concat(F.lit("n"), "n_nationkey").alias("s"), F.lit("seeAlso").alias("p"), F.col("r_name").alias("o"))
-    names = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("s"), F.lit("name").alias("p"), F.col("n_name").alias("o"))
+    names = n.filter("n_name < 'K'").select(F.concat(F.lit("n"), "n_nationkey").alias("s"), F.lit("name").alias("p"), F.col("n_name").alias("o"))
     return graph.contacts(k.unionByName(more).unionByName(names), "knows", "seeAlso", "name")
 
 
