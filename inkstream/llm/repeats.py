@@ -245,11 +245,11 @@ def _large(content: DataFrame, length: int) -> DataFrame:
             at, n, keys, row = (batch.column(c).to_numpy() for c in ("at", "n", "key", "_row"))
             which, step, h = window_hashes(batch.column("content").to_pylist(), at, keys, length)
             item = ((((at >> 16)[which] + step) << 16 | length) << 2) | 2
-            yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n[which]), "_row": pa.array(row[which]), "item": pa.array(item)})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[which]), "h": pa.array(h.view(np.int64)), "n": pa.array(n[which]), "_row": pa.array(row[which]), "item": pa.array(item)})
 
-    windows = content.mapInArrow(each, "h long, n long, _row long, item long")
-    repeated = settle(windows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "repeat-windows")
-    return windows.filter("n = 1").join(repeated, "h", "left_semi").select("_row", "item")
+    windows = content.mapInArrow(each, "key long, h long, n long, _row long, item long")
+    repeated = settle(windows.groupBy("key", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "h"), "repeat-windows")
+    return windows.filter("n = 1").join(repeated, ["key", "h"], "left_semi").select("_row", "item")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, prefix: int = PREFIX) -> DataFrame:
