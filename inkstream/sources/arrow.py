@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from inkstream.shipping import ship
+
 
 def parse_column(df: DataFrame, column: str, parse: Callable[[object], object], out: str, kind: str) -> DataFrame:
     """df with a further column: parse(value) for each value; null stays null. Runs in Arrow batches, without a shuffle."""
+    ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(f"{out} {kind}").fields])
     arrow = to_arrow_schema(schema)
     field = arrow.field(len(arrow) - 1)
