@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkstream.shipping import ship
+
 #: Text bytes that one step of a Python kernel holds; a longer single text is a step of its own.
 SLICE_BYTES = 2 << 20
 #: Rows that Spark hands to Python at once. Texts may be long, so the default of 10,000 could be gigabytes.
@@ -84,7 +86,7 @@ def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema:
     """kernel: bounded slice -> its output columns by name. No shuffle. Lowers the session's Arrow batch size."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    bound_batches(df.sparkSession)
+    prepare(df.sparkSession)
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(schema)
@@ -97,7 +99,9 @@ def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], dict], schema:
     return df.mapInArrow(run, schema)
 
 
-def bound_batches(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
+    """Bounded batches, and workers that find this package, for every step in Python that follows."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import encoded, map_slices, project, settle, text_slices
+from inkstream.llm.common import encoded, map_slices, prepare, project, settle, text_slices
 
 WINDOW = 10
 #: Bytes of test texts in one pass; this bounds what is broadcast.
@@ -259,6 +259,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     where = names.index(text)
     spark = docs.sparkSession
+    prepare(spark)
     for block in blocks(benchmark, "item_id", "text"):
         sent, mark = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
