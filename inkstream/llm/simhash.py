@@ -11,7 +11,7 @@ A shard returns a spanning forest of its links, not all pairs; connected compone
 A radius of `bits` finds copies with small changes. At a similarity of 0.8 fingerprints differ in about 10 of 64 bits,
 which is within the spread of unrelated ones (32 +- 4) as far as the triangle bounds go: trees then prune nothing and
 compare all with all. So `similar_documents` adds a second source of candidates for that, MinHash bands over the same
-shingle hashes, and checks each of those links by the exact similarity of the shingle sets.
+shingle hashes, and compares what they bring together by the exact similarity of the shingle sets.
 
 Null and empty texts have the fingerprint zero, which is linked like any other. Fewer words than a shingle has count
 as one shingle. Repeated rows share a fingerprint. Null ids never become a component's name.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import encoded, map_slices, project, settle, sized, text_slices, with_row_key
+from inkstream.llm.common import encoded, map_slices, prepare, project, settle, sized, with_row_key
 from inkstream.llm.components import stars
 
 #: Fingerprints the top tree is built from, those with the smallest hashes; this bounds what the driver holds.
@@ -37,6 +37,8 @@ SAMPLE = 16_384
 SHARD, SAMPLED_LEAF = 4_096, 16
 #: Points compared in full.
 BLOCK = 512
+#: Bytes of shingle sets in a block of a cluster, and distinct shingles counted side by side.
+BLOCK_BYTES, COLUMNS = 16 << 20, 4_096
 #: MinHash values, and how many of them make a band: at similarity 0.8 all bands miss with probability 0.002.
 BINS, BAND = 126, 6
 
@@ -201,6 +203,7 @@ def _plant(nodes: DataFrame, bits: int) -> Tree:
 
 def links(nodes: DataFrame, bits: int) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) that join all pairs of at most `bits` differing bits."""
+    prepare(nodes.sparkSession)
     tree = _plant(nodes, bits)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,34 +294,80 @@ def _described(rows: DataFrame, words: int) -> DataFrame:
     return map_slices(rows, kernel, "_row long, copy binary, fp long, bands array<long>", limit=1 << 20)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the pairs (u, v) of rows those whose sets of shingles are similar enough."""
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i > j) of sets of hashes that are similar enough, by exact counts of what they share."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+    number = np.cumsum(new) - 1
+    often = np.bincount(number) > 1 if len(flat) else np.zeros(0, bool)
+    keep = often[number] if len(flat) else new
+    column, owner = (np.cumsum(often) - 1)[number[keep]] if len(flat) else number, owner[keep]
+    both = np.zeros((n, n), np.float32)
+    for a in range(0, int(often.sum()), COLUMNS):  # what is in one set only is shared by no two
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        part = np.zeros((n, min(COLUMNS, int(often.sum()) - a)), np.float32)
+        part[owner[lo:hi], column[lo:hi] - a] = 1
+        both += part @ part.T
+    i, j = np.nonzero(np.tril(both >= similarity * (size[:, None] + size[None] - both) - 1e-3, -1) & (both > 0))
+    exact = both[i, j].astype(np.int64)
+    good = exact >= similarity * (size[i] + size[j] - exact)
+    return i[good], j[good]
+
+
+def _compared(clusters: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): links that join all pairs similar enough within each cluster; clusters has _row and cluster.
+
+    A cluster is compared all with all, in tasks of at most two of its blocks; only spanning forests leave a task.
+    """
 
     def sets(batch: pa.RecordBatch) -> dict:
         lists = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in encoded(batch.column("text"))]
         return {"_row": batch.column("_row"), "hashes": lists}
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "left"):
-            good = []
-            for a, b in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = (np.frombuffer(h.as_buffer(), np.uint64) for h in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    asked = settle(pairs.select(F.explode(F.array("u", "v")).alias("_row")).distinct(), "near-asked")
+    asked = clusters.select("_row")
     known = settle(map_slices(rows.join(sized(asked), "_row", "left_semi").select("_row", "text"), sets, "_row long, hashes binary", limit=1 << 20), "shingle-sets")
-    met = pairs.join(known.select(F.col("_row").alias("u"), F.col("hashes").alias("left")), "u").join(known.select(F.col("_row").alias("v"), F.col("hashes").alias("right")), "v")
-    return met.mapInArrow(compare, "u long, v long")
+    told = clusters.join(known.select("_row", F.octet_length("hashes").alias("n")), "_row")
+    blocks = told.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = clusters.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("_row"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("_row", "cluster", "own", other).select("_row", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+    met = known.join(dealt, "_row").select("task", "_row", "hashes")
+
+    def one(ids: list[int], hashes: list[bytes]) -> pa.RecordBatch:
+        i, j = similar_pairs([np.frombuffer(h, np.uint64) for h in hashes], similarity)
+        forest = Forest(len(ids))
+        forest.join(i, j)
+        row = np.array(ids, np.int64)
+        own = np.flatnonzero(forest.root != np.arange(len(ids)))
+        return pa.RecordBatch.from_pydict({"u": pa.array(row[own]), "v": pa.array(row[forest.root[own]])})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, ids, hashes = None, [], []
+        for batch in batches:
+            for t, row, h in zip(*(batch.column(c).to_pylist() for c in ("task", "_row", "hashes")), strict=True):
+                if t != task and ids:
+                    yield one(ids, hashes)
+                    ids, hashes = [], []
+                task = t
+                ids.append(row)
+                hashes.append(h)
+        if ids:
+            yield one(ids, hashes)
+
+    return met.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "u long, v long")
 
 
 def similar_documents(rows: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
     """(_row, least): each row in a group of similar ones, but its smallest, with that smallest; rows has _row and text.
 
     Copies count once. Links come from fingerprints of at most `bits` differing bits, and from pairs of at least the
-    similarity among the candidates that share a band. In each band every text meets the band's first in an order of
-    the band's own, so a text meets up to BINS / BAND others and no group emits all its pairs.
+    similarity within clusters: texts that shared bands connect. Each cluster is compared all with all in blocks, and
+    only spanning forests of the links leave a task, so no group emits its pairs.
     """
     told = settle(_described(rows, words), "near-described")
     texts = settle(told.groupBy("copy").agg(F.min("_row").alias("one"), F.first("fp").alias("fp"), F.min_by("bands", "_row").alias("bands")), "near-texts")
@@ -328,10 +377,11 @@ def similar_documents(rows: DataFrame, words: int = 5, similarity: float = 0.8,
     near = tree.join(prints.select(F.col("fp").alias("u"), F.col("one").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("one").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = texts.join(prints.select("fp", F.col("one").alias("v")), "fp").select(F.col("one").alias("u"), "v").filter("u <> v")
     banded = texts.select("one", F.explode("bands").alias("band"))
-    crowd = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("one", "band").alias("h"), "one")).alias("first")).filter("n > 1").select("band", "first.one")
-    crowd = settle(crowd.withColumnRenamed("one", "v"), "near-bands")
-    pairs = banded.join(crowd, "band").filter("one <> v").select(F.greatest("one", "v").alias("u"), F.least("one", "v").alias("v")).distinct()
-    good = _verified(settle(pairs, "near-pairs"), rows, words, similarity)
+    first = settle(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("one").alias("v")).filter("n > 1").select("band", "v"), "near-bands")
+    pairs = banded.join(first, "band").filter("one <> v").select(F.col("one").alias("u"), "v").distinct()
+    heads = stars(pairs, "near-clusters")
+    clusters = heads.select(F.col("u").alias("_row"), F.col("v").alias("cluster")).unionByName(heads.select(F.col("v").alias("_row"), F.col("v").alias("cluster")).distinct())
+    good = _compared(settle(clusters, "near-clusters"), rows, words, similarity)
     copies = told.join(texts.select("copy", F.col("one").alias("v")), "copy").select(F.col("_row").alias("u"), "v").filter("u <> v")
     star = stars(near.unionByName(same).unionByName(good), "near-links")
     moved = copies.join(star.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select(F.col("u").alias("_row"), F.coalesce("root", "v").alias("least"))

@@ -99,3 +99,31 @@ def test_stars_on_a_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r.u: r.v for r in stars(path, "test").collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
+def test_similar_pairs_by_counting(monkeypatch, similarity):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30)).astype(np.uint64)) for _ in range(60)] + [np.zeros(0, np.uint64)] * 2
+    expected = {(i, j) for i in range(62) for j in range(i) if (n := len(np.intersect1d(sets[i], sets[j]))) and n >= similarity * (len(sets[i]) + len(sets[j]) - n)}
+    i, j = simhash.similar_pairs(sets, similarity)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == expected
+    assert len(simhash.similar_pairs([], 0.8)[0]) == 0
+
+
+def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 5)
+    rng = np.random.default_rng(8)
+    words = list(rng.choice([f"w{i}" for i in range(500)], 100))
+    found = []
+    for _ in range(40):
+        twin = list(words)
+        for p in rng.integers(0, 100, rng.integers(0, 4)):
+            twin[p] = f"n{rng.integers(99)}"
+        found.append(" ".join(twin))
+    sets = [np.unique(np.array(simhash.shingle_hashes(t.encode(), 5), np.uint64)) for t in found]
+    forest = simhash.Forest(40)
+    forest.join(*simhash.similar_pairs(sets, 0.8))
+    kept = {r.doc_id for r in simhash.keep_one(plain(spark, list(enumerate(found)))).collect()}
+    assert kept == set(forest.root.tolist())
