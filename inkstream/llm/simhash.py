@@ -11,7 +11,8 @@ A shard returns a spanning forest of its links, not all pairs; connected compone
 A radius of `bits` finds copies with small changes. At a similarity of 0.8 fingerprints differ in about 10 of 64 bits,
 which is within the spread of unrelated ones (32 +- 4) as far as the triangle bounds go: trees then prune nothing and
 compare all with all. So `similar_documents` adds a second source of candidates for that, MinHash bands over the same
-shingle hashes, and compares what they bring together by the exact similarity of the shingle sets.
+shingle hashes, and compares what trees and bands bring together by the exact similarity of the shingle sets: close or
+equal fingerprints alone link no texts, as one shingle repeated often enough fixes all bits.
 
 Null and empty texts have the fingerprint zero, which is linked like any other. Fewer words than a shingle has count
 as one shingle. Repeated rows share a fingerprint. Null ids never become a component's name.
@@ -365,9 +366,9 @@ def _compared(clusters: DataFrame, rows: DataFrame, words: int, similarity: floa
 def similar_documents(rows: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
     """(_row, least): each row in a group of similar ones, but its smallest, with that smallest; rows has _row and text.
 
-    Copies count once. Links come from fingerprints of at most `bits` differing bits, and from pairs of at least the
-    similarity within clusters: texts that shared bands connect. Each cluster is compared all with all in blocks, and
-    only spanning forests of the links leave a task, so no group emits its pairs.
+    Copies count once. Texts that fingerprints of at most `bits` differing bits or shared bands connect form clusters.
+    Each cluster is compared all with all in blocks; only pairs of at least the similarity are links, and only spanning
+    forests of the links leave a task, so no group emits its pairs.
     """
     told = settle(_described(rows, words), "near-described")
     texts = settle(told.groupBy("copy").agg(F.min("_row").alias("one"), F.first("fp").alias("fp"), F.min_by("bands", "_row").alias("bands")), "near-texts")
@@ -379,11 +380,11 @@ def similar_documents(rows: DataFrame, words: int = 5, similarity: float = 0.8,
     banded = texts.select("one", F.explode("bands").alias("band"))
     first = settle(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("one").alias("v")).filter("n > 1").select("band", "v"), "near-bands")
     pairs = banded.join(first, "band").filter("one <> v").select(F.col("one").alias("u"), "v").distinct()
-    heads = stars(pairs, "near-clusters")
+    heads = stars(pairs.unionByName(near).unionByName(same), "near-clusters")
     clusters = heads.select(F.col("u").alias("_row"), F.col("v").alias("cluster")).unionByName(heads.select(F.col("v").alias("_row"), F.col("v").alias("cluster")).distinct())
     good = _compared(settle(clusters, "near-clusters"), rows, words, similarity)
     copies = told.join(texts.select("copy", F.col("one").alias("v")), "copy").select(F.col("_row").alias("u"), "v").filter("u <> v")
-    star = stars(near.unionByName(same).unionByName(good), "near-links")
+    star = stars(good, "near-links")
     moved = copies.join(star.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left").select(F.col("u").alias("_row"), F.coalesce("root", "v").alias("least"))
     return moved.unionByName(star.select(F.col("u").alias("_row"), F.col("v").alias("least")))
 

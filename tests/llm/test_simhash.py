@@ -127,3 +127,11 @@ def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
     forest.join(*simhash.similar_pairs(sets, 0.8))
     kept = {r.doc_id for r in simhash.keep_one(plain(spark, list(enumerate(found)))).collect()}
     assert kept == set(forest.root.tolist())
+
+
+def test_equal_or_close_fingerprints_are_no_proof_of_similarity(spark):
+    one, other = (" ".join(["same"] * 200 + [f"{c}{i}" for i in range(100)]) for c in "ab")
+    a, b = simhash.fingerprints_of([one.encode(), other.encode()], 5)
+    assert a == b
+    docs = plain(spark, [(1, one), (2, other), (3, one + " more"), (4, one.upper())])
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {1, 2}
