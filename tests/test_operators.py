@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +70,19 @@ def test_closures(spark):
     assert rows(graph.follow_next(spark.sql("select 0 page"), links), "page") == [(0, 0), (1, 1), (2, 2), (5, 3)]
 
 
+def test_long_chains_and_deep_trees_are_followed_to_the_end(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 3)], "src int, dst int")
+    assert rows(graph.follow_next(spark.sql("select 0 page"), links), "page") == [(i, i) for i in range(21)]
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, str(i)) for i in range(36)], "id int, parent int, title string")
+    assert rows(graph.flatten_tree(nodes), "id") == [(i, i, "/".join(map(str, range(i + 1)))) for i in range(36)]
+
+
+def test_a_node_below_itself_is_an_error(spark):
+    nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (1, 2, "a")], "id int, parent int, title string")
+    with pytest.raises(ValueError, match="below itself"):
+        graph.flatten_tree(nodes)
+
+
 def test_images_and_feeds(spark):
     html = '<img src="a.png" width="15"><img src="b.png" width=16 height="20"><img src="b.png"><link rel="alternate" type="application/rss+xml" href="/f"><base href="http://b/">'
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
