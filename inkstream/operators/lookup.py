@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,9 @@ def code_names(df: DataFrame, dim: DataFrame, code: str, dim_code: str, name: st
     return df.join(sized(side), F.lower(F.col(code).cast("string")) == F.col("_code"), "left").drop("_code")
 
 
-def _by_prefix(df: DataFrame, dim: DataFrame, value: str, prefix: str, out: str, lengths: range, longest: bool) -> DataFrame:
+def _by_prefix(df: DataFrame, dim: DataFrame, value: str, prefix: str, out: str, lengths: Iterable[int], longest: bool) -> DataFrame:
     """Looks up each distinct value once, then joins back, so repeated values cost nothing further."""
-    tries = F.array_distinct(F.array(*[F.substring(F.col(value), 1, n) for n in lengths]))
+    tries = F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.substring(F.col(value), F.lit(1), n)))
     hits = df.select(value).distinct().select(value, F.explode(tries).alias(prefix)).join(sized(dim.select(prefix, out)), prefix)
     pick = F.max_by if longest else F.min_by
     return df.join(hits.groupBy(value).agg(pick(out, F.length(prefix)).alias(out)), value, "left")
@@ -39,9 +41,14 @@ def shortest_prefix(df: DataFrame, dim: DataFrame, value: str, prefix: str, out:
     return _by_prefix(df, dim, value, prefix, out, range(1, most + 1), False)
 
 
-def longest_prefix(df: DataFrame, dim: DataFrame, value: str, prefix: str, out: str, most: int = 16) -> DataFrame:
-    """As with credentials by path: the dimension's row for the longest prefix of the value that it has."""
-    return _by_prefix(df, dim, value, prefix, out, range(1, most + 1), True)
+def longest_prefix(df: DataFrame, dim: DataFrame, value: str, prefix: str, out: str, most: int | None = None) -> DataFrame:
+    """As with credentials by path: the dimension's row for the longest prefix of the value that it has.
+
+    Tries the lengths that the dimension's prefixes have; `most` leaves out longer ones.
+    """
+    found = dim.select(F.length(prefix).alias("n")).filter("n is not null").distinct().collect()
+    lengths = sorted(r.n for r in found if most is None or r.n <= most)
+    return _by_prefix(df, dim, value, prefix, out, lengths or [0], True)
 
 
 def split_name(fn: Column) -> dict[str, Column]:

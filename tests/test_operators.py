@@ -83,6 +83,16 @@ def test_a_node_below_itself_is_an_error(spark):
         graph.flatten_tree(nodes)
 
 
+def test_prefixes_of_any_length(spark):
+    paths = ["http://example.com/", "http://example.com/a/long/path/", "ftp://"]
+    dim = spark.createDataFrame([(p, p.upper()) for p in paths], "p string, c string")
+    values = [paths[1] + "x", paths[0] + "a", paths[0], "ftp://h/", "http://", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {r.v: r.c for r in lookup.longest_prefix(df, dim, "v", "p", "c").collect()}
+    assert [got[v] for v in values] == [paths[1].upper(), paths[0].upper(), paths[0].upper(), "FTP://", None, None]
+    assert [r.c for r in lookup.longest_prefix(df, dim.limit(0), "v", "p", "c").collect()] == [None] * len(values)
+
+
 def test_images_and_feeds(spark):
     html = '<img src="a.png" width="15"><img src="b.png" width=16 height="20"><img src="b.png"><link rel="alternate" type="application/rss+xml" href="/f"><base href="http://b/">'
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
