@@ -2,7 +2,8 @@
 
 Base spans come from three patterns. Further candidates are long opaque strings: mixed letters and digits of high
 entropy that no base span covers. The hashes of all candidate values are counted over the corpus by distinct owners
-and repositories: a value of several owners is a widely copied example, a value of one owner looks live. Live opaque
+and repositories: a value of several owners, or of more than LIVE_REPOS repositories, is a widely copied example; any
+other value looks live. Live opaque
 strings are added as spans of kind `live`; base spans always stay.
 
 Null and empty texts have no spans. A null owner is an owner of its own. Repeated rows are rows of their own, counted
@@ -34,6 +35,8 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_OPAQUE = 12, 18, 16, 24
 LEAST_ENTROPY = 3.5
 #: Owners a value may have and still look live.
 LIVE_OWNERS = 1
+#: Repositories a value may be in and still look live, whoever owns them.
+LIVE_REPOS = 100
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -70,10 +73,10 @@ def _spans(text: str) -> list[dict]:
 
 
 def _shared(found: DataFrame, most: int) -> DataFrame:
-    """value: hashes that more than `most` owners have, with n_owners and n_repos. found: spans, owner, repo."""
+    """value: hashes that more than `most` owners or LIVE_REPOS repositories have, with n_owners and n_repos. found: spans, owner, repo."""
     one = found.select("owner", "repo", F.explode("spans.value").alias("value")).groupBy("value", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
     by_owner = one.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos")).filter(F.col("n_owners") > most)
+    return by_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos")).filter((F.col("n_owners") > most) | (F.col("n_repos") > LIVE_REPOS))
 
 
 def _judged(found: DataFrame, most: int) -> DataFrame:

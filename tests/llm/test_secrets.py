@@ -68,3 +68,11 @@ def test_masking_takes_every_base_span_and_nothing_else(spark):
 
 def test_overlapping_spans_go_together():
     assert s.mask("abcdefghij", [(1, 4, 0), (3, 6, 2), (8, 9, 1)]) == "a[assign]gh[access]j"
+
+
+def test_many_repositories_of_one_owner_are_copies(spark, monkeypatch):
+    monkeypatch.setattr(s, "LIVE_REPOS", 4)
+    example, own = "x9Kq2LmW7vRt4ZpY8sNd3HfG6bTc", "b7Jw5QxE1kUo9MzA4rVi2PsD8nGh"
+    docs = plain(spark, [(3 * i, f"say {example}") for i in range(5)] + [(100 + 3 * i, f"mine {own}") for i in range(4)])
+    rows = by_id(s.digest(s.scan_secrets(docs)))
+    assert [r.n_live for r in rows] == [0] * 5 + [1] * 4
