@@ -1,7 +1,7 @@
 """Operator 9, secret scans weighed by corpus-wide ownership.
 
 Base spans come from three patterns. Further candidates are long opaque strings: mixed letters and digits of high
-entropy that no base span covers. The hashes of all candidate values are counted over the corpus by distinct owners
+entropy that base spans do not cover from end to end. The hashes of all candidate values are counted over the corpus by distinct owners
 and repositories: a value of several owners, or of more than LIVE_REPOS repositories, is a widely copied example; any
 other value looks live. Live opaque
 strings are added as spans of kind `live`; base spans always stay.
@@ -50,6 +50,15 @@ def _opaque(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and entropy(value) >= LEAST_ENTROPY
 
 
+def _covered(a: int, b: int, spans: list[tuple[int, int, int, str]]) -> bool:
+    """Whether the spans together hold every place from a to b."""
+    for start, stop, _, _ in sorted(spans):
+        if start > a:
+            break
+        a = max(a, stop)
+    return a >= b
+
+
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, kind's number, value) of base matches and opaque strings, by start, then kind."""
     found = []
@@ -60,7 +69,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
         a, b = run.span()
         found += [(m.start(), m.end(), 1, m[0]) for m in ACCESS.finditer(text, a, b) if len(m[0]) >= LEAST_ACCESS]
         found += [(m.start(), m.end(), 2, m[0]) for m in HEX.finditer(text, a, b) if len(m[0]) >= LEAST_HEX]
-        if b - a >= LEAST_OPAQUE and not any(s < b and a < e for s, e, _, _ in found) and _opaque(run[0]):
+        if b - a >= LEAST_OPAQUE and not _covered(a, b, found) and _opaque(run[0]):
             found.append((a, b, 3, run[0]))
     return sorted(found, key=lambda x: x[:3])
 

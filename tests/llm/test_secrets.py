@@ -76,3 +76,10 @@ def test_many_repositories_of_one_owner_are_copies(spark, monkeypatch):
     docs = plain(spark, [(3 * i, f"say {example}") for i in range(5)] + [(100 + 3 * i, f"mine {own}") for i in range(4)])
     rows = by_id(s.digest(s.scan_secrets(docs)))
     assert [r.n_live for r in rows] == [0] * 5 + [1] * 4
+
+
+def test_an_opaque_string_with_a_base_span_inside_is_masked_whole(spark):
+    key = "x9Kq2LmW7vRt4ZpY8sNd3H" + "0123456789abcdef" + "Q7Jw5QxG1kUz9MzA4rViZP"
+    assert [x[:3] for x in s.candidates(key)] == [(0, 60, 3), (22, 38, 2)]
+    assert [x[2] for x in s.candidates("0123456789abcdef" * 3)] == [2]
+    assert s.mask_secrets(plain(spark, [(1, f"a {key} b")])).first().text == "a [live] b"
