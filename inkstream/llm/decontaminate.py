@@ -174,7 +174,7 @@ def longest_matches(texts: list[bytes], tests: TestSet) -> list[tuple[list[tuple
     out = []
     for d, (start, size) in enumerate(zip((edge - sizes).tolist(), sizes.tolist(), strict=True)):
         a, b = np.searchsorted(closes, start, "right"), np.searchsorted(opens, start + size, "left")
-        runs = [(max(int(o) - start, 0), min(int(c) - start, size)) for o, c in zip(opens[a:b], closes[a:b], strict=True)]
+        runs = [(max(int(o) - start, 0), min(int(c) - start, size)) for o, c in zip(opens[a:b], closes[a:b], strict=True)] if size else []
         out.append((runs, found[d], size))
     return out
 

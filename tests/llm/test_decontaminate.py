@@ -57,3 +57,10 @@ def test_empty_sides(spark):
     assert d.find_contamination(empty(spark), _benchmark(spark, ITEMS)).collect() == []
     clean = d.digest(d.find_contamination(plain(spark, [(1, "a b"), (2, None)]), _benchmark(spark, []))).collect()
     assert [(r.n_words, r.n_hit, r.n_items, r.contaminated) for r in sorted(clean)] == [(2, 0, 0, False), (0, 0, 0, False)]
+
+
+def test_a_text_without_words_between_hits_is_clean(spark):
+    texts = ["one same", "", "same two"]
+    assert [runs for runs, _, _ in d.longest_matches([t.encode() for t in texts], d.TestSet([("1", "same")]))] == [[(1, 2)], [], [(0, 1)]]
+    docs = plain(spark, list(enumerate(texts))).coalesce(1)
+    assert [r.doc_id for r in d.remove_contaminated(docs, _benchmark(spark, [("1", "same")])).collect()] == [1]
