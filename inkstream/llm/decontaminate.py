@@ -3,7 +3,8 @@
 Each bounded slice of documents is a shard: its words become numbers, and a suffix array orders the shard's suffixes
 by up to WINDOW words (prefix doubling, so ranks at depths 1, 2, 4, 8 and 10). Suffixes that open with no two
 neighbouring words of a test text can match no test window and are left out of the array. Every test suffix is then looked up by binary
-search, at growing depths, which gives its longest verbatim match in the shard and where it is.
+search, at growing depths up to WINDOW words, which tells where in the shard its window occurs. Longer matches show
+only as runs of hit words, which may join several windows or items; lengths of single matches are not given.
 
 The benchmark is a stated query set. It is read in blocks of at most BLOCK_BYTES; each block is one pass over the
 documents, and passes follow one another, so memory does not grow with the benchmark. Null and empty texts have no
