@@ -408,7 +408,7 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
 
 
 def decode_many(media: list[bytes]) -> list[tuple[bytes, str]]:
-    """Of each media value: the payload read back, and the feature 'WxH:hash' of its first image."""
+    """Of each media value: the payload read back, and the feature 'WxH:hash' of each of its images, joined by commas."""
     images, owner = [], []
     for i, data in enumerate(media):
         at = 0
@@ -418,12 +418,12 @@ def decode_many(media: list[bytes]) -> list[tuple[bytes, str]]:
             at = images[-1].end
     thumbs = thumbnails(images)
     payloads: list[list[bytes]] = [[] for _ in media]
-    features = [""] * len(media)
+    features: list[list[str]] = [[] for _ in media]
     for x, thumb, i in zip(images, thumbs, owner, strict=True):
         flat = thumb.tobytes()
         payloads[i].append(flat[: int(x.comment[8:])] if x.comment.startswith(b"payload=") else flat)
-        features[i] = features[i] or f"{x.width}x{x.height}:{thumbnail_hash(thumb)}"
-    return [(b"".join(p), f) for p, f in zip(payloads, features, strict=True)]
+        features[i].append(f"{x.width}x{x.height}:{thumbnail_hash(thumb)}")
+    return [(b"".join(p), ",".join(f)) for p, f in zip(payloads, features, strict=True)]
 
 
 def encode_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -40,6 +40,14 @@ def test_several_images_for_one_payload(monkeypatch):
     assert media.decode_many(media.encode_many([payload, payload[:576]])) [0][0] == payload
 
 
+def test_feature_covers_every_image(monkeypatch):
+    monkeypatch.setattr(media, "FRAME_BYTES", 576 * 2)
+    one = bytes(range(256)) * 9
+    other = one[:1152] + one[:1151:-1]
+    a, b = (f for _, f in media.decode_many(media.encode_many([one, other])))
+    assert a != b and a.split(",")[0] == b.split(",")[0] and len(a.split(",")) == 2
+
+
 class Writer:
     """Bits of a scan, one symbol after another, to hold the decoder against."""
 
