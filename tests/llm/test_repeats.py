@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from inkstream.llm import repeats
@@ -33,11 +34,10 @@ def mixed(seed, n=60):
     return ["".join(random.choice(parts) if random.random() < 0.6 else random.choice(letters) for _ in range(random.randint(0, 12))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("large", [False, True])
-def test_matches_brute_force(spark, monkeypatch, seed, large):
-    if large:
-        monkeypatch.setattr(repeats, "LARGE_GROUP", 1)
+@pytest.mark.parametrize(("seed", "hot"), [(0, 256), (1, 256), (2, 1), (3, 3)])
+def test_matches_brute_force(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SPREAD", 5)
     found = mixed(seed)
     got = rows(repeats.remove_repeats(plain(spark, list(enumerate(found))), length=40, prefix=12))
     assert [got[i] for i in range(len(found))] == brute(found, 40)
@@ -78,3 +78,48 @@ def test_spans_are_those_removed(spark):
         raw = (texts()[r.doc_id] or "").encode() if r.doc_id is not None else b""
         edges = [0, *(e for s in r.spans for e in s), len(raw)]
         assert bytes(r.kept) == b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def test_windows_of_equal_hash_are_compared_as_bytes(spark, monkeypatch):
+    """With hashes that tell nothing apart beyond the first bytes, only bytes decide."""
+    random.seed(5)
+    start = "".join(random.choice("abcdefgh") for _ in range(90))
+    middles = ["".join(random.choice("jklmnop") for _ in range(18)) for _ in range(9)]
+    found = [start + m + start[::-1] for m in middles] + [start + middles[0] + start[::-1]]
+    honest = repeats.rolling
+
+    def weak(raw, size):
+        out = honest(raw, min(size, 64))[: max(0, len(raw) - size + 1)]
+        return out if size <= 64 else np.zeros_like(out)
+
+    monkeypatch.setattr(repeats, "rolling", weak)
+    import pyarrow as pa
+
+    raw = [t.encode() for t in found]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7] * 10), pa.array([1] * 10), pa.array(range(10)), pa.array([0] * 10), pa.array(raw, pa.binary())],
+        schema=repeats._KIND,
+    )
+    (out,) = repeats._fine(iter([batch]), 198)
+    assert sorted(out.column("_row").to_pylist()) == [0, 9]
+
+
+def test_radix_passes_find_equal_windows():
+    rng = np.random.default_rng(3)
+    for length in (1, 5, 8, 11, 16, 24):
+        raw = rng.integers(97, 99, 400).astype(np.uint8)
+        place = np.arange(len(raw) - length + 1)
+        group = rng.integers(0, 3, len(place))
+        count = Counter((g, raw[p : p + length].tobytes()) for p, g in zip(place, group, strict=True))
+        expected = [count[g, raw[p : p + length].tobytes()] > 1 for p, g in zip(place, group, strict=True)]
+        assert repeats.equal_windows(raw, place, group, length).tolist() == expected
+
+
+def test_one_passage_in_very_many_surroundings(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 8)
+    random.seed(8)
+    noise = lambda n: "".join(random.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = noise(203)
+    found = [noise(random.randint(0, 300)) + passage[random.randint(0, 4) :] + noise(random.randint(0, 300)) for _ in range(60)]
+    got = rows(repeats.remove_repeats(plain(spark, list(enumerate(found)))))
+    assert [got[i] for i in range(60)] == brute(found, 200)
