@@ -13,8 +13,9 @@ significant digit first; hashes only deal rows out to buckets, equality is alway
 
 Passes 1 and 2 aggregate, so a passage in every document makes no large group. In pass 3 buckets have one row for each
 different surrounding of an anchor. A bucket of more than HOT rows takes a digit in between: its windows are dealt out
-by their distance to the anchor, SPREAD distances together, and by the bytes that all windows of such a part share.
-Parts that are still as large (one passage in very many surroundings) are counted window by window, as aggregates.
+by their distance to the anchor, SPREAD distances together, and by the bytes that all windows of such a part share;
+equal bytes meet in an aggregate as in pass 2. Parts of more than HOT rows even then (one passage in very many
+surroundings) are counted window by window, as aggregates.
 
 Null and empty texts, and texts shorter than the window, have nothing to remove; an empty table gives an empty result.
 Repeated rows, with whatever ids, are texts of their own and so repeat each other; null ids stay null. Matches never
@@ -308,10 +309,16 @@ def _dealt(kinds: DataFrame, length: int, prefix: int) -> list[DataFrame]:
             content = [whole[a:b] for a, b in zip(first.tolist(), (first + far - near + length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(n[which]), pa.array(row[which]), pa.array(place), pa.array(content, pa.binary())], schema=_KIND)
 
-    dealt = settle(kinds.select(*_KIND.names).mapInArrow(parts, from_arrow_schema(_KIND)), "repeat-parts")
-    sizes = settle(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "repeat-part-sizes")
-    known = dealt.join(sized(sizes), "key")
-    out = [_passed(known.filter(F.col("rows") <= HOT), length)]
+    dealt = settle(kinds.select(*_KIND.names).mapInArrow(parts, from_arrow_schema(_KIND)).withColumn("rel", F.expr("shiftright(at, 8) & 255")), "repeat-parts")
+    digits = ["key", "rel", "content"]
+    again = dealt.groupBy(*digits).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.max("_row").alias("_row"), F.max("at").alias("at"))
+    again = settle(again, "repeat-part-kinds")
+    # what several rows share in full is known to repeat; one of them goes on
+    shared = sized(again.filter("c > 1").select(*digits), BROADCAST_WINDOWS)
+    out = [dealt.filter("n = 1").join(shared, digits, "left_semi").select("_row", F.expr("shiftleft(shiftleft(shiftright(at, 16), 16) + octet_length(content), 2) + 2").alias("item"))]
+    sizes = settle(again.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "repeat-part-sizes")
+    known = again.join(sized(sizes), "key")
+    out.append(_passed(known.filter(F.col("rows") <= HOT), length))
     if not sizes.filter(F.col("rows") > HOT).isEmpty():
         out.append(_counted(known.filter(F.col("rows") > HOT), length))
     return out
