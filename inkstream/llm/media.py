@@ -3,10 +3,13 @@
 A JPEG of flat 8x8 blocks carries one byte per block: with a DC quantiser of 8, sample v has the quantised DC
 coefficient v - 128, so the DC-only luminance thumbnail is the stored bytes, without loss. Every block row of 24
 blocks is a restart interval; the decoder follows all intervals of a batch side by side in numpy. It reads any
-baseline JPEG (several components, AC coefficients, with or without restart intervals).
+baseline JPEG (several components in one scan or in scans of their own, AC coefficients, with or without restart
+intervals); bytes behind an image that open no further one are passed over.
 
 Null and empty texts are 576 bytes of 255. Repeated rows give repeated rows, and equal texts equal media. Long
-payloads take wider images, and beyond FRAME_BYTES several images one after another.
+payloads take wider images, and beyond FRAME_BYTES several images one after another. On reading, null media and media
+that are no baseline JPEG give null features, and the other rows of the table their own. Empty tables give empty ones;
+further columns may have any names.
 """
 
 from __future__ import annotations
@@ -183,14 +186,35 @@ class Jpeg:
     end: int = 0
 
 
+def _entropy(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Coded bytes of the scan at a place without stuffing and restart markers, where its intervals start, and the place
+    of the marker that ends it."""
+    raw = np.frombuffer(data, np.uint8, offset=at)
+    ff = np.flatnonzero(raw[:-1] == 255) if len(raw) else np.zeros(0, np.int64)
+    after = raw[ff + 1]
+    stop = ff[(after != 0) & (after != 255) & ((after < 0xD0) | (after > 0xD7))]
+    end = int(stop[0]) if len(stop) else len(raw)
+    ff, after = ff[ff < end], after[ff < end]
+    marks = ff[(after >= 0xD0) & (after <= 0xD7)]
+    keep = np.ones(end, bool)
+    keep[ff[after == 0] + 1] = False
+    keep[marks] = keep[marks + 1] = False
+    return raw[:end][keep], np.concatenate([[0], np.cumsum(keep)[marks]]).astype(np.int64), at + end
+
+
 def parse(data: bytes, at: int = 0) -> Jpeg:
-    """Markers of the image that starts at a place; raises NotBaseline."""
+    """Markers of the image that starts at a place, and the scan that holds its luminance; raises NotBaseline."""
     if data[at : at + 2] != b"\xff\xd8":
         raise NotBaseline("no SOI marker")
     out, at = Jpeg(), at + 2
+    quant: dict[int, int] = {}
+    tables: dict[int, bytes] = {}
     while True:
         while data[at : at + 2] == b"\xff\xff":
             at += 1
+        if data[at : at + 2] == b"\xff\xd9" or out.scan_parts and at >= len(data):
+            out.end = at + 2
+            break
         if len(data) < at + 4 or data[at] != 0xFF:
             raise NotBaseline("markers end early")
         marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
@@ -200,13 +224,13 @@ def parse(data: bytes, at: int = 0) -> Jpeg:
             k = 0
             while k < len(body):
                 wide = 2 if body[k] >> 4 else 1
-                out.quant[body[k] & 15] = int.from_bytes(body[k + 1 : k + 1 + wide], "big")
+                quant[body[k] & 15] = int.from_bytes(body[k + 1 : k + 1 + wide], "big")
                 k += 1 + 64 * wide
         elif marker == 0xC4:
             k = 0
             while k < len(body):
                 n = sum(body[k + 1 : k + 17])
-                out.tables[body[k]] = bytes(body[k + 1 : k + 17 + n])
+                tables[body[k]] = bytes(body[k + 1 : k + 17 + n])
                 k += 17 + n
         elif marker == 0xC0 or marker == 0xC1:
             depth, out.height, out.width, n = struct.unpack_from(">BHHB", body)
@@ -216,26 +240,18 @@ def parse(data: bytes, at: int = 0) -> Jpeg:
         elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise NotBaseline("not a baseline scan")
         elif marker == 0xDD:
-            out.interval = struct.unpack(">H", body[:2])[0]
+            interval = struct.unpack(">H", body[:2])[0]
+            out.interval = out.interval if out.scan_parts else interval
         elif marker == 0xFE:
             out.comment = bytes(body)
         elif marker == 0xDA:
-            out.scan_parts = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
-            break
-    raw = np.frombuffer(data, np.uint8, offset=at)
-    ff = np.flatnonzero(raw[:-1] == 255) if len(raw) else np.zeros(0, np.int64)
-    after = raw[ff + 1]
-    stop = ff[(after != 0) & (after != 255) & ((after < 0xD0) | (after > 0xD7))]
-    end = int(stop[0]) if len(stop) else len(raw)
-    ff, after = ff[ff < end], after[ff < end]
-    marks = ff[(after >= 0xD0) & (after <= 0xD7)]
-    keep = np.ones(end, bool)
-    keep[ff[after == 0] + 1] = False
-    keep[marks] = keep[marks + 1] = False
-    out.scan = raw[:end][keep]
-    left = np.cumsum(keep)
-    out.starts = np.concatenate([[0], left[marks]]).astype(np.int64)
-    out.end = at + end + 2
+            parts = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+            scan, starts, at = _entropy(data, at)
+            if not out.scan_parts and (not out.parts or out.parts[0][0] in {c for c, _, _ in parts}):
+                out.scan_parts, out.scan, out.starts = parts, scan, starts
+                out.quant, out.tables = dict(quant), dict(tables)
+    if not out.scan_parts:
+        raise NotBaseline("luminance is in no scan")
     return out
 
 
@@ -412,7 +428,7 @@ def decode_many(media: list[bytes]) -> list[tuple[bytes, str]]:
     images, owner = [], []
     for i, data in enumerate(media):
         at = 0
-        while at < len(data):
+        while not at or data[at : at + 2] == b"\xff\xd8":
             images.append(parse(data, at))
             owner.append(i)
             at = images[-1].end
@@ -426,6 +442,16 @@ def decode_many(media: list[bytes]) -> list[tuple[bytes, str]]:
     return [(b"".join(p), ",".join(f)) for p, f in zip(payloads, features, strict=True)]
 
 
+def _decode_each(media: list[bytes]) -> list[tuple[bytes, str] | None]:
+    """As decode_many, with None for values that cannot be read."""
+    try:
+        return list(decode_many(media))
+    except (NotBaseline, struct.error, IndexError, ValueError):
+        if len(media) == 1:
+            return [None]
+        return [x for m in media for x in _decode_each([m])]
+
+
 def encode_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: the key, the text's unpadded length and the JPEG bytes that hold it. No shuffle."""
     rows = project(df, key=key, text=text)
@@ -440,23 +466,24 @@ def encode_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def read_media(df: DataFrame, key: str = "doc_id", media: str = "media", n_bytes: str | None = None) -> DataFrame:
-    """Features of stored JPEG bytes: payload digests, dimensions and thumbnail hash. Null media are skipped as null features."""
+    """Features of stored JPEG bytes: payload digests, dimensions and thumbnail hash. Null media give nulls; media
+    that cannot be read give their own digest, and null features."""
     wanted = {"key": key, "media": media} | ({"n_bytes": n_bytes} if n_bytes else {})
     rows = project(df, **wanted)
 
     def kernel(batch: pa.RecordBatch) -> dict:
         stored = batch.column("media").to_pylist()
-        known = [x for x in stored if x]
-        read = iter(decode_many(known))
-        back = [next(read) if x else (b"", "") for x in stored]
+        read = iter(_decode_each([x for x in stored if x is not None]))
+        back = [None if x is None else next(read) for x in stored]
+        of = lambda f: [None if x is None else f(x) for x in back]
         out = {
             "key": batch.column("key"),
-            "payload_bytes": [len(p) for p, _ in back],
-            "payload_sha256": [hashlib.sha256(p).hexdigest() for p, _ in back],
-            "tail_crc32": [zlib.crc32(p[-32:]) for p, _ in back],
-            "media_bytes": [len(x or b"") for x in stored],
-            "media_sha256": [hashlib.sha256(x or b"").hexdigest() for x in stored],
-            "feature": [f for _, f in back],
+            "payload_bytes": of(lambda x: len(x[0])),
+            "payload_sha256": of(lambda x: hashlib.sha256(x[0]).hexdigest()),
+            "tail_crc32": of(lambda x: zlib.crc32(x[0][-32:])),
+            "media_bytes": [None if x is None else len(x) for x in stored],
+            "media_sha256": [None if x is None else hashlib.sha256(x).hexdigest() for x in stored],
+            "feature": of(lambda x: x[1]),
         }
         return out | ({"n_bytes": batch.column("n_bytes")} if n_bytes else {})
 
