@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from inkstream.llm import shards
 from tests.llm.cases import by_id, documents, empty, plain, texts
 
@@ -15,7 +17,7 @@ def brute(rows, limit):
     while todo:
         prefix, own = todo.pop()
         size = sum(n for _, n, _ in own)
-        if size <= limit or len(prefix) == 56:
+        if size <= limit or len(own) == 1:
             for k, n, h in own:
                 out[k] = (n, prefix, size, len(own))
             continue
@@ -46,16 +48,34 @@ def test_odd_rows(spark):
     rows = by_id(shards.assign_shards(documents(spark), 1_000))
     assert len(rows) == len(texts()) + 3
     assert {r.n_bytes for r in rows if r.doc_id == 15} == {len(texts()[15].encode())}
-    assert [r.fits for r in rows if r.doc_id == 11] == [False]  # alone, and over the limit
+    assert [(r.fits, r.shard_rows) for r in rows if r.doc_id == 11] == [(False, 1)]  # alone, and over the limit
+    assert all(r.fits or r.shard_rows == 1 for r in rows)
     assert shards.assign_shards(empty(spark), 1_000).collect() == []
 
 
-def test_repeated_keys_cannot_be_parted(spark):
-    rows = shards.assign_shards(plain(spark, [(1, "x" * 600)] * 3), 1_000).collect()
-    assert {(r.depth, r.shard_rows, r.fits) for r in rows} == {(56, 3, False)}
+def test_repeated_keys_are_parted(spark):
+    rows = shards.assign_shards(plain(spark, [(1, "x" * 600)] * 40), 2_000).collect()
+    assert len(rows) == 40 and all(r.fits and r.depth > 56 for r in rows)
+    count = {r.shard: r.shard_rows for r in rows}
+    assert sum(count.values()) == 40 and max(count.values()) <= 3
 
 
 def test_shards_are_written(spark, tmp_path):
     docs = plain(spark, [(i, "x" * 100) for i in range(50)])
-    shards.write_shards(docs, shards.assign_shards(docs, 1_000), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+    assert shards.write_shards(docs, str(tmp_path / "out"), 1_000) == "shard"
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 50
+    assert all(r.b <= 1_000 for r in back.groupBy("shard").agg(F.sum(F.length("text")).alias("b")).collect())
+
+
+def test_every_row_is_written_once(spark, tmp_path):
+    """Repeated and null ids, and a column that is called as the partitions' one."""
+    docs = documents(spark).withColumnRenamed("n_bytes", "Shard")
+    assert shards.write_shards(docs, str(tmp_path / "out"), 1_000) == "shard_"
+    back = spark.read.parquet(str(tmp_path / "out"))
+    names = back.columns
+    assert names[:2] == ["doc_id", "text"] and "TEXT_2" in names and names[-1] == "shard_"
+    got = sorted((r[0] is None, r[0] or 0, r[1] or "") for r in back.collect())
+    assert got == sorted((r[0] is None, r[0] or 0, r[1] or "") for r in docs.collect())
+    assert len(got) == len(texts()) + 3
+    shards.write_shards(empty(spark), str(tmp_path / "none"), 1_000)
