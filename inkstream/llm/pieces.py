@@ -4,9 +4,15 @@ Words (runs of the space mark with what follows, which no piece of the model cro
 symbol arrays, the segmented minimum of the pair ranks of each word, all leftmost occurrences of that pair merged at
 once, compaction of the arrays, until no pair remains. This gives the library's order of merges as long as a round
 never makes a pair that ranks before the one just merged, and no two pieces share the score. Both are checked in
-every round; the words concerned, and very long ones, go to a queue that merges one pair at a time.
+every round; only the words concerned go to a queue that merges one pair at a time.
 
-Null and empty texts have no tokens and decode to the empty text. Repeated rows give repeated rows.
+Long runs without a blank (scripts that write none, or junk) would take a round for each of their distinct pairs, with
+all words waiting, so they are cut first where no merge can ever cross: between neighbouring symbols that no piece of
+the model holds side by side. The parts are encoded as words of their own; the rounds of words are run in groups of
+like length, so that long words do not hold up short ones.
+
+Null and empty texts have no tokens and decode to the empty text. Texts of any length are read whole. Repeated rows give
+repeated rows, an empty table none. Further columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,8 +31,11 @@ from inkstream.llm.common import map_slices, project, strings
 SPACE = "▁"
 #: Words kept with their ids by each Python worker.
 CACHE_WORDS = 300_000
-#: Longer words (in symbols) go to the queue, whose cost grows as n log n.
+#: Words longer than this (in symbols) are cut where no piece crosses, and go through rounds of their own.
 LONG_WORD = 256
+#: Ends of the groups of lengths whose rounds run together; what has no cut for longer than the last (junk) is merged
+#: by the queue, whose cost grows as n log n.
+LENGTHS = (256, 1_024, 4_096)
 _FAR = np.iinfo(np.int64).max
 
 
@@ -74,6 +83,7 @@ class Pieces:
         for s, i in self.symbols.items():
             if len(s) == 1:
                 self.char[ord(s)] = i
+        self.beside = np.unique([self.symbols[a] * self.known + self.symbols[b] for p in ids for a, b in itertools.pairwise(p)])
         self.scores = np.array([lib.get_score(i) for i in range(n)])
         order = np.unique(-self.scores, return_inverse=True)[1]
         shared = np.bincount(order[sorted(ids.values())], minlength=order.max() + 1) > 1
@@ -234,20 +244,56 @@ class Pieces:
         edge = np.cumsum(count)
         return out, ends[edge] - ends[edge - count]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words and puts their ids behind those already kept, in order."""
-        short = [w if len(w) <= LONG_WORD else "" for w in words]
-        flat, count, odd = self.merge_rounds([w or "\n" for w in short])
-        slow = np.flatnonzero(odd | np.array([not w for w in short]))
-        if len(slow):
+    def cut(self, word: str) -> list[str]:
+        """The word in parts that no merge can join: no piece holds the symbols at a cut side by side."""
+        symbol = self._symbols_of(word)
+        left, right = symbol[:-1], symbol[1:]
+        key = np.where((left < self.known) & (right < self.known), left * self.known + right, -1)
+        at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
+        edges = [0, *(np.flatnonzero(self.beside[at] != key) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in itertools.pairwise(edges)]
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols left in all words, and how many each has; words are of like length."""
+        flat, count, odd = self.merge_rounds(words)
+        if odd.any():
             edge = np.cumsum(count)
             parts, k = [], 0
-            for i in slow.tolist():
+            for i in np.flatnonzero(odd).tolist():
                 own = np.array(self.merge_queue(words[i]), np.int64)
                 parts += [flat[k : edge[i] - count[i]], own]
                 k, count[i] = edge[i], len(own)
             flat = np.concatenate([*parts, flat[k:]])
+        return flat, count
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words and puts their ids behind those already kept, in order."""
+        cuts = {i: self.cut(w) for i, w in enumerate(words) if len(w) > LONG_WORD}
+        parts = words if not cuts else [p for i, w in enumerate(words) for p in cuts.get(i, (w,))]
+        group = np.searchsorted(LENGTHS, [len(p) for p in parts], "left")
+        count = np.zeros(len(parts), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for g in np.unique(group).tolist():
+            index = np.flatnonzero(group == g)
+            if g == len(LENGTHS):
+                own = [self.merge_queue(parts[i]) for i in index.tolist()]
+                symbol, n = np.array(list(itertools.chain.from_iterable(own)), np.int64), np.array([len(x) for x in own], np.int64)
+            else:
+                symbol, n = self._merged([parts[i] for i in index.tolist()] if len(index) < len(parts) else parts)
+            count[index] = n
+            found.append((index, n, symbol))
+        if len(found) == 1:
+            flat = found[0][2]
+        else:
+            starts = np.cumsum(count) - count
+            flat = np.empty(int(count.sum()), np.int64)
+            for index, n, symbol in found:
+                flat[np.repeat(starts[index] - (np.cumsum(n) - n), n) + np.arange(len(symbol))] = symbol
         ids, count = self._ids(flat, count)
+        if cuts:
+            width = np.ones(len(words), np.int64)
+            width[list(cuts)] = [len(x) for x in cuts.values()]
+            count = np.add.reduceat(count, np.cumsum(width) - width)
         self._kept_ids = np.concatenate([self._kept_ids, ids])
         self._kept_len = np.concatenate([self._kept_len, count])
 

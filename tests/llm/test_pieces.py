@@ -46,6 +46,21 @@ def test_any_text(found):
     _same(found)
 
 
+def test_long_words_stay_in_rounds(monkeypatch):
+    """Scripts without blanks are cut where no piece crosses; only what has no cut for thousands of symbols is queued."""
+    m = pieces.load(MODEL)
+    queued = []
+    queue = pieces.Pieces.merge_queue
+    monkeypatch.setattr(pieces.Pieces, "merge_queue", lambda self, w: queued.append(w) or queue(self, w))
+    random.seed(8)
+    m._forget()
+    _same(["".join(random.choice("日本語の文章は空白なしに書かれる。中文也是ภาษาไทย") for _ in range(3000)), "x9" + "".join(random.choice("etaoinshrd0123") for _ in range(2000)), "日" * 300 + "abc" * 200])
+    assert not queued
+    assert "".join(m.cut("日本語" * 99)) == "日本語" * 99
+    _same(["ab" * 5000])
+    assert [len(w) > 4096 for w in queued] == [True] * len(queued)
+
+
 def test_ids_that_no_encoding_gives():
     m = pieces.load(MODEL)
     for ids in ([1, 2, 0], [200, 201, 300], [28705, 28705], [264, 198, 264], [0], [264, 1, 264]):
