@@ -48,9 +48,11 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_counts.section_tokens(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), rule="first")
-    counts = F.transform("sections", lambda s: s["tokens"])
-    return found.select("doc_id", "n_tokens", F.size("sections").cast("long").alias("n_sections"), "n_crossing", F.array_max(counts).alias("most_tokens"), F.sha2(F.array_join(counts.cast("array<string>"), ","), 256).alias("section_tokens_sha256"))
+    rules = token_counts.RULES
+    found = token_counts.section_tokens(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), rules=rules)
+    counts = {r: F.transform("sections", lambda s, r=r: s[r]) for r in rules}
+    digests = [F.sha2(F.array_join(c.cast("array<string>"), ","), 256).alias(f"{r}_sha256") for r, c in counts.items()]
+    return found.select("doc_id", "n_tokens", F.size("sections").cast("long").alias("n_sections"), "n_crossing", F.array_max(counts["first"]).alias("most_tokens"), *digests)
 
 
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +105,7 @@ WITH h AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
     lpad(bin(CAST('0x' || substr(md5(coalesce(source, '')), 1, 4) AS BIGINT)), 16, '0') || lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10) AS BIGINT)), 40, '0') AS bits FROM documents),
 p AS (SELECT doc_id, n_bytes, d, substr(bits, 1, d) AS shard FROM h, (SELECT unnest(generate_series(0, 56)) AS d)),
 s AS (SELECT d, shard, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY d, shard),
-f AS (SELECT p.*, shard_bytes, shard_rows FROM p JOIN s USING (d, shard) WHERE shard_bytes <= {SHARD_BYTES} OR d = 56 QUALIFY d = min(d) OVER (PARTITION BY doc_id))
+f AS (SELECT p.*, shard_bytes, shard_rows FROM p JOIN s USING (d, shard) WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1 OR d = 56 QUALIFY d = min(d) OVER (PARTITION BY doc_id))
 SELECT doc_id, n_bytes, shard, CAST(d AS BIGINT) AS depth, shard_bytes, shard_rows, shard_bytes <= {SHARD_BYTES} AS fits FROM f""",
     "op4_arc_to_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages), h AS (SELECT *, sha1(html) AS h FROM p)
