@@ -6,9 +6,10 @@ and repositories: a value of several owners, or of more than LIVE_REPOS reposito
 other value looks live. Live opaque
 strings are added as spans of kind `live`; base spans always stay.
 
-Null and empty texts have no spans. A null owner is an owner of its own. Repeated rows are rows of their own, counted
-once as a repository. Counting is pre-aggregated by (value, owner, repository), so a value found everywhere makes no
-large group.
+Null and empty texts have no spans; texts of any length are read whole. A null owner is an owner of its own, as is a null
+repository. Repeated rows are rows of their own, counted once as a repository. An empty table gives no rows; further
+columns may have any names. Counting is pre-aggregated by (value, owner, repository), and what is known of values that
+very many rows hold is broadcast to their rows, so a value found everywhere makes no large group.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import map_slices, project, settle, strings
+from inkstream.llm.common import BROADCAST_ROWS, map_slices, project, settle, sized, strings
 
 KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,6 +38,8 @@ LEAST_ENTROPY = 3.5
 LIVE_OWNERS = 1
 #: Repositories a value may be in and still look live, whoever owns them.
 LIVE_REPOS = 100
+#: Repositories of a value beyond which its rows are not brought together by the value.
+HOT_REPOS = 1_000
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -92,7 +95,15 @@ def _judged(found: DataFrame, most: int) -> DataFrame:
     """_row, judged: each row's spans with whether the value is shared. found is a settled table with column _row."""
     shared = settle(_shared(found, most), "secret-values")
     flat = found.select("_row", F.explode("spans").alias("s")).select("_row", "s.*")
-    known = flat.join(shared.select("value", F.lit(True).alias("shared")), "value", "left")
+    mark = F.lit(True).alias("shared")
+    if shared.count() <= BROADCAST_ROWS:
+        known = flat.join(F.broadcast(shared.select("value", mark)), "value", "left")
+    else:
+        # hot values are few: each has over HOT_REPOS rows of the input; their rows stay where they are
+        hot = sized(settle(shared.filter(F.col("n_repos") > HOT_REPOS).select("value", mark), "secret-hot-values"))
+        near = flat.join(hot, "value", "left")
+        rest = shared.filter(F.col("n_repos") <= HOT_REPOS).select("value", mark)
+        known = near.filter("shared").unionByName(near.filter("shared is null").drop("shared").join(rest, "value", "left"))
     span = F.struct("start", "kind", "stop", F.coalesce("shared", F.lit(False)).alias("shared"))
     return known.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("judged"))
 

@@ -52,6 +52,14 @@ def test_ownership_tells_examples_from_credentials(spark):
     assert kept[0] == f"say {example} now" and kept[10] == "mine [live] here"
 
 
+def test_many_shared_values(spark, monkeypatch):
+    docs = plain(spark, [(i, f"say x9Kq2LmW7vRt4ZpY8sNd3HfG6bTc and b7Jw5QxE1kUo9MzA4rVi2PsD8n{i // 4}Gh") for i in range(24)])
+    before = by_id(s.digest(s.scan_secrets(docs)))
+    monkeypatch.setattr(s, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(s, "HOT_REPOS", 10)
+    assert by_id(s.digest(s.scan_secrets(docs))) == before and [r.n_live for r in before] == [0] * 24
+
+
 def test_masking_takes_every_base_span_and_nothing_else(spark):
     docs = documents(spark)
     masked = s.mask_secrets(docs, length="n_chars")
