@@ -1,13 +1,17 @@
 """Operator 10, quality classifier: a generalised additive model with pairwise interactions.
 
 Each text gives a vector of shares and ratios over its whole length. Boosting goes round the features in turn and
-fits a shallow tree to one feature's bins; the trees of a feature add up to one lookup table. Then the strongest pairs
-of features get tables of their own on coarser bins, in the same way. A score is the sum of looked-up bin values.
+fits a shallow tree to one feature's bins; the trees of a feature add up to one lookup table. Then pairs of features
+get tables of their own on coarser bins (every feature's own cuts, thinned out), in the same way: those pairs whose
+cells explain most of what is left beyond what rows and columns of cells explain alone. Features with one bin only
+take part in neither. A score is the sum of looked-up bin values.
 
 Labels come from at most LABELS rows (those with the smallest hashes of the id), so fitting takes the driver bounded
-memory; everything else covers all rows. Null and empty texts have all features zero and are scored like any other.
+memory: should ids of documents repeat, at most TEXTS texts for each label on average. Everything else covers all rows.
+Null and empty texts have all features zero and are scored like any other; texts of any length are read whole.
 Without labels, or with one class only, all scores are the share of ones (0.5 without labels). Repeated label rows
-count as often as they come; null labels are left out.
+count as often as they come; null labels and ids are left out. A null id is in no held-out fold. Repeated documents
+give repeated rows, an empty table none. Further columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from inkstream.llm.common import encoded, map_slices, project, utf8
 
 #: Most labelled rows the model is fitted on.
 LABELS = 6_000
+#: Texts for each label, should several rows have its id.
+TEXTS = 4
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE, LEAVES = 120, 60, 0.15, 3
 _MARKS = b"!#$%&*|<>{}[]()/\\_=+-:;,.?\"'"
@@ -83,11 +89,19 @@ def features(array: pa.Array) -> np.ndarray:
     return out
 
 
+def _thinned(cuts: int) -> np.ndarray:
+    """Coarse bin of each bin of a feature with so many cuts, of which PAIR_BINS - 1 at most are kept, evenly spread."""
+    kept = np.unique(np.linspace(0, cuts - 1, min(cuts, PAIR_BINS - 1)).round().astype(np.int64)) if cuts else np.zeros(0, np.int64)
+    return np.searchsorted(kept, np.arange(BINS), "left")
+
+
 class Additive:
-    """Lookup tables by feature and by pair of features; score() adds them up."""
+    """Lookup tables by feature and by pair of features; score() adds them up. coarse has a pair table's bin by feature
+    and bin."""
 
     def __init__(self, start: float, cuts: list[np.ndarray], tables: np.ndarray, pairs: list[tuple[int, int]], pair_tables: np.ndarray):
         self.start, self.cuts, self.tables, self.pairs, self.pair_tables = start, cuts, tables, pairs, pair_tables
+        self.coarse = np.stack([_thinned(len(c)) for c in cuts])
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, k], "right") for k, c in enumerate(self.cuts)], 1) if len(x) else np.zeros(x.shape, np.int64)
@@ -97,9 +111,8 @@ class Additive:
         total = np.full(len(x), self.start)
         for k, table in enumerate(self.tables):
             total += table[at[:, k]]
-        coarse = at * PAIR_BINS // BINS
         for (i, j), table in zip(self.pairs, self.pair_tables, strict=True):
-            total += table[coarse[:, i], coarse[:, j]]
+            total += table[self.coarse[i][at[:, i]], self.coarse[j][at[:, j]]]
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
@@ -148,15 +161,17 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
             step = RATE * _tree(np.bincount(at[:, k], weight * (y - p), BINS), np.bincount(at[:, k], weight * p * (1 - p), BINS), LEAVES)
             model.tables[k] += step
             total += step[at[:, k]]
-    coarse = at * PAIR_BINS // BINS
+    coarse = np.stack([model.coarse[k][at[:, k]] for k in range(width)], 1)
     p = 1 / (1 + np.exp(-total))
     cell = lambda i, j: coarse[:, i] * PAIR_BINS + coarse[:, j]
     cells = PAIR_BINS**2
+    explained = lambda g, w: float((g**2 / (w + 1.0)).sum())
     gains = []
     for i, j in itertools.combinations([k for k in range(width) if len(cuts[k])], 2):
-        g, w = np.bincount(cell(i, j), weight * (y - p), cells), np.bincount(cell(i, j), weight * p * (1 - p), cells)
-        gains.append((-float((g**2 / (w + 1.0)).sum()), i, j))
-    model.pairs = [(i, j) for _, i, j in sorted(gains)[:PAIRS]]
+        g, w = np.bincount(cell(i, j), weight * (y - p), cells).reshape(PAIR_BINS, -1), np.bincount(cell(i, j), weight * p * (1 - p), cells).reshape(PAIR_BINS, -1)
+        beyond = explained(g, w) - explained(g.sum(0), w.sum(0)) - explained(g.sum(1), w.sum(1))
+        gains.append((-beyond, i, j))
+    model.pairs = [(i, j) for gain, i, j in sorted(gains)[:PAIRS] if gain < 0]
     model.pair_tables = np.zeros((len(model.pairs), PAIR_BINS, PAIR_BINS))
     for _ in range(PAIR_ROUNDS):
         for q, (i, j) in enumerate(model.pairs):
@@ -176,19 +191,19 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def in_fold(key: Column) -> Column:
-    """The held-out fold: crc32 of the id as text leaves 1 when divided by 3."""
-    return F.crc32(key.cast("string").cast("binary")) % 3 == 1
+    """The held-out fold: crc32 of the id as text leaves 1 when divided by 3; false for a null id."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = LABELS) -> Additive:
-    """The model from the labelled rows outside the held-out fold, at most `most` of them."""
+    """The model from the labelled rows outside the held-out fold, at most `most` of them (and TEXTS x most texts)."""
     known = project(labels, key=key, label=label).dropna()
     sample = known.filter(~in_fold(F.col("key"))).orderBy(F.xxhash64(F.col("key").cast("string")), "key", "label").limit(most)
     rows = project(docs, key=key, text=text).join(F.broadcast(sample), "key")
     kernel = lambda b: {"key": b.column("key"), "label": b.column("label"), "x": list(features(b.column("text")))}
     kinds = dict(rows.dtypes)
     seen = map_slices(rows.select("key", "label", "text"), kernel, f"key {kinds['key']}, label {kinds['label']}, x array<double>")
-    got = seen.orderBy("key", "label", "x").limit(4 * most).toPandas()
+    got = seen.orderBy("key", "label", "x").limit(TEXTS * most).toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, got["label"].to_numpy(np.float64))
 

@@ -39,6 +39,52 @@ def test_pairs_learn_what_single_features_cannot():
     assert np.mean((model.score(x) >= 0.5) == y) > 0.9
 
 
+def plain_score(model, x):
+    """The model's sum by loops over rows, features, cuts and pairs."""
+    out = []
+    for row in x:
+        bins = [sum(c <= v for c in cuts) for v, cuts in zip(row, model.cuts, strict=True)]
+        total = model.start + sum(model.tables[k][b] for k, b in enumerate(bins))
+        for (i, j), table in zip(model.pairs, model.pair_tables, strict=True):
+            at = []
+            for k in (i, j):
+                n = len(model.cuts[k])
+                kept = sorted({round(t * (n - 1) / (m - 1)) if (m := min(n, q.PAIR_BINS - 1)) > 1 else 0 for t in range(min(n, q.PAIR_BINS - 1))})
+                at.append(sum(c < bins[k] for c in kept))
+            total += table[at[0]][at[1]]
+        out.append(1 / (1 + np.exp(-max(-30, min(30, total)))))
+    return out
+
+
+def auc(score, y):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    ones = y.sum()
+    return (rank[y == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones))
+
+
+def test_scores_are_sums_of_table_values():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((300, len(q.FEATURES))) ** 3, 1) * (rng.random(len(q.FEATURES)) < 0.7)
+    y = ((x[:, 3] + x[:, 5] * x[:, 8] + 0.2 * rng.random(300)) > 0.4).astype(float)
+    model = q.fit(x, y)
+    assert np.allclose(model.score(x), plain_score(model, x), rtol=0, atol=1e-12)
+    assert len(set(model.pairs)) == len(model.pairs) and all(len(model.cuts[k]) for p in model.pairs for k in p)
+
+
+def test_pairs_add_to_the_main_effects():
+    """Held-out rows, an interaction of features with few bins: without the pairs' tables the ranking is worse."""
+    rng = np.random.default_rng(6)
+    x = np.zeros((1600, len(q.FEATURES)))
+    x[:, 2:7] = rng.integers(0, 4, (1600, 5))
+    y = (x[:, 2] + 2.0 * ((x[:, 3] > 1) ^ (x[:, 4] > 1)) + rng.normal(0, 0.7, 1600) > 2.5).astype(float)
+    model = q.fit(x[:800], y[:800])
+    bare = q.Additive(model.start, model.cuts, model.tables, [], np.zeros((0, q.PAIR_BINS, q.PAIR_BINS)))
+    assert model.pairs[0] == (3, 4)
+    assert auc(model.score(x[800:]), y[800:]) > auc(bare.score(x[800:]), y[800:]) + 0.01
+
+
 def test_scores_do_not_depend_on_the_batch():
     found = [t or "" for t in texts()]
     whole = q.features(pa.array(found))
