@@ -25,8 +25,35 @@ def test_matches_brute_force():
         make = lambda m, v=v: " ".join(random.choice(v) for _ in range(random.randint(0, m)))
         items = [(str(i), make(random.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 15]))) for i in range(random.randint(0, 6))]
         docs = [make(40) for _ in range(6)]
-        for text, (runs, which, n) in zip(docs, d.longest_matches([t.encode() for t in docs], d.TestSet(items)), strict=True):
-            assert (n, sum(b - a for a, b in runs), sorted(items[i][0] for i in which)) == brute(text, items)
+        for text, x in zip(docs, d.longest_matches([t.encode() for t in docs], d.TestSet(items)), strict=True):
+            assert (x.words, sum(b - a for a, b in x.runs), sorted(items[i][0] for i in x.items)) == brute(text, items)
+            assert sorted(x.matches) == maximal(text, items)
+            assert all(a < b < c for (a, b), (c, _) in zip(x.runs, x.runs[1:], strict=False))
+
+
+def maximal(text, items):
+    """(item, its word, the text's word, words) of matches that go no further on either side, word by word."""
+    w, out = text.split(), []
+    for i, (_, t) in enumerate(items):
+        q = t.split()
+        least = min(len(q), 10)
+        for a in range(len(q)):
+            for p in range(len(w)):
+                if (a and p and q[a - 1] == w[p - 1]) and least == 10:
+                    continue
+                n = 0
+                while a + n < len(q) and p + n < len(w) and q[a + n] == w[p + n]:
+                    n += 1
+                if n >= least > 0:
+                    out.append((i, a, p, n))
+    return sorted(out)
+
+
+def test_matches_as_long_as_they_go():
+    item = " ".join(f"w{i}" for i in range(40))
+    text = "x y " + " ".join(f"w{i}" for i in range(5, 38)) + " z " + " ".join(f"w{i}" for i in range(12))
+    (x,) = d.longest_matches([text.encode()], d.TestSet([("i", item)]))
+    assert x.matches == [(0, 5, 2, 33), (0, 0, 36, 12)]
 
 
 def _benchmark(spark, items):
@@ -37,17 +64,28 @@ ITEMS = [("10", "same passage of words that stands in several documents and is l
 
 
 def test_query_rows(spark):
+    said = []
     for limit in (1 << 20, 1):
         found = d.find_contamination(documents(spark), _benchmark(spark, ITEMS), limit=limit)
-        for row in by_id(found):
+        rows = by_id(found)
+        said.append([(r.doc_id, r.n_words, r.runs, r["items"], sorted(r.matches)) for r in rows])
+        assert len(rows) == len(texts()) + 3
+        for row in rows:
             n, hit, names = brute(texts()[row.doc_id] if row.doc_id is not None else None, ITEMS)
             assert (row.n_words, sum(r.b - r.a for r in row.runs), row["items"]) == (n, hit, names)
+            assert all(r.a < r.b for r in row.runs) and {m.item for m in row.matches} == set(names)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(said[0], key=key) == sorted(said[1], key=key)
 
 
 def test_removal_keeps_columns_and_clean_rows(spark):
     docs = documents(spark)
     kept = d.remove_contaminated(docs, _benchmark(spark, ITEMS))
     assert kept.columns == docs.columns
+    blocks = d.remove_contaminated(docs, _benchmark(spark, ITEMS), limit=1)
+    assert blocks.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, blocks.collect()))
+    upper = plain(spark, [(1, "word"), (2, "clean")]).toDF("DOC_ID", "TEXT", "a", "b", "c")
+    assert [r[0] for r in d.remove_contaminated(upper, _benchmark(spark, ITEMS)).collect()] == [2]
     dirty = {i for i, t in enumerate(texts()) if brute(t, ITEMS)[1]}
     ids = {r[0] for r in kept.collect()}
     assert ids == set(range(len(texts()))) - dirty | {None} and dirty
@@ -61,6 +99,6 @@ def test_empty_sides(spark):
 
 def test_a_text_without_words_between_hits_is_clean(spark):
     texts = ["one same", "", "same two"]
-    assert [runs for runs, _, _ in d.longest_matches([t.encode() for t in texts], d.TestSet([("1", "same")]))] == [[(1, 2)], [], [(0, 1)]]
+    assert [x.runs for x in d.longest_matches([t.encode() for t in texts], d.TestSet([("1", "same")]))] == [[(1, 2)], [], [(0, 1)]]
     docs = plain(spark, list(enumerate(texts))).coalesce(1)
     assert [r.doc_id for r in d.remove_contaminated(docs, _benchmark(spark, [("1", "same")])).collect()] == [1]
