@@ -4,7 +4,8 @@ Every text gets a 64-bit fingerprint over its word shingles. Distinct fingerprin
 node's vantage point and radius part them into an inner and an outer side by Hamming distance, and by the triangle
 inequality only outer points within `bits` of the radius can have partners inside, so those are copied to the inner
 side as well. Leaves are shards; in each the same is done with a local tree down to small blocks, which are compared
-in full. So all pairs of at most `bits` differing bits are found, without comparing all with all.
+in full. So all pairs of at most `bits` differing bits are found, without comparing all with all. The driver grows the
+top tree from a sample of bounded size; shards that are too large even so are parted by trees grown in tasks.
 
 A shard returns a spanning forest of its links, not all pairs; connected components are then taken over all shards.
 
@@ -21,7 +22,8 @@ as one shingle. Repeated rows share a fingerprint. Null ids never become a compo
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import encoded, map_slices, prepare, project, settle, sized, with_row_key
+from inkstream.llm.common import column_at, encoded, map_slices, prepare, project, settle, sized, with_row_key
 from inkstream.llm.components import stars
 
 #: Fingerprints the top tree is built from, those with the smallest hashes; this bounds what the driver holds.
 SAMPLE = 16_384
 #: Distinct fingerprints meant for one shard, and sampled ones that a leaf needs at least.
 SHARD, SAMPLED_LEAF = 4_096, 16
+#: Leaves of one tree at most (below 1 << LEAF_BITS), and times SHARD beyond which a shard gets a tree of its own.
+LEAVES, LEAF_BITS, OVERFULL = 1_024, 20, 4
 #: Points compared in full.
 BLOCK = 512
 #: Bytes of shingle sets in a block of a cluster, and distinct shingles counted side by side.
@@ -195,49 +199,94 @@ def link(points: np.ndarray, bits: int) -> np.ndarray:
     return forest.root
 
 
-def _plant(nodes: DataFrame, bits: int) -> Tree:
+def _sampled(nodes: DataFrame, most: int) -> np.ndarray:
+    rows = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(most).collect()
+    return np.array([r[0] for r in rows], np.int64).view(np.uint64)
+
+
+def _routed(tree: Tree, points: np.ndarray, shard: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, fp) of where a tree deals points; shard is the one they come from, whose leaves are numbered on."""
+    for a in range(0, len(points), 1 << 16):
+        leaf, index = tree.route(points[a : a + (1 << 16)])
+        yield pa.RecordBatch.from_pydict({"shard": pa.array((shard << LEAF_BITS) + leaf, pa.int64()), "fp": pa.array(points[a + index].view(np.int64))})
+
+
+def _deal(nodes: DataFrame, bits: int) -> DataFrame:
+    """(shard, fp): every fingerprint in all shards where it may meet a partner.
+
+    The driver's tree has LEAVES leaves at most. Where that leaves shards too large, each of them gets a tree of its own,
+    grown in a task from a sample of its points; the driver holds LEAVES such trees of LEAVES leaves at most.
+    """
     total = nodes.count()
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    points = np.array([r[0] for r in sample], np.int64).view(np.uint64)
-    return Tree(points, min(-(-total // SHARD), len(points) // SAMPLED_LEAF), bits)
+    points = _sampled(nodes, SAMPLE)
+    tree = Tree(points, min(-(-total // SHARD), LEAVES, len(points) // SAMPLED_LEAF), bits)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _routed(tree, batch.column("fp").to_numpy().view(np.uint64))
+
+    dealt = nodes.select("fp").mapInArrow(first, "shard long, fp long")
+    if total <= OVERFULL * SHARD * tree.shards:
+        return dealt
+    dealt = settle(dealt, "fingerprint-shards")
+    large = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > OVERFULL * SHARD)
+    sample = dealt.join(F.broadcast(large), "shard").filter(F.pmod(F.xxhash64("fp", F.lit(1)), F.greatest(F.col("n").cast("double") / SAMPLE, F.lit(1.0)).cast("long")) == 0)
+
+    def grow(shard: int, points: np.ndarray) -> pa.RecordBatch:
+        own = Tree(np.sort(points).view(np.uint64), min(-(-len(points) // SAMPLED_LEAF), LEAVES), bits)
+        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "tree": pa.array([pickle.dumps(own)], pa.binary())})
+
+    grown = sample.select("shard", "fp").repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _by_shard(it, grow), "shard long, tree binary")
+    trees = {r.shard: r.tree for r in grown.collect()}
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[int, Tree] = {}
+        for batch in batches:
+            shards, points = batch.column("shard").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            order = np.argsort(shards, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1):
+                if not len(part):
+                    continue
+                shard = int(shards[part[0]])
+                if shard not in trees:
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(part), shard << LEAF_BITS)), "fp": pa.array(points[part].view(np.int64))})
+                    continue
+                if shard not in ready:
+                    ready[shard] = pickle.loads(trees[shard])
+                yield from _routed(ready[shard], points[part], shard)
+
+    return dealt.mapInArrow(second, "shard long, fp long")
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch], make: Callable[[int, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """make(shard, fingerprints) for every shard of rows sorted by shard."""
+    shard, held = None, []
+    for batch in batches:
+        numbers, points = batch.column("shard").to_numpy(), batch.column("fp").to_numpy()
+        cut = np.flatnonzero(np.diff(numbers)) + 1
+        for part, first in zip(np.split(points, cut), np.concatenate([[0], cut]), strict=True):
+            if not len(part):
+                continue
+            if held and numbers[first] != shard:
+                yield make(int(shard), np.concatenate(held))
+                held = []
+            shard = numbers[first]
+            held.append(part)
+    if held:
+        yield make(int(shard), np.concatenate(held))
 
 
 def links(nodes: DataFrame, bits: int) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) that join all pairs of at most `bits` differing bits."""
     prepare(nodes.sparkSession)
-    tree = _plant(nodes, bits)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points = batch.column("fp").to_numpy().view(np.uint64)
-            for a in range(0, len(points), 1 << 16):
-                shard, index = tree.route(points[a : a + (1 << 16)])
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int64()), "fp": pa.array(points[a + index].view(np.int64))})
-
-    def one(points: np.ndarray) -> pa.RecordBatch:
+    def one(_: int, points: np.ndarray) -> pa.RecordBatch:
         points = np.sort(points).view(np.uint64)
         root = link(points, bits)
         own = np.flatnonzero(root != np.arange(len(points)))
         return pa.RecordBatch.from_pydict({"u": pa.array(points[own].view(np.int64)), "v": pa.array(points[root[own]].view(np.int64))})
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-        for batch in batches:
-            numbers, points = batch.column("shard").to_numpy(), batch.column("fp").to_numpy()
-            cut = np.flatnonzero(np.diff(numbers)) + 1
-            for part, first in zip(np.split(points, cut), np.concatenate([[0], cut]), strict=True):
-                if not len(part):
-                    continue
-                if held and numbers[first] != shard:
-                    yield one(np.concatenate(held))
-                    held = []
-                shard = numbers[first]
-                held.append(part)
-        if held:
-            yield one(np.concatenate(held))
-
-    dealt = nodes.select("fp").mapInArrow(route, "shard long, fp long")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(each, "u long, v long")
+    return _deal(nodes, bits).repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda it: _by_shard(it, one), "u long, v long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
@@ -393,6 +442,6 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     """The rows without all but the smallest of each group of similar texts; columns as given."""
     names = df.columns
     flat = df.toDF(*[f"_c{i}" for i in range(len(names))])
-    rows = with_row_key(flat, f"_c{names.index(key)}")
-    found = similar_documents(rows.select("_row", F.col(f"_c{names.index(text)}").alias("text")), words, similarity, bits)
+    rows = with_row_key(flat, f"_c{column_at(names, key)}")
+    found = similar_documents(rows.select("_row", F.col(f"_c{column_at(names, text)}").alias("text")), words, similarity, bits)
     return rows.join(sized(settle(found.select("_row"), "near-removed")), "_row", "left_anti").drop("_row").toDF(*names)

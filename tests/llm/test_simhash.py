@@ -135,3 +135,24 @@ def test_equal_or_close_fingerprints_are_no_proof_of_similarity(spark):
     assert a == b
     docs = plain(spark, [(1, one), (2, other), (3, one + " more"), (4, one.upper())])
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {1, 2}
+
+
+def test_large_shards_get_trees_of_their_own(spark, monkeypatch):
+    """Links through two levels of trees are those of comparing all with all."""
+    for name, value in (("SAMPLE", 64), ("SHARD", 16), ("SAMPLED_LEAF", 4), ("LEAVES", 8), ("BLOCK", 8)):
+        monkeypatch.setattr(simhash, name, value)
+    grown = []
+    loads = simhash.pickle.loads
+    monkeypatch.setattr(simhash.pickle, "loads", lambda b: grown.append(1) or loads(b))
+    rng = np.random.default_rng(12)
+    points = rng.integers(0, 1 << 63, 1500).astype(np.uint64)
+    near = points[:500] ^ (np.uint64(1) << rng.integers(0, 63, 500).astype(np.uint64))
+    points = np.unique(np.concatenate([points, near, near[:200] ^ (np.uint64(3) << rng.integers(0, 60, 200).astype(np.uint64))]))
+    nodes = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    tree = simhash._deal(nodes, 2)
+    assert tree.select("shard").distinct().count() > 8 * 4
+    found = simhash.links(nodes, 2).collect()
+    forest = simhash.Forest(len(points))
+    at = {int(p): i for i, p in enumerate(points.view(np.int64))}
+    forest.join(np.array([at[r.u] for r in found]), np.array([at[r.v] for r in found]))
+    assert forest.root.tolist() == roots(points, 2).tolist()
