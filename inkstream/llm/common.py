@@ -24,14 +24,17 @@ BATCH_ROWS = 256
 BROADCAST_ROWS = 200_000
 
 
+def column_at(names: list[str], name: str) -> int:
+    """Place of the column of that name, else of the first that differs from it in case only."""
+    hits = [i for i, c in enumerate(names) if c == name] or [i for i, c in enumerate(names) if c.lower() == name.lower()]
+    if not hits:
+        raise ValueError(f"no column {name!r} in {names}")
+    return hits[0]
+
+
 def project(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the wanted columns, as out=in, picked by position: further columns may clash with them in any way."""
-    at = {}
-    for out, name in wanted.items():
-        hits = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        if not hits:
-            raise ValueError(f"no column {name!r} in {df.columns}")
-        at[out] = hits[0]
+    at = {out: column_at(df.columns, name) for out, name in wanted.items()}
     flat = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
     return flat.select(*[F.col(f"_c{i}").alias(out) for out, i in at.items()])
 

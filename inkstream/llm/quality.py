@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import encoded, map_slices, project, utf8
+from inkstream.llm.common import column_at, encoded, map_slices, project, utf8
 
 #: Most labelled rows the model is fitted on.
 LABELS = 6_000
@@ -219,7 +219,7 @@ def keep_good(docs: DataFrame, model: Additive, text: str = "text", least: float
     """The rows whose text scores `least` or more; columns as given."""
     names = docs.columns
     flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    body = f"_c{names.index(text)}"
+    body = f"_c{column_at(names, text)}"
 
     def kernel(batch: pa.RecordBatch) -> dict:
         return {c: batch.column(c) for c in batch.schema.names} | {"keep": model.score(features(batch.column(body))) >= least}

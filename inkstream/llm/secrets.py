@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import BROADCAST_ROWS, map_slices, project, settle, sized, strings
+from inkstream.llm.common import BROADCAST_ROWS, column_at, map_slices, project, settle, sized, strings
 
 KINDS = ("assign", "access", "hex", "live")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -164,7 +164,7 @@ def mask_secrets(df: DataFrame, text: str = "text", owner: str = "source", repo:
     Texts without candidates pass straight through; only the others are written and meet the counts.
     """
     names = df.columns
-    at = {k: names.index(v) for k, v in (("text", text), ("owner", owner), ("repo", repo))}
+    at = {k: column_at(names, v) for k, v in (("text", text), ("owner", owner), ("repo", repo))}
     flat = df.toDF(*[f"_c{i}" for i in range(len(names))])
     body, inner = f"_c{at['text']}", flat.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in flat.dtypes)
@@ -189,6 +189,6 @@ def mask_secrets(df: DataFrame, text: str = "text", owner: str = "source", repo:
     clean = found.filter(F.size("spans") == 0).drop("spans")
     hidden = met.mapInArrow(hide, flat.schema)
     if length:
-        n = f"_c{names.index(length)}"
+        n = f"_c{column_at(names, length)}"
         hidden = hidden.withColumn(n, F.length(body).cast(dict(flat.dtypes)[n]))
     return clean.unionByName(hidden).toDF(*names)

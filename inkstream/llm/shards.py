@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.llm.common import project, settle
+from inkstream.llm.common import column_at, project, settle
 
 GROUP_BITS, KEY_BITS, ROW_BITS = 16, 40, 32
 #: Bits of group and key, which make one number, and all bits.
@@ -98,9 +98,7 @@ def write_shards(df: DataFrame, path: str, limit: int, key: str = "doc_id", text
     name = "shard"
     while name in {x.lower() for x in names}:
         name += "_"
-    wanted = {k: next((i for i, c in enumerate(df.columns) if c == v), None) for k, v in (("key", key), ("text", text), ("grouped", group))}
-    if missing := [k for k, i in wanted.items() if i is None]:
-        raise ValueError(f"no column for {missing} in {df.columns}")
+    wanted = {k: column_at(df.columns, v) for k, v in (("key", key), ("text", text), ("grouped", group))}
     flat = settle(df.toDF(*[f"_c{i}" for i in range(len(names))]).withColumn("_row", F.monotonically_increasing_id()), "shard-texts")
     hashed = settle(_hashed(flat.select("_row", *[F.col(f"_c{i}").alias(k) for k, i in wanted.items()])), "shard-rows")
     # the directory of a shard without bits has the empty name, which a partition cannot have
