@@ -50,7 +50,7 @@ def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = token_counts.RULES
     found = token_counts.section_tokens(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), rules=rules)
-    counts = {r: F.transform("sections", lambda s, r=r: s[r]) for r in rules}
+    counts = {r: F.col(f"sections.{r}") for r in rules}
     digests = [F.sha2(F.array_join(c.cast("array<string>"), ","), 256).alias(f"{r}_sha256") for r, c in counts.items()]
     return found.select("doc_id", "n_tokens", F.size("sections").cast("long").alias("n_sections"), "n_crossing", F.array_max(counts["first"]).alias("most_tokens"), *digests)
 
