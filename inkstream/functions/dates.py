@@ -14,9 +14,13 @@ FORMATS = (
 TIME_WORDS = {"midnight": "00:00:00", "morning": "09:00:00", "noon": "12:00:00", "evening": "18:00:00", "all day": "00:00:00"}
 
 
-def to_utc(c: Column) -> Column:
-    """ISO 8601 as a timestamp; no zone means UTC (the session's zone); null if it is none."""
-    return F.try_to_timestamp(c)
+#: A date as far as it is given; anything may follow it.
+PARTIAL = r"^(\d{4})(?:[/-]?(\d\d)(?:[/-]?(\d\d))?)?(?:(?:T|\s+)(\d\d)(?::?(\d\d)(?::?(\d\d)(?:\.?\d+)?)?)?)?(Z|[-+]\d\d:?\d\d)?"
+
+
+def to_utc(c: Column, now: Column | None = None) -> Column:
+    """ISO 8601 as a timestamp; no zone means UTC (the session's zone); null is now; null if it is no date."""
+    return F.when(c.isNull(), F.current_timestamp() if now is None else now).otherwise(F.try_to_timestamp(c))
 
 
 def parse(c: Column) -> Column:
@@ -29,14 +33,13 @@ def parse(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """A date or time as far as it is given: year, month, day, minute or second, with zone; fractions go, zero offset
-    is Z; empty if it is no date."""
-    found = r"^\s*(\d{4})(?:-?(\d\d)(?:-?(\d\d)(?:[T ](\d\d):?(\d\d)(?::?(\d\d)(?:[.,]\d+)?)?\s*(Z|[+-]\d\d:?\d\d)?)?)?)?\s*$"
-    part = lambda n: F.regexp_extract(c, found, n)
+    """A date or time as far as it is given: year, month, day, hour, minute and second, with zone; fractions go, zero
+    offset is Z; what follows is passed over; empty if the text opens with no date."""
+    part = lambda n: F.regexp_extract(c, PARTIAL, n)
     shown = lambda mark, n: F.when(part(n) != "", F.concat(F.lit(mark), part(n))).otherwise("")
-    zone = F.when(part(7).isin("+00:00", "+0000", "-00:00", "-0000"), "Z").otherwise(F.regexp_replace(part(7), r"([+-]\d\d)(\d\d)", "$1:$2"))
-    whole = F.concat(part(1), shown("-", 2), shown("-", 3), shown("T", 4), shown(":", 5), F.when(part(4) != "", F.concat(F.lit(":"), F.when(part(6) != "", part(6)).otherwise("00"))).otherwise(""), zone)
-    return F.when(F.coalesce(c, F.lit("")).rlike(found), whole).otherwise("")
+    zone = F.when(part(7).rlike("^[-+]00:?00$"), "Z").otherwise(F.regexp_replace(part(7), r"([-+]\d\d)(\d\d)", "$1:$2"))
+    whole = F.concat(part(1), shown("-", 2), shown("-", 3), shown("T", 4), shown(":", 5), shown(":", 6), zone)
+    return F.when(F.coalesce(c, F.lit("")).rlike(PARTIAL), whole).otherwise("")
 
 
 def parts(ts: Column) -> dict[str, Column]:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Trailing names of directory pages that trim and canonical drop (fixed values).
-INDEX_PAGES = ("index.html", "index.htm", "index.php", "index.asp", "index.jsp", "default.html", "default.asp")
-_PAGES = "|".join(p.replace(".", r"\.") for p in INDEX_PAGES)
+#: Endings that trim takes off again and again, and canonical once (fixed values).
+ENDINGS = ("index.html", "index.htm", "index.shtml", "index.jsp", "index.php", "/.", "/")
+_ENDINGS = "(?i)(?:" + "|".join(e.replace(".", r"\.") for e in ENDINGS) + ")"
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
@@ -23,10 +23,12 @@ def authority(c: Column) -> Column:
     return F.lower(_part(c, 2))
 
 
-def host(c: Column, trim_www: bool = False) -> Column:
-    """Host name in lower case, without user and port."""
-    h = F.regexp_replace(F.regexp_replace(authority(c), "^.*@", ""), ":[0-9]*$", "")
-    return F.regexp_replace(h, r"^www\.", "") if trim_www else h
+def host(c: Column, trim: bool = False, trim_top: bool = False) -> Column:
+    """What stands before the first colon of the authority, in the case it is written in; trim takes off one www. or
+    rss., trim_top the last label."""
+    h = F.regexp_replace(_part(c, 2), ":.*$", "")
+    h = F.regexp_replace(h, r"^(?:www|rss)\.", "") if trim else h
+    return F.regexp_replace(h, r"\.[^.]*$", "") if trim_top else h
 
 
 def path(c: Column) -> Column:
@@ -50,18 +52,38 @@ def extension(c: Column) -> Column:
     return F.lower(F.regexp_extract(path(c), r"\.([A-Za-z0-9]+)$", 1))
 
 
-def trim(c: Column) -> Column:
-    """Without http://, www. and, again and again, trailing index pages, /. and /."""
-    bare = F.regexp_replace(F.regexp_replace(c, "^http://", ""), r"^www\.", "")
-    return F.regexp_replace(bare, f"(?:/(?:{_PAGES}|\\.)|/)+$", "")
+def trim(c: Column, fragment: bool = True, query: bool = True) -> Column:
+    """Without white space around it, http://, www. and then, again and again, ENDINGS; on request also without what
+    follows the last # and the last ?. Null is the empty text."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), "^http://", ""), r"^www\.", "")
+    bare = F.regexp_replace(bare, _ENDINGS + r"++\z", "")
+    bare = bare if fragment else F.regexp_replace(bare, "#[^#]*$", "")
+    bare = bare if query else F.regexp_replace(bare, r"\?[^?]*$", "")
+    return F.coalesce(bare, F.lit(""))
 
 
-def canonical(c: Column) -> Column:
-    """Scheme and host in lower case, without :80, www., one trailing index page, query and fragment."""
+def normal_path(c: Column) -> Column:
+    """A path without empty and . steps, and .. steps taken; two opening slashes (not three) stay."""
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), x))
+    walked = F.aggregate(F.split(c, "/"), F.lit(""), step)
+    whole = F.when(walked == "", "/").otherwise(walked)
+    # most paths are normal but for a closing slash, which takes no walk over their steps
+    short = F.when(c.rlike(r"//|/\.\.?(?:/|\z)"), whole).when(c == "/", c).otherwise(F.regexp_replace(c, r"/\z", ""))
+    return F.when(c.rlike("^//(?!/)"), F.concat(F.lit("/"), whole)).otherwise(short)
+
+
+def canonical(c: Column, keep_fragment: bool = False) -> Column:
+    """For comparisons: scheme and host in lower case, without :80, www. and parameters, with a normal path without one
+    of ENDINGS, and with the query; other schemes than http and https stay as they are."""
     place = F.regexp_replace(F.regexp_replace(authority(c), ":80$", ""), r"^www\.", "")
-    tidy = F.regexp_replace(F.regexp_replace(path(c), "/{2,}", "/"), r"/\./", "/")
-    tidy = F.regexp_replace(tidy, f"/(?:{_PAGES})?$", "")
-    return F.concat(scheme(c), F.lit("://"), place, tidy)
+    tidy = F.replace(normal_path(F.regexp_replace(path(c), ";[^/]*$", "")), F.lit("\\"), F.lit("/"))
+    tidy = F.regexp_replace(tidy, _ENDINGS + r"\z", "")
+    tidy = F.when((tidy != "") & ~tidy.startswith("/"), F.concat(F.lit("/"), tidy)).otherwise(tidy)
+    asked = F.when(query(c) != "", F.concat(F.lit("?"), query(c))).otherwise("")
+    parts = [scheme(c), F.lit("://"), place, tidy, asked]
+    if keep_fragment:
+        parts.append(F.when(fragment(c) != "", F.concat(F.lit("#"), fragment(c))).otherwise(""))
+    return F.when(scheme(c).isin("http", "https"), F.concat(*parts)).otherwise(c)
 
 
 def normalize(c: Column) -> Column:
@@ -81,8 +103,8 @@ def absolutise(link: Column, page: Column) -> Column:
 
 
 def fingerprint(*values: Column) -> Column:
-    """MD5 of canonical URLs (and other values as they are) one after another."""
-    return F.md5(F.concat(*[F.when(v.rlike("^https?://"), canonical(v)).otherwise(v) for v in values]))
+    """MD5 of canonical URLs with their fragments (and other values as they are) one after another."""
+    return F.md5(F.concat(*[F.when(v.rlike("^(?i)https?://"), canonical(v, keep_fragment=True)).otherwise(v) for v in values]))
 
 
 def is_quoted(c: Column) -> Column:

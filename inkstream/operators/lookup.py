@@ -51,27 +51,40 @@ def longest_prefix(df: DataFrame, dim: DataFrame, value: str, prefix: str, out:
     return _by_prefix(df, dim, value, prefix, out, lengths or [0], True)
 
 
+#: First words of names that are titles (fixed values).
+HONORIFICS = ("mr.", "ms.", "miss", "dr.", "sir", "madam", "m.", "mmes.")
+
+
 def split_name(fn: Column) -> dict[str, Column]:
-    """Prefix, given, additional and family names of a formatted name; 'Last, First' is turned round."""
-    turned = F.regexp_replace(F.trim(fn), r"^([^,]+),\s*(.+)$", "$2 $1")
-    title = F.regexp_extract(turned, r"^(?i)(mr|mrs|ms|dr|prof|sir|rev)\.?\s+", 1)
-    words = F.split(F.regexp_replace(turned, r"^(?i)(mr|mrs|ms|dr|prof|sir|rev)\.?\s+", ""), r"\s+")
-    n = F.size(words)
-    none = F.lit(None).cast("string")
+    """Prefix, given, additional and family names and suffix of a formatted name, by its words: a first one with a
+    comma goes last, a title is the prefix, then come given and (of three and more) additional, family and suffix."""
+    words = F.filter(F.split(fn, r"\s+"), lambda x: x != "")
+    first = F.get(words, F.lit(0))
+    rest = lambda x: F.slice(x, 2, F.greatest(F.size(x), F.lit(1)))
+    turned = F.when(first.endswith(","), F.concat(rest(words), F.array(F.regexp_replace(first, ",$", "")))).otherwise(words)
+    titled = F.coalesce(F.lower(F.get(turned, F.lit(0))).isin(*HONORIFICS), F.lit(False))
+    names = F.transform(F.when(titled, rest(turned)).otherwise(turned), lambda x: F.regexp_replace(x, ",+$", ""))
+    n = F.size(names)
     return {
-        "honorific_prefix": F.nullif(title, F.lit("")),
-        "given_name": F.when(n >= 1, F.get(words, F.lit(0))),
-        "additional_name": F.when(n >= 3, F.array_join(F.slice(words, 2, F.greatest(n - 2, F.lit(0))), " ")).otherwise(none),
-        "family_name": F.when(n >= 2, F.element_at(words, -1)),
+        "honorific_prefix": F.when(titled, F.get(turned, F.lit(0))),
+        "given_name": F.get(names, F.lit(0)),
+        "additional_name": F.when(n >= 3, F.get(names, F.lit(1))),
+        "family_name": F.when(n == 2, F.get(names, F.lit(1))).when(n >= 3, F.get(names, F.lit(2))),
+        "honorific_suffix": F.when(n >= 4, F.get(names, F.lit(3))),
     }
 
 
-def scrub_name(fn: Column, org: Column, email: Column) -> Column:
-    """A formatted name without quotes and comments, in capitalised words; else the organisation, else the email."""
+def scrub_name(fn: Column, org: Column, email: Column, otherwise: str = "No Name") -> Column:
+    """A name to show: the formatted name, else the organisation, else the email. Of an address it is the local part in
+    capitalised words; else quotes around it and comments go, and every word opens with a capital."""
     from inkstream.functions.text import capwords
 
-    bare = capwords(F.regexp_replace(F.regexp_replace(fn, r"\([^)]*\)", ""), "[\"']", ""))
-    return F.coalesce(F.nullif(bare, F.lit("")), F.nullif(org, F.lit("")), email)
+    found = F.coalesce(F.nullif(fn, F.lit("")), F.nullif(org, F.lit("")), email, F.lit(""))
+    local = capwords(F.regexp_replace(F.substring_index(found, "@", 1), "[^-A-Za-z0-9]", " "))
+    bare = F.regexp_replace(F.regexp_replace(found, r"""^(['"])(.*)\1$""", "$2"), r"\([^)]*\)", " ")
+    words = F.filter(F.split(bare, r"\s+"), lambda x: x != "")
+    shown = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), " ")
+    return F.coalesce(F.nullif(F.when(F.contains(found, F.lit("@")), local).otherwise(shown), F.lit("")), F.lit(otherwise))
 
 
 def scrub_email(c: Column) -> Column:

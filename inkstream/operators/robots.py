@@ -45,7 +45,7 @@ def may_fetch(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame
     The join is on the host; of equally long rules one that allows wins.
     """
     place = F.when(urls.path(F.col(url)) == "", "/").otherwise(urls.path(F.col(url)))
-    met = pages.withColumn("_host", urls.host(F.col(url))).join(rules.select(F.col("host").alias("_host"), F.col("rules").alias("_rules")), "_host", "left")
+    met = pages.withColumn("_host", F.lower(urls.host(F.col(url)))).join(rules.select(F.col("host").alias("_host"), F.col("rules").alias("_rules")), "_host", "left")
     fits = F.filter("_rules", lambda r: F.startswith(place, r["path"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["path"]).alias("n"), r["allow"].alias("allow"))))
     return met.filter(F.coalesce(best["allow"], F.lit(True))).drop("_host", "_rules")

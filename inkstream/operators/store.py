@@ -56,12 +56,13 @@ def upsert(found: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(a, keys, "full_outer").select(*keys, *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in rest])
 
 
-def articles(entries: DataFrame) -> DataFrame:
-    """Entries (page_url, bookmark, entry_title, entry_content, entry_summary, updated, published, tag) as articles."""
+def articles(entries: DataFrame, now: Column | None = None) -> DataFrame:
+    """Entries (page_url, bookmark, entry_title, entry_content, entry_summary, updated, published, tag) as articles;
+    times that are missing are now."""
     tags = F.split(F.lower(F.array_join(F.transform("tag", lambda t: t["name"]), ",")), ",")
     return entries.select(
         urls.absolutise(F.col("bookmark"), F.col("page_url")).alias("bookmark"), "entry_title", "entry_content", "entry_summary",
-        dates.to_utc(F.col("updated")).alias("updated"), dates.to_utc(F.col("published")).alias("published"),
+        dates.to_utc(F.col("updated"), now).alias("updated"), dates.to_utc(F.col("published"), now).alias("published"),
         F.when(F.size("tag") > 0, tags).otherwise(F.array().cast("array<string>")).alias("tags"),
     )
 

@@ -13,7 +13,7 @@ from inkstream.plans.base import NOW, query, read
 _TITLE = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<.*?>', '', 'g'), '\s+', ' ', 'g'))"
 _H = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h{0}[^>]*>(.*?)</h{0}>', 1), '<.*?>', '', 'g'), '\s+', ' ', 'g'))"
 _HREFS = r"""regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1)"""
-_HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\.', '')"
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^(www|rss)\.', '')"
 
 
 @query(rf"""SELECT page_id, {_TITLE} AS title, {_H.format(1)} AS h1, {_H.format(2)} AS h2, coalesce({", ".join(f"nullif({_H.format(n)}, '')" for n in range(1, 7))}, {_TITLE}) AS shown FROM pages""")
@@ -60,20 +60,33 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I56."""
     u = F.col("url")
     return read(spark, sf_dir, "pages").select(
-        "page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.host(u, True).alias("bare_host"), urls.no_fragment(u).alias("no_fragment"),
+        "page_id", urls.scheme(u).alias("scheme"), F.lower(urls.host(u)).alias("host"), F.lower(urls.host(u, True)).alias("bare_host"), urls.no_fragment(u).alias("no_fragment"),
         urls.path(u).alias("path"), urls.query(u).alias("query"), urls.fragment(u).alias("fragment"), urls.extension(u).alias("extension"),
     )
 
 
-@query(r"""WITH v AS (SELECT page_id, 'http://www.' || regexp_replace(url, '^[a-z]+://', '') || CASE page_id % 3 WHEN 0 THEN '/index.html' WHEN 1 THEN '/./' ELSE '' END AS v, url FROM pages),
-k AS (SELECT page_id, v, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) || '://' || regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), ':80$', ''), '^www\.', '')
-  || regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/\./', '/', 'g'), '/(?:index\.html|index\.htm|index\.php|index\.asp|index\.jsp|default\.html|default\.asp)?$', '') AS canonical FROM v)
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(v, '^http://', ''), '^www\.', ''), '(?:/(?:index\.html|index\.htm|index\.php|index\.asp|index\.jsp|default\.html|default\.asp|\.)|/)+$', '') AS trimmed, canonical, md5(canonical) AS mark FROM k""")
+_ENDS = ("/index.html", "/./", "/a/../Index.SHTML?id={id}#top", "/x//y/./z/../;p=1?q={id}", "/b/INDEX.php/", "/default.html", "//deep/..//index.htm?", "")
+
+
+@query(r"""WITH e AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN '/index.html' WHEN 1 THEN '/./' WHEN 2 THEN '/a/../Index.SHTML?id=' || page_id || '#top' WHEN 3 THEN '/x//y/./z/../;p=1?q=' || page_id
+  WHEN 4 THEN '/b/INDEX.php/' WHEN 5 THEN '/default.html' WHEN 6 THEN '//deep/..//index.htm?' ELSE '' END AS e, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS bare FROM pages),
+v AS (SELECT page_id, e, CASE WHEN page_id % 9 = 0 THEN 'FTP://www.' WHEN page_id % 9 = 1 THEN 'HTTPS://WWW.' ELSE 'http://www.' END || bare || CASE WHEN page_id % 2 = 0 AND NOT contains(bare, '/') THEN ':80' ELSE '' END || e AS v FROM e),
+p AS (SELECT page_id, v, lower(regexp_extract(v, '^([A-Za-z]+):', 1)) AS scheme, regexp_replace(regexp_replace(lower(regexp_extract(v, '^[A-Za-z]+://([^/?#]*)', 1)), ':80$', ''), '^www\.', '') AS host,
+  regexp_replace(regexp_extract(v, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', '') AS path, regexp_extract(v, '\?([^#]*)', 1) AS asked, regexp_extract(v, '#(.*)$', 1) AS mark FROM v),
+w AS (SELECT *, list_reduce(string_split(path, '/'), lambda done, x: CASE WHEN x IN ('', '.') THEN done WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END, '') AS walked FROM p),
+n AS (SELECT *, CASE WHEN path = '' THEN '' ELSE CASE WHEN path LIKE '//%' AND path NOT LIKE '///%' THEN '/' ELSE '' END || CASE WHEN walked = '' THEN '/' ELSE walked END END AS normal FROM w),
+k AS (SELECT *, scheme || '://' || host || regexp_replace(normal, '(?i)(index\.html|index\.htm|index\.shtml|index\.jsp|index\.php|/)$', '') || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS whole FROM n)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(v, '^http://', ''), '^www\.', ''), '(?i)(index\.html|index\.htm|index\.shtml|index\.jsp|index\.php|/\.|/)+$', '') AS trimmed,
+  CASE WHEN scheme = 'ftp' THEN v ELSE whole END AS canonical, md5(CASE WHEN scheme = 'ftp' THEN v ELSE whole || CASE WHEN mark <> '' THEN '#' || mark ELSE '' END END) AS mark FROM k""")
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I54, I55, I58."""
-    end = F.when(F.col("page_id") % 3 == 0, "/index.html").when(F.col("page_id") % 3 == 1, "/./").otherwise("")
-    v = F.concat(F.lit("http://www."), F.regexp_replace("url", "^[a-z]+://", ""), end)
-    return read(spark, sf_dir, "pages").select("page_id", urls.trim(v).alias("trimmed"), urls.canonical(F.col("url")).alias("canonical"), urls.fingerprint(F.col("url")).alias("mark"))
+    """Queries stay, .. steps are taken, index pages go, other schemes are left alone."""
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("page_id") % len(_ENDS) + 1).cast("int"))
+    end = F.replace(end, F.lit("{id}"), F.col("page_id").cast("string"))
+    bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    port = F.when((F.col("page_id") % 2 == 0) & ~F.contains(bare, F.lit("/")), ":80").otherwise("")
+    opening = F.when(F.col("page_id") % 9 == 0, "FTP://www.").when(F.col("page_id") % 9 == 1, "HTTPS://WWW.").otherwise("http://www.")
+    v = F.col("v")
+    return read(spark, sf_dir, "pages").select("page_id", F.concat(opening, bare, port, end).alias("v")).select("page_id", urls.trim(v).alias("trimmed"), urls.canonical(v).alias("canonical"), urls.fingerprint(v).alias("mark"))
 
 
 @query(rf"""WITH l AS (SELECT page_id, url, unnest({_HREFS}) AS href FROM pages)
@@ -94,7 +107,7 @@ def _search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages")
     h, u = F.col("html"), F.col("url")
     title = F.coalesce(F.nullif(pages.title(h), F.lit("")), u)
-    return p.select("page_id", title.alias("title"), tx.strip_tags(h).alias("content"), F.array(urls.host(u, True)).alias("author"), F.array(F.regexp_extract(h, 'lang="([a-z]+)"', 1), urls.scheme(u)).alias("tags"))
+    return p.select("page_id", title.alias("title"), tx.strip_tags(h).alias("content"), F.array(F.lower(urls.host(u, True))).alias("author"), F.array(F.regexp_extract(h, 'lang="([a-z]+)"', 1), urls.scheme(u)).alias("tags"))
 
 
 @query(f"""WITH {_DOCS} SELECT page_id, title, array_to_string(author, ',') AS author, array_to_string(tags, ',') AS tags FROM docs
@@ -161,7 +174,7 @@ def feed_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH a AS (SELECT url, {_HOST} AS host FROM pages WHERE url LIKE 'https:%') SELECT page_id, url FROM pages WHERE {_HOST} NOT IN (SELECT host FROM a)""")
 def not_crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of hosts of which no page was crawled over https."""
-    p = read(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url"), True).alias("host"))
+    p = read(spark, sf_dir, "pages").select("page_id", "url", F.lower(urls.host(F.col("url"), True)).alias("host"))
     return store.not_crawled(p, p.filter("url like 'https:%'"), "host").select("page_id", "url")
 
 
@@ -178,6 +191,6 @@ def allowed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstream.operators import robots
 
     p = read(spark, sf_dir, "pages").select("page_id", "url")
-    hosts = p.select(urls.host(F.col("url")).alias("host")).distinct().filter(F.col("host").endswith(".org"))
+    hosts = p.select(F.lower(urls.host(F.col("url"))).alias("host")).distinct().filter(F.col("host").endswith(".org"))
     rules = robots.read_rules(hosts.withColumn("text", F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en # but\nAllow: /en/6\n")), "text")
     return robots.may_fetch(p, rules)

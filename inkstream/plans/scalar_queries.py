@@ -123,25 +123,30 @@ def date_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", dates.add_months(ts, (F.col("o_orderkey") % 14).cast("int")).alias("later"), dates.age_in_days(ts, now).alias("age_days"), dates.age_in_minutes(ts, now).alias("age_minutes"))
 
 
-@query(r"""WITH v AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN strftime(ts, '%Y') WHEN 1 THEN strftime(ts, '%Y-%m') WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'
-  WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.250Z' WHEN 5 THEN strftime(ts, '%Y-%m-%d %H:%M') || '+05:30' ELSE 'soon' END AS v FROM events)
-SELECT event_id, CASE event_id % 7 WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN replace(v, '+00:00', 'Z') WHEN 4 THEN replace(v, '.250', '') WHEN 5 THEN replace(replace(v, ' ', 'T'), '+05:30', ':00+05:30') ELSE '' END AS normal FROM v""")
+_DATE_FORMS = (
+    "yyyy", "yyyy-MM", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-MM-dd'T'HH:mm:ss'.250Z'", "yyyy-MM-dd HH:mm'+05:30'", "'soon'", "yyyy/MM/dd", "yyyy-MM-dd'T'HH",
+    "yyyyMMdd'T'HHmmss'-0400'", "yyyy-MM-dd'T'HH:mm' or so'", "yyyyMM", "' 'yyyy",
+)
+
+
+@query("""SELECT event_id, CASE event_id % 13 WHEN 0 THEN strftime(ts, '%Y') WHEN 1 THEN strftime(ts, '%Y-%m') WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+  WHEN 5 THEN strftime(ts, '%Y-%m-%dT%H:%M+05:30') WHEN 6 THEN '' WHEN 7 THEN strftime(ts, '%Y-%m-%d') WHEN 8 THEN strftime(ts, '%Y-%m-%dT%H') WHEN 9 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S-04:00')
+  WHEN 10 THEN strftime(ts, '%Y-%m-%dT%H:%M') WHEN 11 THEN strftime(ts, '%Y-%m') ELSE '' END AS normal FROM events""")
 def partial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I71."""
-    m, f = F.col("event_id") % 7, lambda p: F.date_format("ts", p)
-    v = (
-        F.when(m == 0, f("yyyy")).when(m == 1, f("yyyy-MM")).when(m == 2, f("yyyy-MM-dd")).when(m == 3, F.concat(f("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")))
-        .when(m == 4, F.concat(f("yyyy-MM-dd'T'HH:mm:ss"), F.lit(".250Z"))).when(m == 5, F.concat(f("yyyy-MM-dd HH:mm"), F.lit("+05:30"))).otherwise("soon")
-    )
-    return read(spark, sf_dir, "events").select("event_id", dates.normalize(v).alias("normal"))
+    """What is given stays, nothing is added, what follows is passed over."""
+    v = F.element_at(F.array(*[F.date_format("ts", f) for f in _DATE_FORMS]), (F.col("event_id") % len(_DATE_FORMS) + 1).cast("int"))
+    return read(spark, sf_dir, "events").select("event_id", v.alias("v")).select("event_id", dates.normalize(F.col("v")).alias("normal"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) WHEN 2 THEN date_trunc('second', ts) END AS parsed FROM events""")
+@query(f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) WHEN 2 THEN date_trunc('second', ts) END AS parsed,
+  CASE event_id % 3 WHEN 0 THEN TIMESTAMP '{NOW}' WHEN 1 THEN date_trunc('second', ts) - INTERVAL 1 HOUR END AS utc FROM events""")
 def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I70, I72, I80."""
     m, f = F.col("event_id") % 4, lambda p: F.date_format("ts", p)
     v = F.when(m == 0, f("yyyy-MM-dd'T'HH:mm:ss")).when(m == 1, f("dd MMM yyyy")).when(m == 2, f("EEE, dd MMM yyyy HH:mm:ss Z")).otherwise("no date")
-    return read(spark, sf_dir, "events").select("event_id", dates.parse(v).alias("parsed"))
+    n = F.col("event_id") % 3
+    given = F.when(n == 1, F.concat(f("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00"))).when(n == 2, "no date")
+    return read(spark, sf_dir, "events").select("event_id", dates.parse(v).alias("parsed"), dates.to_utc(given, F.lit(NOW).cast("timestamp")).alias("utc"))
 
 
 @query("""WITH p AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
@@ -174,12 +179,30 @@ def regex_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract(t, "([a-z]+)ing ([a-z]+)", 1).alias("stem"), F.regexp_extract(t, "([a-z]+)ing ([a-z]+)", 2).alias("next_word"), t.rlike("(token|password)").alias("found"), F.size(F.regexp_extract_all(t, F.lit("([0-9]+)"), F.lit(1))).cast("long").alias("n_numbers"))
 
 
-@query("""WITH n AS (SELECT c_custkey, string_split(CASE WHEN c_custkey % 2 = 0 THEN 'Dr. Ann ' || c_mktsegment || ' Lee' ELSE 'Lee, Bob' END, ' ') AS w FROM customer)
-SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Dr' END AS honorific_prefix, CASE WHEN c_custkey % 2 = 0 THEN 'Ann' ELSE 'Bob' END AS given_name, CASE WHEN c_custkey % 2 = 0 THEN w[3] END AS additional_name, 'Lee' AS family_name FROM n""")
+_FULL_NAMES = ("Dr. Ann {seg} Lee Jr", "Lee, Bob", "Cher", "Ms Ann {seg}, Lee", "MADAM {seg}", "Sir Tim, Q. Lee, III, Esq", "Lee,", " ")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Dr.' WHEN 4 THEN 'MADAM' WHEN 5 THEN 'Sir' END AS honorific_prefix,
+  CASE c_custkey % 8 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bob' WHEN 2 THEN 'Cher' WHEN 3 THEN 'Ms' WHEN 4 THEN c_mktsegment WHEN 5 THEN 'Tim' WHEN 6 THEN 'Lee' END AS given_name,
+  CASE c_custkey % 8 WHEN 0 THEN c_mktsegment WHEN 3 THEN 'Ann' WHEN 5 THEN 'Q.' END AS additional_name,
+  CASE c_custkey % 8 WHEN 0 THEN 'Lee' WHEN 1 THEN 'Lee' WHEN 3 THEN c_mktsegment WHEN 5 THEN 'Lee' END AS family_name,
+  CASE c_custkey % 8 WHEN 0 THEN 'Jr' WHEN 3 THEN 'Lee' WHEN 5 THEN 'III' END AS honorific_suffix FROM customer""")
 def implied_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I92."""
-    fn = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Dr. Ann "), "c_mktsegment", F.lit(" Lee"))).otherwise("Lee, Bob")
-    return read(spark, sf_dir, "customer").select("c_custkey", *[v.alias(k) for k, v in lookup.split_name(fn).items()])
+    """Titles with their points, a first word with a comma goes last, third and fourth words."""
+    fn = F.replace(F.element_at(F.array(*map(F.lit, _FULL_NAMES)), (F.col("c_custkey") % len(_FULL_NAMES) + 1).cast("int")), F.lit("{seg}"), F.col("c_mktsegment"))
+    return read(spark, sf_dir, "customer").select("c_custkey", fn.alias("fn"), "c_mktsegment").select("c_custkey", *[v.alias(k) for k, v in lookup.split_name(F.col("fn")).items()])
+
+
+_SHOWN_NAMES = ("Ronald McDonald", "'o''brien'", '"bob lee" (work)', "", "ann.lee+x@Example.com", "mary (home) van der BERG", "@")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'Ronald McDonald' WHEN 1 THEN 'O' || chr(39) || chr(39) || 'brien' WHEN 2 THEN '"bob Lee"' WHEN 3 THEN CASE WHEN c_custkey % 2 = 0 THEN upper(substr(c_name, 1, 1)) || substr(c_name, 2) ELSE 'Some Body' END
+  WHEN 4 THEN 'Ann Lee X' WHEN 5 THEN 'Mary Van Der BERG' ELSE 'No Name' END AS shown FROM customer""")
+def scrubbed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes around go, comments go, words open with a capital and keep their case; of an address its local part."""
+    fn = F.element_at(F.array(*map(F.lit, _SHOWN_NAMES)), (F.col("c_custkey") % len(_SHOWN_NAMES) + 1).cast("int"))
+    org, mail = F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(""), F.lit("some.body@example.com")
+    return read(spark, sf_dir, "customer").select("c_custkey", lookup.scrub_name(fn, org, mail).alias("shown"))
 
 
 @query("""SELECT c_custkey, lower(replace(c_name, '#', '.')) || '@example.com' AS email, NOT (c_custkey % 3 = 0) AS uri_ok FROM customer""")

@@ -15,6 +15,8 @@ from urllib.parse import unquote, urljoin
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstream.functions import dates
+from inkstream.operators.lookup import HONORIFICS
 from inkstream.sources import html_tree as ht
 from inkstream.sources.arrow import parse_column
 
@@ -30,20 +32,19 @@ CARD_PARTS = {
 }
 #: Kinds of addresses and numbers that become part of a field's name.
 KINDS = frozenset("home work cell fax pager voice pref dom intl postal parcel".split())
-_DATE = re.compile(r"\s*(\d{4})(?:-?(\d\d)(?:-?(\d\d)(?:[T ](\d\d):?(\d\d)(?::?(\d\d)(?:[.,]\d+)?)?\s*(Z|[+-]\d\d:?\d\d)?)?)?)?\s*")
+_DATE = re.compile(dates.PARTIAL, re.ASCII)
 
 
 def date_text(value: str) -> str:
-    """A date as far as it is given, with a Z for no offset; empty if it is none."""
-    m = _DATE.fullmatch(value)
+    """A date as far as it is given, with a Z for no offset; empty if the text opens with none."""
+    m = _DATE.match(value.strip())
     if not m:
         return ""
-    out = "-".join(p for p in m.group(1, 2, 3) if p)
-    if m[4]:
-        zone = m[7] or ""
-        zone = "Z" if zone.replace(":", "") in ("+0000", "-0000") else re.sub(r"^([+-]\d\d)(\d\d)$", r"\1:\2", zone)
-        out += f"T{m[4]}:{m[5]}:{m[6] or '00'}{zone}"
-    return out
+    year, month, day, hour, minute, second, zone = (x or "" for x in m.groups())
+    out = "-".join(p for p in (year, month, day) if p)
+    if hour:
+        out += "T" + ":".join(p for p in (hour, minute, second) if p)
+    return out + ("Z" if zone.replace(":", "") in ("+0000", "-0000") else re.sub(r"^([-+]\d\d)(\d\d)$", r"\1:\2", zone))
 
 
 def line(node: ht.Node) -> str:
@@ -235,13 +236,14 @@ def card(root: ht.Node) -> dict[str, str]:
     visit(root, "", ())
     fn, org = out.get("fn", ""), out.get("org.organization-name", "")
     if fn and fn != org and not any(k.startswith("n.") for k in out):
-        words = re.sub(r"^([^,]+),\s*(.+)$", r"\2 \1", fn).split()
-        if len(words) == 1:
-            out["n.given-name"] = words[0]
-        elif len(words) >= 2:
-            out["n.given-name"], out["n.family-name"] = words[0], words[-1]
-            if len(words) > 2:
-                out["n.additional-name"] = " ".join(words[1:-1])
+        words = fn.split()
+        if words and words[0].endswith(","):
+            words = [*words[1:], words[0][:-1]]
+        if words and words[0].lower() in HONORIFICS:
+            out["n.honorific-prefix"] = words.pop(0)
+        places = {1: ("given-name",), 2: ("given-name", "family-name")}.get(len(words), ("given-name", "additional-name", "family-name", "honorific-suffix"))
+        for place, word in zip(places, words, strict=False):
+            out[f"n.{place}"] = word.rstrip(",")
     if fn or org:
         out["@title"] = fn or org
     return out

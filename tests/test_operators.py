@@ -141,4 +141,4 @@ def test_contacts(spark):
     assert one(contacts.region_country(contacts.region_name(F.lit("qc")))) == "CA"
     names = lookup.split_name(F.lit("Lee, Ann Mary"))
     assert [one(names[k]) for k in ("given_name", "additional_name", "family_name", "honorific_prefix")] == ["Ann", "Mary", "Lee", None]
-    assert one(lookup.scrub_name(F.lit('"bob" (work)'), F.lit("ACME"), F.lit("e"))) == "Bob" and one(lookup.scrub_name(F.lit(""), F.lit(""), F.lit("e"))) == "e"
+    assert one(lookup.scrub_name(F.lit('bob (work) McGee'), F.lit("ACME"), F.lit("e"))) == "Bob McGee" and one(lookup.scrub_name(F.lit(""), F.lit(""), F.lit("e.f@g"))) == "E F"
