@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words for true and false (fixed values).
 TRUE, FALSE = ("t", "true", "y", "yes", "1"), ("f", "false", "n", "no", "0")
@@ -53,13 +54,42 @@ def json_path(c: Column, path: str) -> Column:
     return F.get_json_object(c, "$" + steps)
 
 
-def field(c: Column, path: str) -> Column:
-    """A path within structs, maps and arrays; a list met on the way by name means its first element."""
+def field(c: Column, path: str, kind: T.DataType | None = None) -> Column:
+    """A path within structs, maps and arrays; null where there is nothing.
+
+    With the column's type: a list met by name means its first element, [0] of what is no list means that itself, any
+    other position of it nothing, and a further part of a plain value that value. Without a type names go into structs
+    and maps, and positions into lists.
+    """
     for part in path_parts(path):
-        c = F.get(c, part) if isinstance(part, int) else c[part]
+        if kind is None:
+            c = F.get(c, part) if isinstance(part, int) else c[part]
+            continue
+        if isinstance(part, int):
+            if isinstance(kind, T.ArrayType):
+                c, kind = F.get(c, part), kind.elementType
+            elif part:
+                return F.lit(None)
+            continue
+        while isinstance(kind, T.ArrayType):
+            c, kind = F.get(c, 0), kind.elementType
+        if isinstance(kind, T.MapType):
+            c, kind = F.try_element_at(c, F.lit(part)), kind.valueType
+        elif isinstance(kind, T.StructType):
+            if part not in kind.names:
+                return F.lit(None)
+            c, kind = c[part], kind[part].dataType
     return c
 
 
+def extract(df: DataFrame, path: str) -> Column:
+    """A path that opens with a column of df, by the types of its schema; null if there is no such column."""
+    name, *rest = path_parts(path)
+    if name not in df.columns:
+        return F.lit(None)
+    return field(df[name], "".join(f"[{p}]" if isinstance(p, int) else f".'{p}'" for p in rest), df.schema[name].dataType)
+
+
 def find_key(m: Column, *wanted: str) -> Column:
     """Of a map's dotted keys that have all the wanted parts, the value of the shortest, then first in order."""
     hit = F.map_filter(m, lambda k, _: F.size(F.array_except(F.array(*map(F.lit, wanted)), F.split(k, r"\."))) == 0)

@@ -7,15 +7,15 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstream.shared import settled
+
 #: Levels after which what has been gathered is settled, so that plans stay short however long a chain is.
 LEVELS = 8
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows, computed now and without their plan: in the checkpoint folder if there is one, else on the executors."""
-    spark = df.sparkSession
-    flat = df.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return flat.checkpoint() if spark.sparkContext.getCheckpointDir() else flat.localCheckpoint()
+def _settled(df: DataFrame) -> DataFrame:
+    """The rows of a step as a table, in no more files than a shuffle has partitions."""
+    return settled(df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "closure")
 
 
 def profile(triples: DataFrame, predicates: dict[str, str]) -> DataFrame:
@@ -39,30 +39,30 @@ def flatten_tree(nodes: DataFrame) -> DataFrame:
 
     Goes down to the last level. A node below itself is an error: it would have no last level.
     """
-    front = settled(nodes.filter("parent is null").select("id", F.lit(0).alias("depth"), F.col("title").alias("path"), F.array("id").alias("_ids")))
+    front = _settled(nodes.filter("parent is null").select("id", F.lit(0).alias("depth"), F.col("title").alias("path"), F.array("id").alias("_ids")))
     out = front.drop("_ids")
     for depth in itertools.count(1):
         above = front.select(F.col("id").alias("parent"), F.col("path").alias("_path"), F.col("_ids").alias("_above"))
         below = nodes.join(above, "parent").withColumn("_ids", F.concat("_above", F.array("id")))
-        front = settled(below.select("id", F.lit(depth).alias("depth"), F.concat_ws("/", "_path", "title").alias("path"), "_ids", F.array_contains("_above", F.col("id")).alias("_again")))
+        front = _settled(below.select("id", F.lit(depth).alias("depth"), F.concat_ws("/", "_path", "title").alias("path"), "_ids", F.array_contains("_above", F.col("id")).alias("_again")))
         if front.isEmpty():
             return out
         if again := front.filter("_again").select("id").first():
             raise ValueError(f"node {again[0]!r} is below itself")
         out = out.unionByName(front.drop("_ids", "_again"))
-        out = out if depth % LEVELS else settled(out)
+        out = out if depth % LEVELS else _settled(out)
 
 
 def follow_next(start: DataFrame, links: DataFrame) -> DataFrame:
     """(page, hops): pages reached from the start over (src, dst) links, each once, at the fewest hops; to the last page."""
-    front = seen = settled(start.select("page").distinct().withColumn("hops", F.lit(0)))
+    front = seen = _settled(start.select("page").distinct().withColumn("hops", F.lit(0)))
     for hop in itertools.count(1):
         found = front.select("page").join(links, F.col("page") == F.col("src")).select(F.col("dst").alias("page")).distinct()
-        front = settled(found.join(seen, "page", "left_anti").withColumn("hops", F.lit(hop)))
+        front = _settled(found.join(seen, "page", "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
-        seen = seen if hop % LEVELS else settled(seen)
+        seen = seen if hop % LEVELS else _settled(seen)
 
 
 def discovery_ladder(candidates: DataFrame, key: str, stage: str = "stage") -> DataFrame:

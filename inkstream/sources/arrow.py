@@ -12,16 +12,29 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from inkstream.shipping import ship
 
 
-def parse_column(df: DataFrame, column: str, parse: Callable[[object], object], out: str, kind: str) -> DataFrame:
-    """df with a further column: parse(value) for each value; null stays null. Runs in Arrow batches, without a shuffle."""
+def parse_column(df: DataFrame, column: str, parse: Callable[[object], object], out: str, kind: str, error: str | None = None) -> DataFrame:
+    """df with a further column: parse(value) for each value; null stays null. Runs in Arrow batches, without a shuffle.
+
+    A value that parse raises on gives null and leaves the other rows alone; `error` names a column for what it said.
+    """
     ship(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(f"{out} {kind}").fields])
+    added = f"{out} {kind}" + (f", {error} string" if error else "")
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields])
     arrow = to_arrow_schema(schema)
-    field = arrow.field(len(arrow) - 1)
+    field = arrow.field(len(df.columns))
+
+    def one(value: object) -> tuple[object, str | None]:
+        if value is None:
+            return None, None
+        try:
+            return parse(value), None
+        except Exception as e:  # texts of the open web: whatever a parser meets there concerns that text alone
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if v is None else parse(v) for v in batch.column(column).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, field.type)], schema=arrow)
+            found = [one(v) for v in batch.column(column).to_pylist()]
+            more = [pa.array([e for _, e in found], pa.string())] if error else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], field.type), *more], schema=arrow)
 
     return df.mapInArrow(run, schema)

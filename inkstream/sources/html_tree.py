@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -99,58 +99,92 @@ def parse(text: str) -> Node:
     return builder.root
 
 
+#: What a walk says of a node: text before and after it, and whether to go below.
+Said = tuple[str, str, bool]
+
+
+def _written(top: Node | str, say: Callable[[Node | str, Node | None], Said]) -> str:
+    """What say(node, parent) gives for a node and all below it, in document order; trees may be of any depth."""
+    out: list[str] = []
+    todo: list[tuple[Node | str | None, Node | None, str]] = [(top, None, "")]
+    while todo:
+        x, parent, after = todo.pop()
+        if x is None:
+            out.append(after)
+            continue
+        before, after, below = say(x, parent)
+        out.append(before)
+        todo.append((None, None, after))
+        if below:
+            todo += [(c, x, "") for c in reversed(x.children)]
+    return "".join(out)
+
+
 def text_of(node: Node | str, lines: bool = False) -> str:
     """Text below a node on one line, or with lines where blocks begin and end."""
-    out: list[str] = []
 
-    def add(x: Node | str) -> None:
+    def say(x: Node | str, _: Node | None) -> Said:
         if isinstance(x, str):
-            out.append(x)
-        elif x.tag == "br":
-            out.append("\n" if lines else " ")
-        elif x.tag not in RAW:
-            edge = lines and x.tag in BLOCK
-            if edge:
-                out.append("\n")
-            for c in x.children:
-                add(c)
-            if edge:
-                out.append("\n")
-
-    add(node)
-    whole = "".join(out)
+            return x, "", False
+        if x.tag == "br":
+            return "\n" if lines else " ", "", False
+        if x.tag in RAW:
+            return "", "", False
+        edge = "\n" if lines and x.tag in BLOCK else ""
+        return edge, edge, True
+
+    whole = _written(node, say)
     if not lines:
         return " ".join(whole.split())
     return "\n".join(s for s in (" ".join(x.split()) for x in whole.split("\n")) if s)
 
 
+def _opened(node: Node, attrs: dict[str, str]) -> Said:
+    """The tags of an element around what is below it."""
+    tag = f"<{node.tag}{''.join(f' {k}="{html.escape(v)}"' for k, v in attrs.items())}>"
+    return (tag, "", False) if node.tag in VOID else (tag, f"</{node.tag}>", True)
+
+
 def serialize(node: Node | str, outer: bool = True) -> str:
-    if isinstance(node, str):
-        return html.escape(node, quote=False)
-    inner = "".join(c if node.tag in RAW and isinstance(c, str) else serialize(c) for c in node.children)
-    if not outer or node.tag == "#document":
-        return inner
-    attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in node.attrs.items())
-    return f"<{node.tag}{attrs}>" if node.tag in VOID else f"<{node.tag}{attrs}>{inner}</{node.tag}>"
+    def say(x: Node | str, parent: Node | None) -> Said:
+        if isinstance(x, str):
+            return x if parent is not None and parent.tag in RAW else html.escape(x, quote=False), "", False
+        if x.tag == "#document" or x is node and not outer:
+            return "", "", True
+        return _opened(x, x.attrs)
+
+    return _written(node, say)
 
 
 def copy(node: Node, parent: Node | None = None) -> Node:
-    out = Node(node.tag, dict(node.attrs), [], parent)
-    out.children = [copy(c, out) if isinstance(c, Node) else c for c in node.children]
-    return out
+    top = Node(node.tag, dict(node.attrs), [], parent)
+    todo = [(node, top)]
+    while todo:
+        old, new = todo.pop()
+        for c in old.children:
+            if isinstance(c, Node):
+                twin = Node(c.tag, dict(c.attrs), [], new)
+                todo.append((c, twin))
+                c = twin
+            new.children.append(c)
+    return top
 
 
 def tokens(node: Node) -> Iterator[dict]:
     """Start, end and text tokens of a tree in order."""
-    for c in node.children:
-        if isinstance(c, str):
+    todo: list[Node | str | dict] = list(reversed(node.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, dict):
+            yield c
+        elif isinstance(c, str):
             yield {"type": "SpaceCharacters" if not c.strip() else "Characters", "name": "", "data": c}
         elif c.tag in VOID:
             yield {"type": "EmptyTag", "name": c.tag, "data": serialize(c)}
         else:
             yield {"type": "StartTag", "name": c.tag, "data": ""}
-            yield from tokens(c)
-            yield {"type": "EndTag", "name": c.tag, "data": ""}
+            todo.append({"type": "EndTag", "name": c.tag, "data": ""})
+            todo += reversed(c.children)
 
 
 def _safe_uri(uri: str) -> bool:
@@ -162,18 +196,16 @@ def _safe_uri(uri: str) -> bool:
 def sanitize(text: str) -> str:
     """The markup with safe elements, attributes and schemes only; other elements give way to their text."""
 
-    def clean(node: Node | str) -> str:
+    def say(node: Node | str, _: Node | None) -> Said:
         if isinstance(node, str):
-            return html.escape(node, quote=False)
+            return html.escape(node, quote=False), "", False
         if node.tag in RAW:
-            return ""
-        inner = "".join(map(clean, node.children))
+            return "", "", False
         if node.tag not in SAFE_TAGS:
-            return inner
-        attrs = "".join(f' {k}="{html.escape(v)}"' for k, v in node.attrs.items() if k in SAFE_ATTRIBUTES and (k not in ("href", "src", "cite") or _safe_uri(v)))
-        return f"<{node.tag}{attrs}>" if node.tag in VOID else f"<{node.tag}{attrs}>{inner}</{node.tag}>"
+            return "", "", True
+        return _opened(node, {k: v for k, v in node.attrs.items() if k in SAFE_ATTRIBUTES and (k not in ("href", "src", "cite") or _safe_uri(v))})
 
-    return clean(parse(text))
+    return _written(parse(text), say)
 
 
 def resolve_links(text: str, base: str) -> str:
@@ -191,9 +223,12 @@ def resolve_links(text: str, base: str) -> str:
 def collapse(text: str) -> str:
     """The markup with white space collapsed, other than in pre and textarea."""
     root = parse(text)
-    for node in root.walk():
-        if not ({"pre", "textarea"} | RAW) & {node.tag, *(a.tag for a in node.ancestors())}:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node.tag not in {"pre", "textarea"} | RAW:
             node.children = [re.sub(r"\s+", " ", c) if isinstance(c, str) else c for c in node.children]
+            todo += [c for c in node.children if isinstance(c, Node)]
     return serialize(root)
 
 

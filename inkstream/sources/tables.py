@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 
 from inkstream.sources.arrow import parse_column
 
+# cells may be as long as texts are; the module's own limit is 131,072 characters
+csv.field_size_limit(1 << 31)
+
 #: Headers of contact tables by the card field they fill (fixed values), in the order of common mail programs.
 CONTACT_HEADERS = {
     "first name": "n.given-name", "given name": "n.given-name", "middle name": "n.additional-name", "additional name": "n.additional-name", "last name": "n.family-name", "family name": "n.family-name",
@@ -98,7 +101,10 @@ def mail(text: str) -> dict:
         if part.get_filename():
             attached.append(part.get_filename())
         elif part.get_content_maintype() == "text" and part.get_content_subtype() in body and not body[part.get_content_subtype()]:
-            body[part.get_content_subtype()] = part.get_content().strip()
+            try:
+                body[part.get_content_subtype()] = part.get_content().strip()
+            except LookupError:  # a charset that nobody knows
+                body[part.get_content_subtype()] = decoded(part.get_payload(decode=True) or b"").strip()
     return {"subject": str(m["subject"] or ""), "sender": str(m["from"] or ""), "recipients": [a.strip() for a in str(m["to"] or "").split(",") if a.strip()], "sent": str(m["date"] or ""), "text": body["plain"], "html": body["html"], "attachments": attached}
 
 
@@ -166,7 +172,7 @@ def decoded(raw: bytes, said: str | None = None) -> str:
         if name:
             try:
                 return raw.decode("windows-1252" if name.lower() in ("iso-8859-1", "latin-1", "latin1") else name)
-            except (LookupError, UnicodeDecodeError):
+            except (LookupError, UnicodeError):
                 continue
     return raw.decode("windows-1252", "replace")
 
@@ -195,8 +201,9 @@ def read_outlines(df: DataFrame, column: str, leaves_only: bool = False) -> Data
     return parse_column(df, column, lambda t: outline(t, leaves_only), "outlines", "array<struct<title:string,uri:string,feed:string,tags:array<string>,depth:int,children:int>>")
 
 
-def read_statements(df: DataFrame, column: str) -> DataFrame:
-    return parse_column(df, column, statements, "statements", "array<struct<command:string,arguments:string>>")
+def read_statements(df: DataFrame, column: str, error: str | None = None) -> DataFrame:
+    """df with statements; null, and the reason in the column `error`, where a text cannot be read."""
+    return parse_column(df, column, statements, "statements", "array<struct<command:string,arguments:string>>", error)
 
 
 def decode_bytes(df: DataFrame, column: str, said: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkstream.operators.runs import first_wins
@@ -22,11 +23,18 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     p = PurePosixPath(path)
-    if p.suffix == ".parquet":  # one table among others in its folder
+    if p.suffix == ".parquet" and not _is_folder(spark, path):  # one file among others in its folder
         return reader.option("pathGlobFilter", p.name).option("recursiveFileLookup", True).parquet(path.rsplit("/", 1)[0])
     return reader.parquet(path)
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any store that Spark reads is a folder, as tables that Spark wrote are."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
 def once_each(pages: DataFrame, key: str, ts: str, delay: str = "1 day") -> DataFrame:
     """Each key once in the span of the watermark; state older than that is let go."""
     return pages.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
@@ -63,15 +71,17 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", dela
 def upsert_into(path: str, keys: list[str], order: list[str]):
     """A foreachBatch function: of each batch the first row of every key that the table lacks is appended.
 
-    The batch number names the folder that a batch writes, so a repeated batch replaces its own rows only.
+    The batch number names the partition that a batch writes, so a repeated batch replaces its own rows only. Of earlier
+    batches the key columns alone are read, in one listing of the table; what grows with the table is that scan.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = first_wins(batch, keys, order)
-        earlier = [f"{path}/batch={n}" for n in range(number)]
-        if earlier:
-            new = new.join(spark.read.schema(new.schema).parquet(*earlier).select(*keys), keys, "left_anti")
+        if number:
+            kinds = T.StructType([*new.schema.fields, T.StructField("batch", T.LongType())])
+            earlier = spark.read.schema(kinds).parquet(path).filter(F.col("batch") < number)
+            new = new.join(earlier.select(*keys), keys, "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
