@@ -17,6 +17,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table's rows over at least half as many partitions as there are cores, for steps in Python: a scan of one small
+    file is one task. df is a scan with projections; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().executedPlan().execute().getNumPartitions() <= cores else df
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a function under its name, with its SQL if SQL can express it."""
 

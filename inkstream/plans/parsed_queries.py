@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.functions.text import escape_html
-from inkstream.plans.base import NOW, query, read
+from inkstream.plans.base import NOW, query, read, spread
 from inkstream.sources import feeds, html_tree, microformats, objects, tables
 from inkstream.sources.arrow import parse_column
 from inkstream.streaming import crawl
@@ -34,14 +34,14 @@ def hcard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, 1 AS n, 'Order ' || CAST(o_orderkey AS VARCHAR) AS title, '<p>' || o_orderpriority || '</p>' || chr(10) || o_orderstatus AS content, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS published, '/o/' || CAST(o_orderkey AS VARCHAR) AS bookmark, 'Customer ' || CAST(o_custkey AS VARCHAR) AS author, lower(o_orderstatus) AS tag FROM orders""")
 def hatom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One entry with an author, nested and quoted entries left out."""
+    """One entry with an author, nested and quoted entries left out."""
     o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
     html = _markup('<div class="hfeed"><div class="hentry"><h2 class="entry-title">Order ', k, '</h2><div class="entry-content"><p>', F.col("o_orderpriority"), '</p></div><div class="entry-content">', F.col("o_orderstatus"), '</div><abbr class="published" title="', F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), '">then</abbr><a rel="bookmark" href="/o/', k, '">#</a><span class="author vcard"><span class="fn">Customer ', F.col("o_custkey"), '</span></span><a rel="tag" href="/tags/', F.lower("o_orderstatus"), '/">t</a><div class="hentry"><b class="entry-title">inner</b></div></div><blockquote><div class="hentry"><b class="entry-title">quoted</b></div></blockquote></div>')
     f = lambda name: F.try_element_at("fields", F.lit(name))
     child = lambda name, key: F.try_element_at(F.get(F.filter("children", lambda c: c["name"] == name), F.lit(0))["fields"], F.lit(key))
-    found = microformats.records(o.select("o_orderkey", html.alias("html")), "hatom", ["o_orderkey"])
-    count = found.groupBy("o_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return found.select("o_orderkey", f("entry-title").alias("title"), f("entry-content").alias("content"), f("published").alias("published"), f("bookmark").alias("bookmark"), child("author", "fn").alias("author"), child("tag", "name").alias("tag")).join(count, "o_orderkey")
+    found = microformats.microformats(spread(o.select("o_orderkey", html.alias("html"))), "html", ("hatom",))
+    found = found.select("o_orderkey", F.size("records").alias("n"), F.explode("records").alias("r")).select("o_orderkey", "n", "r.fields", "r.children")
+    return found.select("o_orderkey", "n", f("entry-title").alias("title"), f("entry-content").alias("content"), f("published").alias("published"), f("bookmark").alias("bookmark"), child("author", "fn").alias("author"), child("tag", "name").alias("tag"))
 
 
 @query("""SELECT event_id, event_type AS summary, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS dtstart, lpad(CAST(user_id % 30 AS VARCHAR), 2, '0') || ':30:00' AS duration FROM events""")
@@ -60,7 +60,7 @@ def reviews_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several formats from one parse."""
     p = read(spark, sf_dir, "part")
     html = _markup('<div class="hreview"><div class="item"><span class="fn">', F.col("p_name"), '</span></div><span class="rating">', F.col("p_size") % 5 + 1, '</span></div><div class="xfolkentry"><a class="taggedlink" href="http://example.com/x">', F.col("p_brand"), '</a></div><div class="hslice"><i class="ttl">60 minutes</i></div><a rel="tag" href="/t/red">r</a>')
-    found = microformats.microformats(p.select("p_partkey", html.alias("html")), "html", ("hreview", "xfolk", "webslice", "rel-tag"))
+    found = microformats.microformats(spread(p.select("p_partkey", html.alias("html"))), "html", ("hreview", "xfolk", "webslice", "rel-tag"))
     one = lambda name: F.get(F.filter("records", lambda r: r["format"] == name), F.lit(0))
     child = lambda name: F.get(F.filter(one("hreview")["children"], lambda c: c["name"] == name), F.lit(0))["fields"]["fn"]
     return found.select("p_partkey", child("item").alias("item"), one("hreview")["fields"]["rating"].alias("rating"), child("reviewer").alias("reviewer"), one("xfolk")["fields"]["url"].alias("url"), one("xfolk")["fields"]["title"].alias("title"), one("hslice")["fields"]["ttl"].alias("ttl"), one("reltag")["fields"]["name"].alias("tag"))
@@ -102,7 +102,7 @@ def outline_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c_custkey, c_name AS given, CAST(round(c_acctbal) AS BIGINT) AS balance, c_mktsegment AS first_tag, 'b' AS second_tag FROM customer""")
 def xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects as XML, read as nested objects, taken by path."""
+    """Objects as XML, read as nested objects, taken by path."""
     c = read(spark, sf_dir, "customer")
     xml = _markup('<c xmlns="urn:x" balance="', F.round("c_acctbal").cast("long"), '"><Name>', F.col("c_name"), "</Name><tag>", F.col("c_mktsegment"), "</tag><tag>b</tag></c>")
     found = objects.objects(c.select("c_custkey", xml.alias("xml")), "xml", "xml")
@@ -121,7 +121,7 @@ def jsonp_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c_nationkey, CAST((row_number() OVER w - 1) // 5 + 1 AS INTEGER) AS page, CAST(row_number() OVER w - 1 AS INTEGER) AS index, c_name AS title FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey) QUALIFY row_number() OVER w <= 12""")
 def paged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved pages of a connector, at most 3 pages and 12 items."""
+    """Saved pages of a connector, at most 3 pages and 12 items."""
     from pyspark.sql.window import Window
 
     c = read(spark, sf_dir, "customer").withColumn("page", F.floor((F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1) / 5).cast("int") + 1)
@@ -164,7 +164,7 @@ def decoded_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Safe markup, tokens and problems of each page."""
+    """A47, A48, A50, A51, B15, I38, I45 (a tree by nesting rules, no HTML5 phases): safe markup, tokens and problems of each page."""
     p = read(spark, sf_dir, "pages").select("page_id", "html")
     safe = parse_column(p, "html", html_tree.sanitize, "safe", "string")
     told = parse_column(safe, "html", lambda t: [f"{x['type']} {x['name']}" for x in html_tree.tokens(html_tree.parse(t))], "tokens", "array<string>")
@@ -207,7 +207,9 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("start timestamp, event_type string, n long").parquet(f"{at}/table/batch=0")
 
 
-@query()
+@query("""WITH RECURSIVE due AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
+UNION ALL SELECT user_id, ts FROM (SELECT e.user_id, e.ts, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts) AS i FROM due d JOIN events e ON e.user_id = d.user_id AND e.ts >= d.ts + INTERVAL 120 MINUTE) WHERE i = 1)
+SELECT user_id, ts FROM due""")
 def stream_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K: events of a user at least 120 minutes apart, with the time of the next as state."""
     at = _checkpoint(spark)

@@ -216,7 +216,7 @@ def scrubbed_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT conv_id, list(role ORDER BY turn, role) AS roles, min(role) AS first_role FROM conversations GROUP BY conv_id)
 SELECT conv_id, '<b>' || upper(first_role) || '</b> ' || CASE WHEN conv_id > 20 THEN 'late &amp; ' || CAST(conv_id AS VARCHAR) ELSE 'early' END || ': ' || array_to_string(list_transform(roles, lambda r, i: CAST(i AS VARCHAR) || '=' || r || CASE WHEN i = len(roles) THEN '.' ELSE ', ' END), '') || ' {{ raw }}' AS html FROM t""")
 def rendered_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A template with a condition, a loop and filters, compiled to one Column."""
+    """A template with a condition, a loop and filters, compiled to one Column."""
     from inkstream.functions import template
 
     c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"), F.min("role").alias("first_role"), F.lit("late & ").alias("late"))

@@ -154,7 +154,7 @@ def prefix_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS s, c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation FROM customer""")
 def triple_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What triples say of each subject."""
+    """What triples say of each subject."""
     c = read(spark, sf_dir, "customer")
     say = lambda p, o: F.struct(F.lit(p).alias("p"), o.alias("o"))
     said = F.array(say("name", F.col("c_name")), say("segment", F.col("c_mktsegment")), say("nation", F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string"))))
@@ -209,7 +209,7 @@ def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE c_custkey % 4 WHEN 0 THEN 'California' WHEN 1 THEN 'Ontario' WHEN 2 THEN 'Bavaria' ELSE 'British Columbia' END AS region, CASE c_custkey % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'CA' WHEN 3 THEN 'CA' END AS country,
 CASE WHEN c_custkey % 2 = 0 THEN 'one' ELSE 'forty-four' END AS calling, CASE WHEN c_custkey % 2 = 0 THEN 'Toronto' END AS locality FROM customer""")
 def scrubbed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D8, D9, I93, I95, I96, I98."""
+    """D8, D9, I95, I96, I98."""
     from inkstream.operators import contacts
 
     k = F.col("c_custkey")
