@@ -114,11 +114,14 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM h""",
     "op7_decontaminate": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
-bw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT item, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM (SELECT item, w, least(len(w), 10) AS n FROM b) WHERE n > 0)),
+bo AS (SELECT item, n, o, array_to_string(w[o:o + n - 1], ' ') AS win FROM (SELECT item, w, n, unnest(generate_series(1, len(w) - n + 1)) AS o FROM (SELECT item, w, least(len(w), 10) AS n FROM b) WHERE n > 0)),
+bw AS (SELECT DISTINCT item, n, win FROM bo),
 dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
 m AS (SELECT doc_id, k, n, item FROM dw JOIN bw USING (n, win)),
 hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS pos FROM m) GROUP BY doc_id),
+isles AS (SELECT doc_id, item, n, k - o AS shift, k - row_number() OVER (PARTITION BY doc_id, item, n, k - o ORDER BY k) AS isle FROM dw JOIN bo USING (n, win)),
+far AS (SELECT doc_id, max(words) AS longest FROM (SELECT doc_id, count(*) + n - 1 AS words FROM isles GROUP BY doc_id, item, n, shift, isle) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)""",
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN far USING (doc_id)""",
 }
