@@ -7,7 +7,9 @@ bounded number of gzip members, so that neither driver nor executors keep files
 
 Null html is the empty payload, and equal to other empty payloads. Among records of equal payloads of at least
 `least` bytes the one with the largest page_id is the response; repeated rows of that page_id all are. Records with a
-null page_id keep null, and without any other id among equals all are responses. Null urls become `unknown:`.
+null page_id keep null, and without any other id among equals all are responses. Null urls become `unknown:`. Payloads
+of any length are one record each, with their declared length. An empty table gives no records; further columns may have
+any names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ shingle hashes, and compares what trees and bands bring together by the exact si
 equal fingerprints alone link no texts, as one shingle repeated often enough fixes all bits.
 
 Null and empty texts have the fingerprint zero, which is linked like any other. Fewer words than a shingle has count
-as one shingle. Repeated rows share a fingerprint. Null ids never become a component's name.
+as one shingle; texts of any length are read whole. Repeated rows share a fingerprint, with whatever ids; null ids never
+become a component's name. Of similar texts that share an id every row but one goes. An empty table gives none; further
+columns may have any names.
 """
 
 from __future__ import annotations
