@@ -7,6 +7,10 @@
 5. SentencePiece encoding: ids of every text that is left.
 
 SQL cannot express the stages; tests hold them against brute force.
+
+Null and empty texts are scored like any other, are copies of one another, have no test words, secrets or tokens. Texts of
+any length are read whole. Repeated rows are near-duplicates, of which one row stays, also where they share an id or have
+none. An empty table gives empty ones. Columns besides those of documents may have any names and stay as they are.
 """
 
 from __future__ import annotations
