@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a dimension is broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 100_000
+#: Rows of prefixes up to which a dimension becomes one expression.
+MAP_ROWS = 256
 
 
 def sized(dim: DataFrame) -> DataFrame:
@@ -23,7 +25,17 @@ def code_names(df: DataFrame, dim: DataFrame, code: str, dim_code: str, name: st
 
 
 def _by_prefix(df: DataFrame, dim: DataFrame, value: str, prefix: str, out: str, lengths: Iterable[int], longest: bool) -> DataFrame:
-    """Looks up each distinct value once, then joins back, so repeated values cost nothing further."""
+    """A small dimension is a map in one expression. Otherwise each distinct value is looked up once and joined back,
+    so repeated values cost nothing further."""
+    lengths = sorted(lengths)
+    small = dim.select(prefix, out).filter(F.col(prefix).isNotNull()).limit(MAP_ROWS + 1).collect()
+    if 0 < len(small) <= MAP_ROWS and all(r[1] is not None for r in small):
+        known: dict = {}
+        for r in sorted(small):
+            known.setdefault(r[0], r[1])
+        table = F.create_map(*[F.lit(x) for entry in known.items() for x in entry])
+        tried = [F.try_element_at(table, F.substring(F.col(value), F.lit(1), F.lit(n))) for n in (reversed(lengths) if longest else lengths)]
+        return df.withColumn(out, F.coalesce(*tried, F.lit(None)))
     tries = F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.substring(F.col(value), F.lit(1), n)))
     hits = df.select(value).distinct().select(value, F.explode(tries).alias(prefix)).join(sized(dim.select(prefix, out)), prefix)
     pick = F.max_by if longest else F.min_by

@@ -24,6 +24,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df._jdf.queryExecution().executedPlan().execute().getNumPartitions() <= cores else df
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key, over at least as many partitions as there are cores: what is grouped by the keys needs no further
+    shuffle, and steps in Python behind it are not coalesced into a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a function under its name, with its SQL if SQL can express it."""
 

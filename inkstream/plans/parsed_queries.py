@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.functions.text import escape_html
-from inkstream.plans.base import NOW, query, read, spread
+from inkstream.plans.base import NOW, dealt, query, read, spread
 from inkstream.sources import feeds, html_tree, microformats, objects, tables
 from inkstream.sources.arrow import parse_column
 from inkstream.streaming import crawl
@@ -70,7 +70,7 @@ _FEED_SQL = """SELECT o_custkey, o_orderkey, 'Order <' || CAST(o_orderkey AS VAR
 
 
 def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
-    o = read(spark, sf_dir, "orders")
+    o = dealt(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey")
     return o, F.concat(F.lit("Order <"), F.col("o_orderkey").cast("string"), F.lit("> & more")), F.concat(F.lit("http://example.com/?o="), F.col("o_orderkey").cast("string"), F.lit("&x"))
 
 
