@@ -36,8 +36,8 @@ def test_same_rows(spark, sql, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    assert rows
     if name not in ORACLE_SQL:
+        assert rows
         return
     found = sql.execute(ORACLE_SQL[name])
     names = [d[0] for d in found.description]
