@@ -42,3 +42,8 @@ def parted(m: Column, known: list[str]) -> tuple[Column, Column]:
 def assign(struct: Column, path: str, value: Column) -> Column:
     """The struct with a value at a path of names."""
     return struct.withField(path, value)
+
+
+def loose(uris: Column, m: Column) -> Column:
+    """Of the addresses met in a record those that are no field's value, each once."""
+    return F.array_except(uris, F.map_values(m))

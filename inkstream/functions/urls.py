@@ -123,12 +123,29 @@ def tag_name(href: Column, text: Column | None = None) -> Column:
     return last if text is None else F.coalesce(F.when(last != "", last), text)
 
 
+#: Extensions of files that are no feeds, whatever their names say (fixed values).
+NO_FEEDS = ("gif", "png", "jpg", "jpeg", "html", "htm", "shtml", "gz", "tgz", "zip", "txt", "pdf", "doc", "docx", "swf", "xls", "xlsx", "ppt", "pptx")
+
+
 def is_feed_link(c: Column) -> Column:
-    return F.lower(no_fragment(c)).rlike(r"\.(rss|rdf|xml|atom)$")
+    """Whether the last four characters are the extension of a feed."""
+    return F.lower(F.right(c, F.lit(4))).isin(".rss", ".rdf", ".xml")
 
 
 def is_xml_related(c: Column) -> Column:
-    return F.lower(c).rlike("rss|rdf|xml|atom")
+    """Whether the last part of a link speaks of rss, rdf or xml and is no file of another kind."""
+    name = F.lower(F.regexp_extract(c, "([^/]*)$", 1))
+    return name.rlike("rss|rdf|xml") & ~name.rlike(rf"^\.*[^.].*\.({'|'.join(NO_FEEDS)})$")
+
+
+def is_local_link(c: Column, base: Column) -> Column:
+    """Whether a link lies below the base, in whatever case."""
+    return F.startswith(F.lower(c), F.lower(base))
+
+
+def is_burner_link(c: Column) -> Column:
+    """Whether a link is one of the well-known feed proxy (fixed value)."""
+    return c.startswith("http://feeds.feedburner.com/")
 
 
 def query_string(parameters: dict[str, Column]) -> Column:

@@ -63,3 +63,19 @@ def base_href(html: Column) -> Column:
 def is_html(raw: Column) -> Column:
     head = F.lower(F.substring(raw, 1, 256))
     return F.contains(head, F.lit("<html")) | F.contains(head, F.lit("<!doctype html"))
+
+
+def is_rss(raw: Column) -> Column:
+    """Whether a text's opening, of 2,024 characters, has a feed's root and is no HTML."""
+    head = F.lower(F.substring(raw, 1, 2024))
+    return ~F.contains(head, F.lit("<html")) & head.rlike("<rss|<rdf|<feed")
+
+
+def is_opml(raw: Column) -> Column:
+    low = F.lower(raw)
+    return ~F.contains(low, F.lit("<html")) & F.contains(low, F.lit("<opml"))
+
+
+def ranked_feeds(feeds: DataFrame, rank: str = "headlines_rank") -> DataFrame:
+    """Feeds by falling rank; equal ones by address."""
+    return feeds.orderBy(F.desc(rank), "href")

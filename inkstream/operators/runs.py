@@ -52,3 +52,8 @@ def zip_positions(left: DataFrame, right: DataFrame, keys: list[str], fields: st
     none = F.create_map().cast("map<string,string>")
     own = F.coalesce(F.map_filter("_a", lambda k, _: ~F.coalesce(F.map_contains_key("_b", k), F.lit(False))), none)
     return a.join(b, keys, "full_outer").select(*keys, F.map_concat(F.when(F.col("_b").isNull(), F.coalesce("_a", none)).otherwise(own), F.coalesce("_b", none)).alias(fields))
+
+
+def neighbours(c: Column, w: WindowSpec) -> dict[str, Column]:
+    """The value before and the value behind, null at the ends."""
+    return {"previous": F.lag(c).over(w), "following": F.lead(c).over(w)}

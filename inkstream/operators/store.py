@@ -26,6 +26,18 @@ SCHEMAS = {
 }
 
 
+def by_key(df: DataFrame, **keys: object) -> DataFrame:
+    """Rows whose columns have the given values; null means null. Plain equality, which the scan prunes by."""
+    for name, value in keys.items():
+        df = df.filter(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    return df
+
+
+def without_children(parents: DataFrame, children: DataFrame, key: str, reference: str) -> DataFrame:
+    """Parents that no child refers to, such as sites without feed pages."""
+    return parents.join(children.select(F.col(reference).alias(key)), key, "left_anti")
+
+
 def due_pages(pages: DataFrame, now: Column) -> DataFrame:
     """Pages whose refresh time has passed; a page without one is not due."""
     return pages.filter(F.col("refresh_at") < now)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from inkstream.functions import coerce, urls
-from inkstream.operators import crawl_step, entities, pages, search, store
+from inkstream.functions import coerce, records, urls
+from inkstream.operators import crawl_step, entities, pages, runs, search, store
 from inkstream.plans.base import NOW, query, read, spread
 from inkstream.plans.parsed_queries import _markup
 from inkstream.sources import html_tree, microformats, tables
@@ -174,3 +175,50 @@ def typed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.struct(turns.alias("turns"), F.struct(F.count(F.lit(1)).cast("int").alias("size")).alias("about")).alias("talk"))
     at = lambda path: coerce.extract(df, path)
     return df.select("conv_id", at("talk.turns.role").alias("first_role"), at("talk.turns[1].role").alias("second_role"), at("talk.about[0].size").alias("n"), at("talk.none.role").cast("string").alias("nothing"))
+
+
+_LINKS = ("http://H.example/a.RSS", "http://h.example/x/feed.atom", "http://o.example/myxml.html", "http://feeds.feedburner.com/z", "http://h.example/rss/", "http://h.example/xml-rss")
+
+
+@query("""SELECT page_id, page_id % 6 = 0 AS feed, page_id % 6 IN (0, 5) AS xml, page_id % 6 IN (0, 1, 4, 5) AS here, page_id % 6 = 3 AS burner, page_id % 3 = 0 AS rss, page_id % 3 = 1 AS opml FROM pages""")
+def link_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What links and openings of texts say of their contents."""
+    link = F.element_at(F.array(*map(F.lit, _LINKS)), (F.col("page_id") % 6 + 1).cast("int"))
+    raw = F.element_at(F.array(F.lit("<?xml?><RSS>"), F.lit("<OPML><body/>"), F.lit("<HTML><rss><opml>")), (F.col("page_id") % 3 + 1).cast("int"))
+    return read(spark, sf_dir, "pages").select(
+        "page_id", urls.is_feed_link(link).alias("feed"), urls.is_xml_related(link).alias("xml"), urls.is_local_link(link, F.lit("HTTP://h.Example/")).alias("here"), urls.is_burner_link(link).alias("burner"),
+        pages.is_rss(raw).alias("rss"), pages.is_opml(raw).alias("opml"),
+    )
+
+
+@query("""SELECT event_id, lag(event_type) OVER w AS previous, lead(event_type) OVER w AS following FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def neighbouring_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F6."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return read(spark, sf_dir, "events").select("event_id", *[c.alias(k) for k, c in runs.neighbours(F.col("event_type"), w).items()])
+
+
+@query("""SELECT 'http://f.example/' || s_suppkey AS href, s_acctbal AS headlines_rank FROM supplier ORDER BY headlines_rank DESC, href""")
+def ranked_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5."""
+    return pages.ranked_feeds(read(spark, sf_dir, "supplier").select(F.concat(F.lit("http://f.example/"), "s_suppkey").alias("href"), F.col("s_acctbal").alias("headlines_rank")))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'u:loose' ELSE 'u:' || c_custkey || ',u:loose' END AS loose FROM customer""")
+def loose_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5."""
+    own = F.concat(F.lit("u:"), F.col("c_custkey"))
+    fields = F.create_map(F.lit("fn"), "c_name", F.lit("url"), F.when(F.col("c_custkey") % 2 == 0, own).otherwise("u:other"))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(records.loose(F.array(own, F.lit("u:loose"), own), fields), ",").alias("loose"))
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def sites_without_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3."""
+    return store.without_children(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), read(spark, sf_dir, "orders"), "c_custkey", "o_custkey")
+
+
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'F'""")
+def rows_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups that reach the scan."""
+    return store.by_key(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), o_custkey=7, o_orderstatus="F")

@@ -162,7 +162,8 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.documents(found, F.lit(NOW).cast("timestamp")).select("page_id", "title", F.date_format("date", "yyyy-MM-dd").alias("day"))
 
 
-@query(rf"""WITH l AS (SELECT page_id, url, unnest({_HREFS}) AS href FROM pages), c AS (SELECT page_id, href, CASE WHEN regexp_matches(lower(regexp_replace(href, '#.*$', '')), '\.(rss|rdf|xml|atom)$') THEN 1 WHEN regexp_matches(lower(href), 'rss|rdf|xml|atom') THEN 2 ELSE 3 END AS stage FROM l)
+@query(rf"""WITH l AS (SELECT page_id, url, unnest({_HREFS}) AS href FROM pages), c AS (SELECT page_id, href, CASE WHEN right(lower(href), 4) IN ('.rss', '.rdf', '.xml') THEN 1
+  WHEN regexp_matches(lower(regexp_extract(href, '([^/]*)$', 1)), 'rss|rdf|xml') AND NOT regexp_matches(lower(regexp_extract(href, '([^/]*)$', 1)), '^\.*[^.].*\.(gif|png|jpg|jpeg|html|htm|shtml|gz|tgz|zip|txt|pdf|doc|docx|swf|xls|xlsx|ppt|pptx)$') THEN 2 ELSE 3 END AS stage FROM l)
 SELECT DISTINCT page_id, href, stage FROM c QUALIFY stage = min(stage) OVER (PARTITION BY page_id)""")
 def feed_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a page's links those of the first stage that has any."""
