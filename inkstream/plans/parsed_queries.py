@@ -164,7 +164,7 @@ def decoded_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A47, A48, A50, A51, B15, I38, I45 (a tree by nesting rules, no HTML5 phases): safe markup, tokens and problems of each page."""
+    """Safe markup, tokens and problems of each page."""
     p = read(spark, sf_dir, "pages").select("page_id", "html")
     safe = parse_column(p, "html", html_tree.sanitize, "safe", "string")
     told = parse_column(safe, "html", lambda t: [f"{x['type']} {x['name']}" for x in html_tree.tokens(html_tree.parse(t))], "tokens", "array<string>")

@@ -25,7 +25,7 @@ SAFE_ATTRIBUTES = frozenset("alt cite class colspan datetime dir height href hre
 SAFE_SCHEMES = frozenset(("http", "https", "mailto", "ftp", "tel", ""))
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     """An element with its attributes and, in order, child elements and texts."""
 
@@ -151,6 +151,10 @@ def serialize(node: Node | str, outer: bool = True) -> str:
             return x if parent is not None and parent.tag in RAW else html.escape(x, quote=False), "", False
         if x.tag == "#document" or x is node and not outer:
             return "", "", True
+        if x.tag == "#comment":
+            return f"<!--{x.attrs['data']}-->", "", False
+        if x.tag == "#doctype":
+            return f"<!DOCTYPE {x.attrs['name']}>", "", False
         return _opened(x, x.attrs)
 
     return _written(node, say)
@@ -193,8 +197,14 @@ def _safe_uri(uri: str) -> bool:
     return (scheme[1] if scheme else "") in SAFE_SCHEMES
 
 
+def safe_attributes(attrs: dict[str, str]) -> dict[str, str]:
+    return {k: v for k, v in attrs.items() if k in SAFE_ATTRIBUTES and (k not in ("href", "src", "cite") or _safe_uri(v))}
+
+
 def sanitize(text: str) -> str:
-    """The markup with safe elements, attributes and schemes only; other elements give way to their text."""
+    """The markup with safe elements, attributes and schemes only; other elements give way to their text. The tree is
+    that of the HTML standard, so what is misnested is read as browsers read it."""
+    from inkstream.sources import html5
 
     def say(node: Node | str, _: Node | None) -> Said:
         if isinstance(node, str):
@@ -203,9 +213,9 @@ def sanitize(text: str) -> str:
             return "", "", False
         if node.tag not in SAFE_TAGS:
             return "", "", True
-        return _opened(node, {k: v for k, v in node.attrs.items() if k in SAFE_ATTRIBUTES and (k not in ("href", "src", "cite") or _safe_uri(v))})
+        return _opened(node, safe_attributes(node.attrs))
 
-    return _written(parse(text), say)
+    return _written(html5.parse_fragment(text), say)
 
 
 def resolve_links(text: str, base: str) -> str:
