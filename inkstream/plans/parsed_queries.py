@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkstream.functions.text import escape_html
 from inkstream.plans.base import NOW, dealt, query, read, spread
-from inkstream.sources import feeds, html_tree, microformats, objects, tables
+from inkstream.sources import connectors, feeds, html_tree, microformats, objects, tables
 from inkstream.sources.arrow import parse_column
 from inkstream.streaming import crawl
 
@@ -116,7 +116,7 @@ def jsonp_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     text = F.concat(F.lit('cb({"Event Type":"'), "event_type", F.lit('","None":"","Props":'), "props", F.lit("});"))
     found = objects.objects(e.select("event_id", text.alias("t")), "t", "json")
-    return found.select("event_id", F.get_json_object("object", "$.props.k").alias("k"), F.get_json_object("object", "$.event_type").alias("event_type"))
+    return found.select("event_id", F.get_json_object("object", "$.Props.k").alias("k"), F.get_json_object("object", "$.Event_Type").alias("event_type"))
 
 
 @query("""SELECT c_nationkey, CAST((row_number() OVER w - 1) // 5 + 1 AS INTEGER) AS page, CAST(row_number() OVER w - 1 AS INTEGER) AS index, c_name AS title FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey) QUALIFY row_number() OVER w <= 12""")
@@ -126,9 +126,9 @@ def paged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = read(spark, sf_dir, "customer").withColumn("page", F.floor((F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1) / 5).cast("int") + 1)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: F.struct(x["c_name"].alias("name"), x["c_custkey"].alias("pid")))
-    payload = F.to_json(F.struct(F.struct(F.struct(listed.alias("merchant")).alias("merchants")).alias("community")))
+    payload = F.to_json(F.struct(F.struct(F.struct(listed.alias("merchant")).alias("merchants"), F.struct(F.lit("9").alias("page_count")).alias("pagination")).alias("community")))
     pages = c.groupBy("c_nationkey", "page").agg(payload.alias("payload"))
-    found = objects.items(pages, "payload", "merchants", "json", ["c_nationkey"], "page", page_limit=3, item_limit=12)
+    found = connectors.items(pages, "payload", "merchants", ["c_nationkey"], "page", page_limit=3, item_limit=12)
     return found.select("c_nationkey", "page", "index", F.get_json_object("item", "$.title").alias("title"))
 
 

@@ -5,18 +5,17 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from urllib.parse import urlencode
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from inkstream.sources import html_tree as ht
 from inkstream.sources.arrow import parse_column
 
 
 def slug_key(key: str) -> str:
-    return re.sub("_+", "_", re.sub(r"[^a-z0-9_:]", "_", key.lower())).strip("_")
+    """Letters, digits and colons of a key as they are, runs of all else as one underscore, none at its ends."""
+    return re.sub("_+", "_", re.sub(r"[^A-Za-z0-9_:]", "_", key)).strip("_")
 
 
 def slugged(value: object) -> object:
@@ -119,12 +118,12 @@ def separate(value: dict, known: set[str]) -> tuple[dict, dict]:
     return {k: v for k, v in value.items() if k in known}, {k: v for k, v in value.items() if k not in known}
 
 
-_READERS = {"xml": xml_object, "html": html_object, "json": json_object}
+READERS = {"xml": xml_object, "html": html_object, "json": json_object}
 
 
 def objects(df: DataFrame, column: str, kind: str, out: str = "object") -> DataFrame:
     """df with the object as JSON text; null for what cannot be read."""
-    read = _READERS[kind]
+    read = READERS[kind]
 
     def parse(text: str) -> str | None:
         try:
@@ -133,59 +132,3 @@ def objects(df: DataFrame, column: str, kind: str, out: str = "object") -> DataF
             return None
 
     return parse_column(df, column, parse, out, "string")
-
-
-#: Web connectors as data: request parameters, where items stand, how pages are counted, what fields become.
-CONNECTORS = {
-    "search": {"item_path": "responseData.results", "page": ("start", 0, 8), "atom": {"titleNoFormatting": "title", "url": "link", "content": "content"}},
-    "bookmarks": {"item_path": "posts.post", "page": None, "atom": {"@extended": "content", "@description": "title", "@href": "link", "@hash": "id", "@time": "updated", "@tag": "category"}},
-    "music": {"item_path": "lfm.results.artistmatches.artist", "page": ("page", 1, 1), "atom": {"name": "title", "url": "link", "mbid": "id"}},
-    "products": {"item_path": "Items.Item", "page": ("ItemPage", 1, 1), "atom": {"ASIN": "id", "DetailPageURL": "link", "Title": "title"}},
-    "merchants": {"item_path": "community.merchants.merchant", "page": ("page", 1, 1), "atom": {"name": "title", "permalink": "link", "pid": "id", "updated_at": "updated"}},
-    "location": {"item_path": "rsp.user.location-hierarchy.location", "page": None, "atom": {"name": "title", "id": "id"}},
-    "subscriptions": {"item_path": "items", "page": None, "atom": {"url": "link", "title": "title", "feed_hash": "id"}},
-    "shortener": {"item_path": "results", "page": None, "atom": {"shortUrl": "link", "hash": "id"}},
-    "feed": {"item_path": "rss.channel.item", "page": None, "atom": {"guid": "id", "description": "content", "pubDate": "updated"}},
-}
-
-
-def page_uri(base: str, parameters: dict[str, object], connector: str, page: int) -> str:
-    """The address of a page (from 1): parameters without a value go, lists are comma-joined."""
-    given = {k: ",".join(map(str, v)) if isinstance(v, list | tuple) else v for k, v in parameters.items() if v is not None}
-    if how := CONNECTORS[connector]["page"]:
-        name, first, step = how
-        given[name] = first + (page - 1) * step
-    return f"{base}?{urlencode(given)}" if given else base
-
-
-def missing(parameters: dict[str, object], required: list[str]) -> list[str]:
-    return [k for k in required if parameters.get(k) is None]
-
-
-def _at(value: object, path: str) -> list:
-    for part in path.split("."):
-        if isinstance(value, list):
-            value = value[0] if value else None
-        value = value.get(part) if isinstance(value, dict) else None
-    return [] if value is None else value if isinstance(value, list) else [value]
-
-
-def items(payloads: DataFrame, column: str, connector: str, kind: str, keys: list[str], page: str, page_limit: int = 3, item_limit: int = -1) -> DataFrame:
-    """Items of saved page payloads: keys, page, index (from 0 over all pages of the keys) and the item as JSON text
-    with its fields renamed. Pages beyond the limit are not read; -1 is no limit."""
-    from pyspark.sql.window import Window
-
-    how, read = CONNECTORS[connector], _READERS[kind]
-
-    def parse(text: str) -> list[str]:
-        try:
-            found = _at(read(text), how["item_path"])
-        except (ValueError, ElementTree.ParseError):
-            return []
-        return [json.dumps({how["atom"].get(k, k): v for k, v in i.items()} if isinstance(i, dict) else {"@": i}, ensure_ascii=False) for i in found]
-
-    some = payloads.select(*keys, page, column)
-    some = some.filter(F.col(page) <= page_limit) if page_limit >= 0 else some
-    flat = parse_column(some, column, parse, "_items", "array<string>").select(*keys, F.col(page).alias("page"), F.posexplode("_items").alias("_pos", "item"))
-    numbered = flat.withColumn("index", F.row_number().over(Window.partitionBy(*keys).orderBy("page", "_pos")) - 1).drop("_pos")
-    return numbered.filter(F.col("index") < item_limit) if item_limit >= 0 else numbered

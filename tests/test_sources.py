@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from inkstream.sources import feeds, microformats, objects, tables
+from inkstream.sources import connectors, feeds, microformats, objects, tables
 from inkstream.sources import html_tree as ht
 
 PAGE = """<html><head><title>Page</title></head><body class="hfeed">
@@ -79,11 +79,12 @@ def test_tables_and_texts():
 
 def test_objects():
     assert objects.xml_object('<a xmlns="u" x="1"><b>1</b><b>2</b>t</a>') == {"a": {"@x": "1", "b": ["1", "2"], "@": "t"}}
-    assert objects.json_object('cb({"A b":1,"e":""});') == {"a_b": 1}
+    assert objects.json_object('cb({"A -b":1,"e":""});') == {"A_b": 1}
     assert objects.html_object("<p class=x>a<b>c</b></p>")["p"]["b"] == "c"
     assert objects.xml_text({"@x": 1, "b": [1, 2], "m:z": "q"}, "a", {"m": "urn:m"}).endswith('<a xmlns:m="urn:m" x="1"><b>1</b><b>2</b><m:z>q</m:z></a>')
-    assert objects.page_uri("http://x", {"q": "a b", "n": None, "l": [1, 2]}, "search", 3) == "http://x?q=a+b&l=1%2C2&start=16"
-    assert objects.missing({"a": 1, "b": None}, ["a", "b", "c"]) == ["b", "c"]
+    assert connectors.page_uri("http://x", {"q": "a b", "n": None, "l": [1, 2]}, "search.web", 3) == "http://x?v=1.0&rsz=large&q=a+b&l=1%2C2&start=24"
+    assert connectors.page_uri("http://x?a=1", {}, "products", 1).startswith("http://x?a=1&Sort=") and "ItemPage" not in connectors.page_uri("http://x", {}, "products", 1)
+    assert connectors.missing({"q": None}, "search.news") == ["q"] and connectors.missing({}, "music.info") == []
     assert objects.without_hidden({"@@Page": 1, "a": [{"@@x": 1, "b": 2}]}) == {"a": [{"b": 2}]}
     assert objects.separate({"a": 1, "b": 2}, {"a"}) == ({"a": 1}, {"b": 2})
 
