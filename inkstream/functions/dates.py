@@ -18,6 +18,22 @@ TIME_WORDS = {"midnight": "00:00:00", "morning": "09:00:00", "noon": "12:00:00",
 PARTIAL = r"^(\d{4})(?:[/-]?(\d\d)(?:[/-]?(\d\d))?)?(?:(?:T|\s+)(\d\d)(?::?(\d\d)(?::?(\d\d)(?:\.?\d+)?)?)?)?(Z|[-+]\d\d:?\d\d)?"
 
 
+def register(pattern: str) -> None:
+    """Adds a format that is tried before the others."""
+    global FORMATS
+    FORMATS = (pattern, *FORMATS)
+
+
+def zone_parts(ts: Column, zone: str) -> dict[str, Column]:
+    """Of a time in UTC: its ISO offset in a zone, the minutes of it, and whether summer time holds there then."""
+    minutes = lambda t: ((F.unix_timestamp(F.from_utc_timestamp(t, zone)) - F.unix_timestamp(t)) / 60).cast("int")
+    year = F.year(ts)
+    usual = F.least(minutes(F.make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))), minutes(F.make_timestamp(year, F.lit(7), F.lit(1), F.lit(0), F.lit(0), F.lit(0))))
+    now = minutes(ts)
+    iso = F.format_string("%s%02d:%02d", F.when(now < 0, "-").otherwise("+"), F.floor(F.abs(now) / 60), F.abs(now) % 60)
+    return {"offset": iso, "minutes": now, "summer": now > usual}
+
+
 def to_utc(c: Column, now: Column | None = None) -> Column:
     """ISO 8601 as a timestamp; no zone means UTC (the session's zone); null is now; null if it is no date."""
     return F.when(c.isNull(), F.current_timestamp() if now is None else now).otherwise(F.try_to_timestamp(c))

@@ -6,6 +6,7 @@ compiled once, on the driver, so rendering stays in the JVM.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -63,6 +64,26 @@ def register(name: str, f: Callable[[Column, str | None], Column]) -> None:
 
 
 Resolve = Callable[[str], Column]
+#: Blocks by name; each takes a resolver and its arguments as text, and gives what stands in its place.
+BLOCKS: dict[str, Callable[..., Column]] = {}
+
+
+def register_block(name: str, f: Callable[..., Column]) -> None:
+    """Adds a block {% name key:"text" key:path %}: f(resolve, key=Column, ...) gives its Column."""
+    BLOCKS[name] = f
+
+
+def block_arguments(text: str) -> dict[str, tuple[bool, str]]:
+    """key:"text" and key:path, as key -> (is it text, which)."""
+    out, at = {}, 0
+    for m in re.finditer(r'\s*(\w+):(?:"((?:\\.|[^"\\])*)"|([^\s"]+))', text):
+        if m.start() != at:
+            break
+        out[m[1]] = (m[2] is not None, re.sub(r"\\(.)", r"\1", m[2]) if m[2] is not None else m[3])
+        at = m.end()
+    if text[at:].strip():
+        raise TemplateError(f"cannot read arguments {text[at:]!r}")
+    return out
 
 
 class _Template:
@@ -118,6 +139,9 @@ class _Template:
             text = "".join(marks[k].format(b) for k, b in self.parts[start : self.at])
             self.at += 1
             return lambda r: F.lit(text)
+        if name in BLOCKS:
+            given = block_arguments(rest)
+            return lambda r: BLOCKS[name](r, **{k: F.lit(v) if literal else r(v) for k, (literal, v) in given.items()})
         raise TemplateError(f"unknown tag {name!r}")
 
 
@@ -170,3 +194,16 @@ def columns(path: str) -> Column:
 def compile_template(text: str, resolve: Resolve = columns, escape: bool = True) -> Column:
     """The Column of a template's rendered text."""
     return _whole(_Template(text).block((), escape)[0], resolve)
+
+
+def render_object(o: object, resolve: Resolve = columns) -> Column:
+    """An object as JSON text in which every text, at any depth, is rendered as a template; all else stays."""
+    if isinstance(o, dict):
+        parts = [F.concat(F.lit(f"{json.dumps(str(k))}:"), render_object(v, resolve)) for k, v in o.items()]
+        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    if isinstance(o, list | tuple):
+        return F.concat(F.lit("["), F.concat_ws(",", *[render_object(v, resolve) for v in o]), F.lit("]"))
+    if isinstance(o, str):
+        quoted = F.to_json(F.array(compile_template(o, resolve)))
+        return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    return F.lit(json.dumps(o))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,6 +156,22 @@ def scrub_html(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def unescape_html(c: Column) -> Column:
+    """Character references, numeric and by the names of HTML 4, as the characters that they mean; others stay."""
+    named = F.create_map(*[F.lit(x) for name, n in sorted(name2codepoint.items()) for x in (name, n)])
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        base, digits = F.when(name.rlike("^#[xX]"), 16).otherwise(10), F.regexp_replace(name, "^#[xX]?", "")
+        n = F.when(name.startswith("#"), F.when(base == 16, F.conv(digits, 16, 10)).otherwise(digits).cast("int")).otherwise(F.try_element_at(named, name))
+        fits = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when((name != "") & fits, F.concat(letter, F.substring(piece, F.length(name) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(c, "&")
+    return F.when(~F.contains(c, F.lit("&")), c).otherwise(F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), one), "")))
+
+
 def to_entities(c: Column) -> Column:
     """Characters beyond ASCII as numeric references."""
     letters = F.split(c, "")

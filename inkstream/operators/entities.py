@@ -55,6 +55,19 @@ def link_mentions(text: Column, mentions: Column) -> Column:
     return F.aggregate(ordered, text, put)
 
 
+def without_specifics(fields: Column, specific: tuple[str, ...] = ("instances", "relevance")) -> Column:
+    """A map of fields without those that belong to one mention."""
+    return F.map_filter(fields, lambda k, _: ~k.isin(*specific))
+
+
+def geocoded(df: DataFrame, address: Column, gazetteer: DataFrame, order: str = "rank") -> DataFrame:
+    """df with the coordinates of the first hit for its address in (address, latitude, longitude, order); null without one.
+    Any DataFrame of these columns can be the gazetteer, such as the saved answers of a service."""
+    hit = gazetteer.groupBy(F.lower("address").alias("_address")).agg(F.min_by(F.struct("latitude", "longitude"), order).alias("_hit"))
+    found = df.withColumn("_line", F.lower(address)).join(hit, F.col("_line") == F.col("_address"), "left")
+    return found.withColumns({"latitude": F.col("_hit.latitude"), "longitude": F.col("_hit.longitude")}).drop("_line", "_address", "_hit")
+
+
 def address_line(*parts: Column) -> Column:
     """Parts of an address that are there, comma-joined, as a geocoder takes them."""
     return F.concat_ws(", ", *[F.nullif(F.trim(p), F.lit("")) for p in parts])

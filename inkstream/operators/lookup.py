@@ -115,3 +115,14 @@ def valid_uri(c: Column, schemes: tuple[str, ...] = ("http", "https")) -> Column
 
 def phone_digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
+
+
+def valid_language(c: Column) -> Column:
+    """Of the form of a language tag: a language, then script, region and variants."""
+    return c.rlike(r"^[A-Za-z]{2,3}(-[A-Za-z]{4})?(-([A-Za-z]{2}|\d{3}))?(-([A-Za-z0-9]{5,8}|\d[A-Za-z0-9]{3}))*$")
+
+
+def valid_mime_type(c: Column) -> Column:
+    """A type, a subtype and any number of parameters."""
+    token = r"[!#$%&'*+.^_`|~0-9A-Za-z-]+"
+    return c.rlike(rf"""^{token}/{token}(\s*;\s*{token}=({token}|"[^"]*"))*$""")

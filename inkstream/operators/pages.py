@@ -79,3 +79,28 @@ def is_opml(raw: Column) -> Column:
 def ranked_feeds(feeds: DataFrame, rank: str = "headlines_rank") -> DataFrame:
     """Feeds by falling rank; equal ones by address."""
     return feeds.orderBy(F.desc(rank), "href")
+
+
+#: What goes from titles of feeds, by host (fixed values).
+TITLE_RULES = {"upcoming.yahoo.com": r"^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d+, \d\d\d\d: *", "twitter.com": r"^.*?: *"}
+
+
+def scrub_title(uri: Column, title: Column, rules: dict[str, str] | None = None) -> Column:
+    """The title without what the rule of its host takes away; of several rules that of the longest host counts. A rule
+    holds for hosts below its own, not for addresses with a port."""
+    host = F.lower(F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    out = title
+    for name, pattern in sorted((TITLE_RULES if rules is None else rules).items(), key=lambda r: len(r[0])):
+        out = F.when((host == name) | host.endswith(f".{name}"), F.regexp_replace(title, pattern, "")).otherwise(out)
+    return out
+
+
+def value_of(entry: Column, key: str, as_text: bool = False) -> Column:
+    """A value of a feed's entry in JSON: of lists the first, of records their value, without entities (or, as text,
+    without tags as well) if it is HTML; null if there is none."""
+    first = lambda c, k: F.coalesce(F.get_json_object(c, f"$['{k}'][0]"), F.get_json_object(c, f"$['{k}']"))
+    raw = first(entry, key)
+    inner = first(raw, "value")
+    plain = tx.strip_tags(inner) if as_text else inner
+    shown = F.when(F.get_json_object(raw, "$.type") == "text/html", tx.unescape_html(plain)).otherwise(inner)
+    return F.nullif(F.when(raw.startswith("{"), shown).otherwise(raw), F.lit(""))

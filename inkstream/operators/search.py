@@ -13,18 +13,31 @@ FACETS = ("author", "tags", "people", "organisations", "places")
 BM25_K1, BM25_B = 1.2, 0.75
 
 
-def documents(articles: DataFrame, now: Column) -> DataFrame:
-    """Search fields: date (updated, published, now), title (or bookmark), content (or summary) without tags."""
+def documents(articles: DataFrame, now: Column, transforms: dict[str, Column] | None = None) -> DataFrame:
+    """Search fields: date (updated, published, now), title (or bookmark), content (or summary) without tags; transforms
+    add fields, or stand in place of these."""
     body = F.coalesce(F.nullif(F.col("entry_content"), F.lit("")), F.nullif(F.col("entry_summary"), F.lit("")), F.lit(""))
     return articles.withColumns(
         {
             "date": F.coalesce("updated", "published", now),
-            "title": F.coalesce(F.nullif(tx.strip_tags(F.col("entry_title")), F.lit("")), F.col("bookmark")),
+            "title": F.coalesce(F.nullif(F.col("entry_title"), F.lit("")), F.col("bookmark")),
             "content": tx.strip_tags(body),
+            **(transforms or {}),
         }
     )
 
 
+def with_facets(docs: DataFrame, key: str, authors: DataFrame, mentions: DataFrame, tags: str = "tags") -> DataFrame:
+    """docs with the five facets: author from (key, name), people, organisations and places from (key, kind, name), tags
+    from comma-joined text. Both sides are combined before they are shuffled by the key; names of one document are a set."""
+    names = F.sort_array(F.collect_set("name"))
+    kinds = {"people": "person", "organisations": "organisation", "places": "place"}
+    by_kind = mentions.groupBy(key).agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == v, F.col("name")))).alias(k) for k, v in kinds.items()])
+    joined = docs.join(authors.groupBy(key).agg(names.alias("author")), key, "left").join(by_kind, key, "left")
+    none = F.array().cast("array<string>")
+    return joined.withColumns({k: F.coalesce(k, none) for k in ("author", *kinds)} | {"tags": F.split(F.coalesce(F.col(tags), F.lit("")), ",")})
+
+
 def matching(docs: DataFrame, query: str, fields: list[str]) -> DataFrame:
     return docs.filter(tx.contains_all(F.lit(query), *[F.col(f) for f in fields]))
 

@@ -88,7 +88,7 @@ def trim_empty(markup: str) -> str:
 @dataclass(frozen=True)
 class Format:
     """What makes a record: root class (or rel), properties by class and by rel with how to read them, joined ones,
-    child records by class, and a last step."""
+    child records by class, and a last step; whether cells of a table take what their header cells say."""
 
     name: str
     root: str
@@ -100,6 +100,7 @@ class Format:
     root_by: str = "class"
     quotes: bool = False
     include: bool = False
+    headers: bool = False
 
 
 def _is_root(node: ht.Node, f: Format) -> bool:
@@ -132,6 +133,7 @@ def extract(page: ht.Node, f: Format, uri: str = "") -> list[dict]:
         page = ht.copy(page)
         _included(page)
     out, index = [], 0
+    by_id: dict[str, ht.Node] | None = None
     for root in page.walk():
         if not _is_root(root, f):
             continue
@@ -140,6 +142,12 @@ def extract(page: ht.Node, f: Format, uri: str = "") -> list[dict]:
         if any(_is_root(a, f) for a in above) or (f.quotes and any(a.tag in QUOTES for a in above)):
             continue
         fields, children = _collect(root, f)
+        if f.headers and root.tag == "td" and root.attrs.get("headers"):
+            by_id = by_id or {n.attrs["id"]: n for n in page.walk() if "id" in n.attrs}
+            for cell in filter(None, map(by_id.get, root.words("headers"))):
+                more, inner = _collect(cell, f)
+                fields = more | fields
+                children += inner
         if f.finish:
             fields = f.finish(root, fields, children)
         if fields is None or not (fields or children):
@@ -318,7 +326,7 @@ FORMATS: dict[str, Format] = {
         Format("hatom", "hentry", {"entry-title": "line", "entry-content": "inner", "entry-summary": "inner", "updated": "date", "published": "date", "posted": "date"}, {"bookmark": "link"}, frozenset(("entry-content", "entry-summary")), {"author": "hcard", "rel:tag": "tag"}, _entry, quotes=True),
         Format("hnews", "hentry", {"dateline": "line", "latitude": "abbr", "longitude": "abbr"}, {"principles": "link"}, frozenset(), {"source-org": "hcard"}, _news, quotes=True),
         Format("hcard", "vcard", finish=lambda root, fields, children: card(root)),
-        Format("hcalendar", "vevent", {"summary": "line", "dtstart": "date", "dtend": "date", "location": "line", "description": "text", "url": "link", "uid": "line", "status": "line", "duration": "abbr", "class": "line"}, {}, frozenset(), {"location": "hcard", "organizer": "hcard"}, _event),
+        Format("hcalendar", "vevent", {"summary": "line", "dtstart": "date", "dtend": "date", "location": "line", "description": "text", "url": "link", "uid": "line", "status": "line", "duration": "abbr", "class": "line"}, {}, frozenset(), {"location": "hcard", "organizer": "hcard"}, _event, headers=True),
         Format("hreview", "hreview", {"summary": "line", "description": "inner", "rating": "float", "best": "float", "worst": "float", "dtreviewed": "date", "type": "line", "version": "line"}, {"permalink": "link", "bookmark": "link"}, frozenset(), {"item": "hcard", "reviewer": "hcard", "rel:tag": "tag"}, _signed("reviewer")),
         Format("hresume", "hresume", {"summary": "text", "publications": "text"}, {}, frozenset(), {"contact": "hcard", "affiliation": "hcard", "education": "event", "experience": "event", "skill": "tag"}, include=True),
         Format("hlisting", "hlisting", {"summary": "line", "description": "inner", "price": "line", "dtlisted": "date", "dtexpired": "date", "version": "line"}, {"permalink": "link"}, frozenset(), {"item": "hcard", "lister": "hcard", "rel:tag": "tag"}, _signed("lister")),
@@ -332,6 +340,11 @@ ALIASES = {"hentry": "hatom", "atom": "hatom", "vcard": "hcard", "card": "hcard"
 DEFAULTS = ("hatom", "hcalendar", "hcard", "xfolk")
 
 
+def register(f: Format) -> None:
+    """Adds a format, or puts one of the same name in its place; for jobs that ship the module which calls this."""
+    FORMATS[f.name] = f
+
+
 def parse_page(text: str, formats: tuple[str, ...] = DEFAULTS, uri: str = "") -> list[dict]:
     """Records of all wanted formats over one tree; a format that fails does not keep the others from theirs."""
     page, out = ht.parse(text), []
@@ -355,3 +368,20 @@ def records(pages: DataFrame, name: str, keys: list[str], html: str = "html") ->
     """A row for each record of one format: keys, pos from 0, index, fields, children."""
     found = microformats(pages.select(*keys, html), html, (name,))
     return found.select(*keys, F.posexplode("records").alias("pos", "r")).select(*keys, "pos", "r.index", "r.fields", "r.children")
+
+
+#: Names of feed fields by those of records (fixed values).
+FEED_FIELDS = {"hatom": {"content": "entry-content", "summary": "entry-summary", "title": "entry-title", "link": "bookmark", "published": "published"}}
+
+
+def feed_items(found: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Records as items of a feed: keys, pos, title, content, summary, link, published, the name of the first author and
+    categories by the titles of tags. Events and cards have their title, and their url or else place on the page as link."""
+    at = lambda k: F.try_element_at("fields", F.lit(k))
+    named = FEED_FIELDS.get(name, {"title": "@title", "content": "description", "link": "url"})
+    columns = {k: at(named[k]) if k in named else F.lit(None).cast("string") for k in ("title", "content", "summary", "link", "published")}
+    if name not in FEED_FIELDS:
+        columns |= {"title": F.coalesce(at("@title"), at("fn"), at("summary")), "link": F.coalesce(at("url"), at("@uri"))}
+    author = F.get(F.filter("children", lambda c: c["name"] == "author"), F.lit(0))["fields"]
+    tags = F.transform(F.filter("children", lambda c: c["name"] == "tag"), lambda c: F.coalesce(F.try_element_at(c["fields"], F.lit("title")), F.try_element_at(c["fields"], F.lit("name"))))
+    return found.select(*keys, "pos", *[c.alias(k) for k, c in columns.items()], F.try_element_at(author, F.lit("fn")).alias("author"), tags.alias("categories"))

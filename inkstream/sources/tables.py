@@ -8,9 +8,11 @@ import email.policy
 import io
 import json
 import re
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from inkstream.sources.arrow import parse_column
 
@@ -217,3 +219,13 @@ def read_csv_files(spark, path: str, header: bool = True, skip: int = 0, most: i
     return df.limit(most) if most >= 0 else df
 
 
+
+
+def dispatch(commands: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Rows (command, arguments) given to the handler of their command, and the handlers' rows together; handlers give the
+    same columns. Commands without a handler are an error of the caller's to look for, with an anti-join, and give none."""
+    given = [f(commands.filter(F.col("command") == name)) for name, f in handlers.items()]
+    out = given[0]
+    for more in given[1:]:
+        out = out.unionByName(more)
+    return out

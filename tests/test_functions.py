@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkstream.functions import coerce, dates, expression, urls
+from inkstream.functions import coerce, dates, expression, template, urls
 from inkstream.functions import text as tx
 
 VALUES = [None, "", " ", "3.9", "abc", "yes", "N", "7", "0", "-2", "[]", "x--y", "ÄÖ é", "aabb", "<p>a<b>c</b>\n<i\n>d</p>"]
@@ -138,3 +138,24 @@ def test_templates(spark):
 def test_zones_go_from_west_to_east(spark):
     offsets = [r.offset_minutes for r in dates.zones(spark).collect()]
     assert offsets == sorted(offsets) and len(offsets) > 300
+
+
+def test_formats_and_blocks_can_be_added(spark, monkeypatch):
+    monkeypatch.setattr(dates, "FORMATS", dates.FORMATS)
+    df = spark.createDataFrame([("7~2024~01",)], "v string")
+    assert df.select(dates.parse(F.col("v"))).first()[0] is None
+    dates.register("d~yyyy~MM")
+    assert str(df.select(dates.parse(F.col("v"))).first()[0]) == "2024-01-07 00:00:00"
+    monkeypatch.setattr(template, "BLOCKS", {})
+    with pytest.raises(template.TemplateError):
+        template.compile_template("{% twice x:v %}")
+    template.register_block("twice", lambda resolve, x: F.concat(x, x))
+    assert df.select(template.compile_template('{% twice x:v %}{% twice x:"a b" %}')).first()[0] == "7~2024~017~2024~01a ba b"
+    with pytest.raises(template.TemplateError):
+        template.compile_template("{% twice x %}")
+
+
+def test_character_references(spark):
+    cases = {"": "", "a": "a", "&": "&", "&amp;lt;": "&lt;", "&#x1F600;!": "\U0001f600!", "&#0;&#55296;&#9999999;": "&#0;&#55296;&#9999999;", "x&eacute;&nope;&eacute": "xé&nope;&eacute", None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert {r[0]: r[1] for r in df.select("v", tx.unescape_html(F.col("v"))).collect()} == cases
