@@ -159,17 +159,16 @@ def scrub_html(c: Column) -> Column:
 def unescape_html(c: Column) -> Column:
     """Character references, numeric and by the names of HTML 4, as the characters that they mean; others stay."""
     named = F.create_map(*[F.lit(x) for name, n in sorted(name2codepoint.items()) for x in (name, n)])
-
-    def one(piece: Column) -> Column:
-        name = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        base, digits = F.when(name.rlike("^#[xX]"), 16).otherwise(10), F.regexp_replace(name, "^#[xX]?", "")
-        n = F.when(name.startswith("#"), F.when(base == 16, F.conv(digits, 16, 10)).otherwise(digits).cast("int")).otherwise(F.try_element_at(named, name))
-        fits = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
-        letter = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        return F.when((name != "") & fits, F.concat(letter, F.substring(piece, F.length(name) + 2, F.length(piece)))).otherwise(F.concat(F.lit("&"), piece))
-
-    pieces = F.split(c, "&")
-    return F.when(~F.contains(c, F.lit("&")), c).otherwise(F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), one), "")))
+    # Each step binds what the next one uses more than once, so that the expression stays small.
+    with_name = lambda p: F.struct(p.alias("text"), F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1).alias("name"))
+    number = lambda name: F.when(name.rlike("^#[0-9]"), F.substring(name, 2, 7)).when(name.startswith("#"), F.conv(F.substring(name, 3, 6), 16, 10)).cast("int")
+    with_number = lambda p: F.struct(p["text"].alias("text"), F.length(p["name"]).alias("n"), F.coalesce(number(p["name"]), F.try_element_at(named, p["name"])).alias("code"))
+    fits = lambda code: F.coalesce(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.lit(False))
+    letter = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    shown = lambda p: F.when(fits(p["code"]), F.concat(letter(p["code"]), F.substring(p["text"], p["n"] + 2, F.length(p["text"])))).otherwise(F.concat(F.lit("&"), p["text"]))
+    pieces = F.slice(F.split(c, "&"), 2, 1 << 30)
+    told = F.transform(F.transform(F.transform(pieces, with_name), with_number), shown)
+    return F.when(~F.contains(c, F.lit("&")), c).otherwise(F.concat(F.substring_index(c, "&", 1), F.array_join(told, "")))
 
 
 def to_entities(c: Column) -> Column:

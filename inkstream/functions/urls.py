@@ -102,6 +102,37 @@ def absolutise(link: Column, page: Column) -> Column:
     return F.when(link.isNull(), page).when(link.rlike("^http://"), link).when(link.rlike("^/"), root).otherwise(F.concat(page, link))
 
 
+def join(base: Column, link: Column) -> Column:
+    """A link as seen from a page: without scheme, host or path it takes those of the page; dots in paths are settled."""
+    scheme, rest = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_replace(base, "[?#].*$", "")
+    root = F.regexp_extract(rest, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
+    folder = F.regexp_replace(F.substring(rest, F.length(root) + 1, F.length(rest)), "[^/]*$", "")
+    path, after = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    parts = F.split(F.substring(whole, F.lit(2), F.length(whole)), "/")
+    last = F.element_at(parts, -1)
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), none, lambda up, x: F.when(x == ".", up).when(x == "..", F.slice(up, 1, F.greatest(F.size(up) - 1, F.lit(0)))).otherwise(F.array_append(up, x)))
+    ended = F.when(last == ".", F.array_append(walked, F.lit(""))).when(last == "..", F.array_append(F.slice(walked, 1, F.greatest(F.size(walked) - 1, F.lit(0))), F.lit(""))).otherwise(F.array_append(walked, last))
+    return (
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link == "", base)
+        .when(link.startswith("?"), F.concat(rest, link))
+        .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
+        .otherwise(F.concat(root, F.lit("/"), F.array_join(ended, "/"), after))
+    )
+
+
+def home(c: Column) -> Column:
+    """Where a site seems to begin: at ~user, or above archives; null if the address gives nothing away."""
+    root, path = F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    marked = F.transform(parts, lambda x, i: F.when(x.startswith("~"), i + 1).when(x == "archives", i))
+    first = F.get(F.filter(marked, lambda x: x.isNotNull()), F.lit(0))
+    return F.when(first.isNotNull(), F.concat(root, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), first), "/")))
+
+
 def fingerprint(*values: Column) -> Column:
     """MD5 of canonical URLs with their fragments (and other values as they are) one after another."""
     return F.md5(F.concat(*[F.when(v.rlike("^(?i)https?://"), canonical(v, keep_fragment=True)).otherwise(v) for v in values]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstream.functions import dates, template
 from inkstream.functions import text as tx
-from inkstream.operators import entities, lookup, pages, search
+from inkstream.operators import entities, feed_finder, lookup, pages, search
 from inkstream.plans.base import NOW, query, read, spread
 from inkstream.plans.parsed_queries import _markup
 from inkstream.sources import microformats, tables
@@ -123,3 +123,38 @@ def dispatched_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.read_statements(s.select("s_suppkey", code.alias("code")), "code").select("s_suppkey", F.explode("statements").alias("x")).select("s_suppkey", "x.command", "x.arguments")
     told = lambda path: lambda rows: rows.select("s_suppkey", "command", F.get_json_object("arguments", path).alias("said"))
     return tables.dispatch(found, {"set": told("$.name"), "say": told("$.words")})
+
+
+#: Pages of http://h.example/b/@/, and the stage and address by which their feeds are found.
+_SITES = [
+    ("<?xml version='1.0'?><rss><channel/></rss>", 1, "http://h.example/b/@/"),
+    ('<html><link rel="alternate" type="application/rss+xml" href="../feed?a=1&amp;b=2#x"><link rel="alternate" type="text/html" href="/no"><a href="x.rss">x</a>', 2, "http://h.example/b/feed?a=1&b=2"),
+    ('<a href="my-hint">h</a><a href="http://feeds.feedburner.com/z">z</a>', 3, "http://h.example/b/@/my-hint"),
+    ('<a href="http://o.example/HINT">h</a><a href="x.rss">z</a>', 4, "http://o.example/HINT"),
+    ('<a class=b href=\'http://feeds.feedburner.com/@\'>z</a><a href="x.rss">x</a>', 5, "http://feeds.feedburner.com/@"),
+    ('<a href="./c/../x.RSS">x</a><a href="xml/">y</a><a href="http://o.example/a.rss">y</a>', 6, "http://h.example/b/@/x.RSS"),
+    ('<a href="rss-feed">x</a><a href="myrss.html">x</a><a href="http://o.example/a.rss">y</a>', 7, "http://h.example/b/@/rss-feed"),
+    ('<a href="//o.example/a.rdf">y</a><a href="http://o.example/rss">y</a>', 8, "http://o.example/a.rdf"),
+    ('<opml><a href="x.rss">x</a></opml>', 0, ""),
+]
+
+
+@query("SELECT s_suppkey, CAST(stage AS INTEGER) AS stage, replace(href, '@', CAST(s_suppkey AS VARCHAR)) AS href FROM supplier JOIN (VALUES " + ", ".join(f"({i}, {n}, '{href}')" for i, (_, n, href) in enumerate(_SITES) if n) + f") v(i, stage, href) ON s_suppkey % {len(_SITES)} = i")
+def found_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds by the first stage that finds any."""
+    s, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string")
+    html = F.replace(F.element_at(F.array(*[F.lit(t) for t, _, _ in _SITES]), (F.col("s_suppkey") % len(_SITES) + 1).cast("int")), F.lit("@"), k)
+    sites = s.select("s_suppkey", F.concat(F.lit("http://h.example/b/"), k, F.lit("/")).alias("url"), html.alias("html"))
+    return feed_finder.find(sites, "s_suppkey", hints=("hint$",))
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 6 ELSE 8 END AS stage, CASE s_suppkey % 3 WHEN 0 THEN 'http://h.example/start/feed' WHEN 1 THEN 'http://h.example/p/' || s_suppkey || '/x.rss' ELSE 'http://o.example/a.rss' END AS href FROM supplier""")
+def confirmed_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds that were saved and are feeds; those of the start page come first."""
+    s, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    links = '<a href="x.rss">x</a><a href="http://o.example/a.rss">y</a><link rel=alternate type="application/atom+xml" href="/gone">'
+    sites = s.select("s_suppkey", F.concat(F.lit("http://h.example/p/"), k, F.lit("/")).alias("url"), F.concat(F.when(k % 3 == 0, '<link rel="start" href="/start/">').otherwise(""), F.lit(links)).alias("html"))
+    one = F.when(k % 3 == 1, "<rss/>").otherwise("<html><rss>")
+    more = spark.createDataFrame([("http://h.example/start/", '<link rel="alternate" type="text/xml" href="feed">'), ("http://h.example/start/feed", "<feed>"), ("http://o.example/a.rss", "<RDF>")], "url string, html string")
+    saved = s.select(F.concat(F.lit("http://h.example/p/"), k, F.lit("/x.rss")).alias("url"), one.alias("html")).union(more)
+    return feed_finder.find(sites, "s_suppkey", saved=saved)

@@ -166,7 +166,7 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN regexp_matches(lower(regexp_extract(href, '([^/]*)$', 1)), 'rss|rdf|xml') AND NOT regexp_matches(lower(regexp_extract(href, '([^/]*)$', 1)), '^\.*[^.].*\.(gif|png|jpg|jpeg|html|htm|shtml|gz|tgz|zip|txt|pdf|doc|docx|swf|xls|xlsx|ppt|pptx)$') THEN 2 ELSE 3 END AS stage FROM l)
 SELECT DISTINCT page_id, href, stage FROM c QUALIFY stage = min(stage) OVER (PARTITION BY page_id)""")
 def feed_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a page's links those of the first stage that has any."""
+    """Of a page's links those of the first stage that has any."""
     found = read(spark, sf_dir, "pages").select("page_id", F.explode(pages.hrefs(F.col("html"))).alias("href"))
     stage = F.when(urls.is_feed_link(F.col("href")), 1).when(urls.is_xml_related(F.col("href")), 2).otherwise(3)
     return graph.discovery_ladder(found.withColumn("stage", stage), "page_id")

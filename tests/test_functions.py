@@ -159,3 +159,19 @@ def test_character_references(spark):
     cases = {"": "", "a": "a", "&": "&", "&amp;lt;": "&lt;", "&#x1F600;!": "\U0001f600!", "&#0;&#55296;&#9999999;": "&#0;&#55296;&#9999999;", "x&eacute;&nope;&eacute": "xé&nope;&eacute", None: None}
     df = spark.createDataFrame([(k,) for k in cases], "v string")
     assert {r[0]: r[1] for r in df.select("v", tx.unescape_html(F.col("v"))).collect()} == cases
+
+
+def test_links_are_joined_as_the_library_does(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h/a/b?q=1#f", "http://h", "https://h:8/a/", "http://h/a/../b/c"]
+    links = ["", "x", "./x", "../x", "../../../x", "/x/./y", "//o/z", "?n=1", "#g", "http://o/a/../b", "x/..", "x/.", ".", "..", "a/b/../c?d=../e#f", "mailto:a@b"]
+    df = spark.createDataFrame([(b, x) for b in bases for x in links], "b string, l string")
+    wrong = [(r.b, r.l, r.j, urljoin(r.b, r.l)) for r in df.select("b", "l", urls.join(F.col("b"), F.col("l")).alias("j")).collect() if r.j != urljoin(r.b, r.l)]
+    assert not wrong
+
+
+def test_homes(spark):
+    cases = {"http://h/~ann/x/y?z": "http://h/~ann", "http://h/a/archives/2001": "http://h/a", "http://h/archives": "http://h/", "http://h/": None, "http://h/a": None}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert {r[0]: r[1] for r in df.select("v", urls.home(F.col("v"))).collect()} == cases
