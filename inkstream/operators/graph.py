@@ -6,6 +6,7 @@ import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkstream.shared import settled
 
@@ -66,6 +67,7 @@ def follow_next(start: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def discovery_ladder(candidates: DataFrame, key: str, stage: str = "stage") -> DataFrame:
-    """Of each key's candidates those of its first stage that has any."""
-    first = candidates.groupBy(key).agg(F.min(stage).alias("_first"))
-    return candidates.join(first, key).filter(F.col(stage) == F.col("_first")).drop("_first").distinct()
+    """Of each key's candidates those of its first stage that has any, each once. The candidates are made and shuffled once;
+    a key's candidates, such as a page's links, meet in one task."""
+    first = F.min(stage).over(Window.partitionBy(key))
+    return candidates.withColumn("_first", first).filter(F.col(stage) == F.col("_first")).drop("_first").distinct()
