@@ -317,17 +317,20 @@ class Pieces:
         self._cache = _Places()
         self._kept_ids, self._kept_len = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids one after another; the space mark is a space, and control ids have none."""
+        size = self.spelt_len[ids]
+        ends = np.cumsum(size)
+        return self.spelt[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.spelt_at[ids] - ends + size, size)]
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, as the library's decode gives it."""
         if not len(ids):
             return ""
         if not self.opens[ids[0]] or not self.plain[ids].all():
             return self.library.decode(ids.tolist())
-        size = self.spelt_len[ids]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(self.spelt_at[ids] - ends + size, size)
         try:
-            return self.spelt[at[1:]].tobytes().decode()
+            return self.spell(ids)[1:].tobytes().decode()
         except UnicodeDecodeError:  # bytes that make no character
             return self.library.decode(ids.tolist())
 
