@@ -65,15 +65,26 @@ def page_links(total: int, number: int, size: int) -> dict[str, int | None]:
     return {"pages": pages, "previous": number - 1 if number > 1 else None, "next": number + 1 if number < pages else None}
 
 
+def query_words(query: str) -> list[str]:
+    """The distinct words of a query, sorted."""
+    return sorted({w for w in query.lower().split() if w})
+
+
+def words_of(text: Column) -> Column:
+    """Runs of letters and digits in lower case; null has none."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
 def bm25(docs: DataFrame, query: str, key: str, field: str) -> DataFrame:
-    """(key, score) of documents with any word of the query.
+    """(key, score) of documents with any word of the query; an empty query matches all documents, at nought.
 
-    Only the query's words leave a document, so the shuffle carries a few rows for each match; corpus totals are one
-    aggregate joined as a single row.
+    Scans the documents: `inverted` keeps an index. Only the query's words leave a document, so the shuffle carries a few
+    rows for each match; corpus totals are one aggregate joined as a single row.
     """
-    words = sorted({w for w in query.lower().split() if w})
-    tokens = F.array_remove(F.split(F.lower(F.coalesce(F.col(field), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    sized = docs.select(F.col(key), tokens.alias("w")).select(key, F.size("w").alias("len"), "w")
+    words = query_words(query)
+    if not words:
+        return docs.select(F.col(key), F.lit(0.0).alias("score"))
+    sized = docs.select(F.col(key), words_of(F.col(field)).alias("w")).select(key, F.size("w").alias("len"), "w")
     totals = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
     each = F.array(*[F.struct(F.lit(w).alias("term"), (F.size("w") - F.size(F.array_remove("w", w))).alias("tf")) for w in words])
     hits = sized.select(key, "len", F.explode(each).alias("t")).select(key, "len", "t.term", "t.tf").filter("tf > 0")
