@@ -1,4 +1,4 @@
-"""Queries over what is kept beside the articles: the inverted index, facet bitmaps."""
+"""Queries over what is kept beside the articles: the inverted index, facet bitmaps, saved responses."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.operators import bitmaps, inverted
-from inkstream.plans.base import query, read
+from inkstream.operators import bitmaps, inverted, loader
+from inkstream.plans.base import NOW, query, read
 from inkstream.shared import shared_dir
+from inkstream.sources import responses
 
 #: After an index of all documents: every tenth is changed to its source's name before its text, every tenth is deleted.
 _CORPUS = "corpus AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'renamed token ' || coalesce(source, '') || ' ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7)"
@@ -56,3 +57,26 @@ def facets_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = bitmaps.facet_bitmaps(faceted, "doc_id", ["lang", "source", "size"])
     found = bitmaps.result_bitmaps(docs.filter(F.contains("text", F.lit("the"))), "doc_id")
     return bitmaps.counts_within(kept, bitmaps.both(bitmaps.having(kept, "lang", ["en", "de"]), found))
+
+
+@query("""WITH p AS (SELECT page_id, url, html, CASE WHEN page_id % 3 <> 0 OR page_id % 4 = 3 THEN 'none' WHEN page_id % 4 = 0 THEN 'fresh' ELSE 'check' END AS state FROM pages),
+o AS (SELECT *, CASE WHEN state = 'fresh' THEN 'fresh' WHEN page_id % 5 = 0 THEN 'loaded' WHEN state = 'check' THEN CASE WHEN page_id % 5 = 1 THEN 'unchanged' ELSE 'kept' END
+  WHEN page_id % 5 IN (1, 3) THEN 'loaded' WHEN page_id % 5 = 2 THEN 'not found' ELSE 'failed' END AS outcome FROM p)
+SELECT page_id, outcome, CAST(CASE outcome WHEN 'not found' THEN 404 WHEN 'failed' THEN 500 ELSE 200 END AS INTEGER) AS status,
+  CAST(CASE WHEN outcome = 'loaded' THEN strlen(html) WHEN outcome IN ('fresh', 'unchanged', 'kept') THEN strlen(url) END AS INTEGER) AS n_bytes,
+  CAST(CASE WHEN outcome = 'fresh' THEN 0 WHEN state = 'check' OR page_id % 5 IN (0, 2) THEN 1 ELSE 2 END AS INTEGER) AS attempts, outcome IN ('loaded', 'unchanged', 'not found') AS saved FROM o""")
+def loaded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the loader's rules, from a cache and from responses saved by host and read back."""
+    path = f"{shared_dir(spark)}/inkstream/responses-{uuid.uuid4().hex}"
+    p = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("address"), F.concat("url", F.lit("#"), "page_id").alias("url"), "html")
+    k, now = F.col("page_id"), F.lit(NOW).cast("timestamp")
+    said = [F.when(k % 5 == 0, 200).when(k % 5 == 1, 304).when(k % 5 == 2, 404).when(k % 5 == 3, 500).otherwise(503), F.when(k % 5 == 4, 500).otherwise(200)]
+    for attempt, status in enumerate(said):
+        body = F.when(status == 200, F.encode("html", "UTF-8"))
+        rows = p.select("url", status.alias("status"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("modified"), body.alias("body"), now.alias("saved_at"), F.concat(F.lit("host"), k % 5, F.lit(".example")).alias("host"))
+        responses.save(rows, path, attempt)
+    answers = responses.read(spark, path).select("url", F.col("batch").alias("attempt"), "status", "etag", "modified", "body")
+    age = F.when(k % 4 == 0, 100).when(k % 4 == 1, 400).when(k % 4 == 2, 4000).otherwise(31 * 86400)
+    cache = p.filter(k % 3 == 0).select("url", F.lit(200).alias("status"), F.lit("e").alias("etag"), F.lit(None).cast("string").alias("modified"), F.encode("address", "UTF-8").alias("body"), F.timestamp_seconds(F.unix_timestamp(now) - age).alias("saved_at"))
+    out = loader.load(p.select("url", now.alias("at"), "page_id"), cache, answers)
+    return out.join(p.select("url", "page_id"), "url").select("page_id", "outcome", "status", F.length("body").alias("n_bytes"), "attempts", F.col("saved_at").isNotNull().alias("saved"))

@@ -14,7 +14,7 @@ from inkstream.functions.text import escape_html
 from inkstream.plans.base import NOW, dealt, query, read, spread
 from inkstream.sources import connectors, feeds, html_tree, microformats, objects, tables
 from inkstream.sources.arrow import parse_column
-from inkstream.streaming import crawl
+from inkstream.streaming import crawl, refresh
 
 
 def _markup(*parts: str | Column) -> Column:
@@ -209,11 +209,11 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE due AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
 UNION ALL SELECT user_id, ts FROM (SELECT e.user_id, e.ts, row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts) AS i FROM due d JOIN events e ON e.user_id = d.user_id AND e.ts >= d.ts + INTERVAL 120 MINUTE) WHERE i = 1)
-SELECT user_id, ts FROM due""")
+SELECT user_id, ts FROM due WHERE ts < (SELECT date_trunc('milliseconds', max(ts) - INTERVAL 1 HOUR) FROM events)""")
 def stream_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K: events of a user at least 120 minutes apart, with the time of the next as state."""
+    """K: events of a user at least 120 minutes apart, with the time of the next as state, as far as the watermark came."""
     at = _checkpoint(spark)
-    due = crawl.due_stream(_events(spark, sf_dir).select("user_id", "ts"), "user_id", "ts")
+    due = refresh.refreshes(_events(spark, sf_dir).select("user_id", "ts"), "user_id", "ts")
     crawl.finish(due, f"{at}/log", lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/table/batch={n}"))
     return spark.read.schema("user_id long, ts timestamp").parquet(f"{at}/table/batch=*")
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkstream.operators.runs import first_wins
 
@@ -40,25 +37,6 @@ def once_each(pages: DataFrame, key: str, ts: str, delay: str = "1 day") -> Data
     return pages.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def due_stream(pages: DataFrame, key: str, ts: str, minutes: int = 120) -> DataFrame:
-    """Rows of a key that come at least `minutes` after the last one that passed: refresh times held as state."""
-
-    def due(names: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        after = state.get[0] if state.exists else None
-        passed = []
-        for frame in frames:
-            for t in sorted(frame[ts]):
-                if after is None or t.value // 1000 >= after:
-                    passed.append(t)
-                    after = t.value // 1000 + minutes * 60_000_000
-        if after is not None:
-            state.update((after,))
-        yield pd.DataFrame({key: [names[0]] * len(passed), ts: passed})
-
-    kind = dict(pages.dtypes)[key]
-    return pages.groupBy(key).applyInPandasWithState(due, f"{key} {kind}, {ts} timestamp", "after long", "append", GroupStateTimeout.NoTimeout)
-
-
 def windowed_counts(events: DataFrame, ts: str, key: str, size: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Counts by event-time window and key; late rows count as long as the watermark has not passed."""
     return events.withWatermark(ts, delay).groupBy(F.window(ts, size, slide or size), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), key, "n")
