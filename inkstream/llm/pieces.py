@@ -27,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkstream.llm.common import map_slices, project, strings
+from inkstream.llm.words import KnownWords
 
 SPACE = "▁"
-#: Words kept with their ids by each Python worker.
-CACHE_WORDS = 300_000
 #: Words longer than this (in symbols) are cut where no piece crosses, and go through rounds of their own.
 LONG_WORD = 256
 #: Ends of the groups of lengths whose rounds run together; what has no cut for longer than the last (junk) is merged
@@ -39,18 +38,6 @@ LENGTHS = (256, 1_024, 4_096)
 _FAR = np.iinfo(np.int64).max
 
 
-class _Places(dict):
-    """Words by the order in which they were first met; new: those not encoded yet."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = place = len(self)
-        return place
-
-
 def _spread(key: np.ndarray) -> np.ndarray:
     return key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,7 +61,7 @@ class Pieces:
         if any("\n" in p for p in ids):
             raise ValueError("a piece of this model holds a line break")
         self._words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
-        self._forget()
+        self.words = KnownWords(self.encode_words)
 
         chars = sorted({c for p in ids for c in p} - ids.keys())
         self.symbols = ids | {c: n + k for k, c in enumerate(chars)}  # n and more: no piece of its own, but part of pieces
@@ -266,8 +253,8 @@ class Pieces:
             flat = np.concatenate([*parts, flat[k:]])
         return flat, count
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words and puts their ids behind those already kept, in order."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has."""
         cuts = {i: self.cut(w) for i, w in enumerate(words) if len(w) > LONG_WORD}
         parts = words if not cuts else [p for i, w in enumerate(words) for p in cuts.get(i, (w,))]
         group = np.searchsorted(LENGTHS, [len(p) for p in parts], "left")
@@ -294,28 +281,11 @@ class Pieces:
             width = np.ones(len(words), np.int64)
             width[list(cuts)] = [len(x) for x in cuts.values()]
             count = np.add.reduceat(count, np.cumsum(width) - width)
-        self._kept_ids = np.concatenate([self._kept_ids, ids])
-        self._kept_len = np.concatenate([self._kept_len, count])
+        return ids, count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, as the library's encode gives them, and the n + 1 places where texts start."""
-        if len(self._cache) > CACHE_WORDS:
-            self._forget()
-        split = [self._words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        place = np.fromiter(map(self._cache.__getitem__, itertools.chain.from_iterable(split)), np.int64)
-        if self._cache.new:
-            self._learn(self._cache.new)
-            self._cache.new = []
-        size = self._kept_len[place]
-        ends = np.cumsum(size)
-        start = (np.cumsum(self._kept_len) - self._kept_len)[place]
-        ids = self._kept_ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)]
-        words = np.concatenate([[0], np.cumsum([len(x) for x in split])])
-        return ids, np.concatenate([[0], ends])[words]
-
-    def _forget(self) -> None:
-        self._cache = _Places()
-        self._kept_ids, self._kept_len = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return self.words.ids([self._words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts])
 
     def spell(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids one after another; the space mark is a space, and control ids have none."""

@@ -53,7 +53,7 @@ def test_long_words_stay_in_rounds(monkeypatch):
     queue = pieces.Pieces.merge_queue
     monkeypatch.setattr(pieces.Pieces, "merge_queue", lambda self, w: queued.append(w) or queue(self, w))
     random.seed(8)
-    m._forget()
+    m.words.forget()
     _same(["".join(random.choice("日本語の文章は空白なしに書かれる。中文也是ภาษาไทย") for _ in range(3000)), "x9" + "".join(random.choice("etaoinshrd0123") for _ in range(2000)), "日" * 300 + "abc" * 200])
     assert not queued
     assert "".join(m.cut("日本語" * 99)) == "日本語" * 99
@@ -68,6 +68,25 @@ def test_ids_that_no_encoding_gives():
 
 
 def test_forgotten_words_are_learnt_again(monkeypatch):
-    monkeypatch.setattr(pieces, "CACHE_WORDS", 3)
+    monkeypatch.setattr(pieces.load(MODEL).words, "most", 300)
     for _ in range(3):
         _same(["one two three four five", "six seven", "one"])
+
+
+def test_long_runs_do_not_pile_up():
+    """Runs of 50,000 characters without a blank, each a word of its own: the memory of a worker stays flat."""
+    import resource
+
+    m = pieces.load(MODEL)
+    random.seed(3)
+    letters = "日本語の文章は空白なしに書かれる。中文也是ภาษาไทย"
+    run = "".join(random.choice(letters) for _ in range(50_000))
+    text = lambda i: str(i) + run[i:] + run[:i]
+    for i in range(60):
+        m.encode([text(i)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for i in range(60, 220):
+        ids, _ = m.encode([text(i)])
+        assert i % 100 or ids.tolist() == m.library.encode(text(i))
+    assert m.words.kept < m.words.most + (2 << 20)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 60_000  # KB
