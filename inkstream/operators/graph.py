@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkstream.shared import settled
 
-#: Levels after which what has been gathered is settled, so that plans stay short however long a chain is.
-LEVELS = 8
-
 
 def _settled(df: DataFrame) -> DataFrame:
     """The rows of a step as a table, in no more files than a shuffle has partitions."""
@@ -35,35 +32,109 @@ def contacts(triples: DataFrame, knows: str, see_also: str, name: str) -> DataFr
     return known.join(more, "contact").join(names, "contact", "left").select("s", "contact", "see_also", "name")
 
 
-def flatten_tree(nodes: DataFrame) -> DataFrame:
-    """Nodes (id, parent, title) with depth and the path of titles from the root; a step of joins for each level.
+def _doubled(active: DataFrame, combine: dict[str, Column], state: DataFrame) -> DataFrame:
+    """One round of pointer doubling: active rows (id, jump, ...) take what their jump holds in the state (columns with a
+    leading _).
 
-    Goes down to the last level. A node below itself is an error: it would have no last level.
+    A node that many jump to is one row of the side that is looked up; AQE splits the rows that look it up.
     """
-    front = _settled(nodes.filter("parent is null").select("id", F.lit(0).alias("depth"), F.col("title").alias("path"), F.array("id").alias("_ids")))
-    out = front.drop("_ids")
-    for depth in itertools.count(1):
-        above = front.select(F.col("id").alias("parent"), F.col("path").alias("_path"), F.col("_ids").alias("_above"))
-        below = nodes.join(above, "parent").withColumn("_ids", F.concat("_above", F.array("id")))
-        front = _settled(below.select("id", F.lit(depth).alias("depth"), F.concat_ws("/", "_path", "title").alias("path"), "_ids", F.array_contains("_above", F.col("id")).alias("_again")))
-        if front.isEmpty():
-            return out
-        if again := front.filter("_again").select("id").first():
-            raise ValueError(f"node {again[0]!r} is below itself")
-        out = out.unionByName(front.drop("_ids", "_again"))
-        out = out if depth % LEVELS else _settled(out)
+    held = state.select(F.col("id").alias("jump"), *[F.col(c).alias(f"_{c}") for c in state.columns if c != "id"])
+    return active.join(held, "jump", "left").select("id", *[c.alias(name) for name, c in combine.items()])
+
+
+def tree_ends(nodes: DataFrame) -> DataFrame:
+    """For every id of nodes (id, parent): kind, depth and top. Kind is `root` if its parents lead to a node without a
+    parent (top: that node, depth: steps to it), `orphan` if they lead to a parent that is not there (top: that parent,
+    depth: steps to the last node that is), `cycle` if they never end (top: the least id of the cycle, depth: null).
+
+    Pointers are doubled: each round every node learns what lies twice as far above it, so a chain of n nodes takes about
+    log2(n) rounds. Rounds end when all nodes have an end, or when a round gave none an end: what is left leads to cycles. Null ids are left out; of a repeated id the row with the least parent counts, one without first.
+    """
+    once = nodes.filter("id is not null").groupBy("id").agg(F.min_by("parent", F.struct(F.col("parent").isNotNull(), "parent")).alias("parent"))
+    # The top so far, how many steps it is away, the least id on the way, and where to look next (null: nowhere).
+    known = _settled(once)
+    there = known.select(F.col("id").alias("parent"), F.lit(True).alias("_there"))
+    step = F.when(F.col("_there"), F.col("parent"))
+    state = _settled(
+        known.join(there, "parent", "left").select(
+            "id", step.alias("jump"), F.when(step.isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("id").alias("low"),
+            F.when(F.col("parent").isNull(), F.struct(F.lit("root").alias("kind"), F.col("id").alias("top")))
+            .when(F.col("_there").isNull(), F.struct(F.lit("orphan").alias("kind"), F.col("parent").alias("top"))).alias("end"),
+        )
+    )
+    combine = {
+        "jump": F.col("_jump"),
+        "depth": F.col("depth") + F.coalesce("_depth", F.lit(0)),
+        "low": F.least("low", "_low"),
+        "end": F.coalesce("end", "_end"),
+    }
+    before = -1
+    for k in itertools.count(1):
+        open_ = state.filter("end is null").count()
+        if not open_:
+            return state.select("id", "end.kind", "depth", "end.top")
+        # A way that ends would have seen a node end among twice the steps; and no cycle is longer than the steps taken.
+        if open_ == before and open_ <= 1 << (k - 1):
+            break
+        before = open_
+        # Ended nodes keep what they have; they are looked up, but do not look.
+        state = _settled(_doubled(state.filter("end is null"), combine, state).unionByName(state.filter("end is not null")))
+    # Every open node now points into its cycle, and the least id on a way that starts within a cycle is the cycle's.
+    lost = state.filter("end is null")
+    names = lost.select(F.col("id").alias("jump"), F.col("low").alias("top"))
+    ended = state.filter("end is not null").select("id", "end.kind", "depth", "end.top")
+    return ended.unionByName(lost.join(names, "jump").select("id", F.lit("cycle").alias("kind"), F.lit(None).cast("long").alias("depth"), "top"))
+
+
+def flatten_tree(nodes: DataFrame, separator: str = "/") -> DataFrame:
+    """A row for every id of nodes (id, parent, title): kind, depth and top as `tree_ends` gives them, and the path of
+    titles from the top node down; null for members of a cycle and what hangs on one.
+
+    Paths are put together by doubling too, so their rounds are few; null titles are left out.
+    """
+    once = nodes.filter("id is not null").groupBy("id").agg(F.min_by(F.struct("parent", "title"), F.struct(F.col("parent").isNotNull(), "parent", "title")).alias("n"))
+    rows = _settled(once.select("id", "n.parent", "n.title"))
+    ends = _settled(tree_ends(rows))
+    jump = F.when((F.col("depth") > 0) & (F.col("kind") != "cycle"), F.col("parent"))
+    state = _settled(rows.join(ends.filter("kind <> 'cycle'"), "id").select("id", jump.alias("jump"), F.array_compact(F.array("title")).alias("titles")))
+    combine = {"jump": F.col("_jump"), "titles": F.concat("_titles", "titles")}
+    while not state.filter("jump is not null").isEmpty():
+        state = _settled(_doubled(state.filter("jump is not null"), combine, state).unionByName(state.filter("jump is null")))
+    return ends.join(state.select("id", F.array_join("titles", separator).alias("path")), "id", "left").select("id", "kind", "depth", "top", "path")
 
 
 def follow_next(start: DataFrame, links: DataFrame) -> DataFrame:
-    """(page, hops): pages reached from the start over (src, dst) links, each once, at the fewest hops; to the last page."""
-    front = seen = _settled(start.select("page").distinct().withColumn("hops", F.lit(0)))
-    for hop in itertools.count(1):
-        found = front.select("page").join(links, F.col("page") == F.col("src")).select(F.col("dst").alias("page")).distinct()
-        front = _settled(found.join(seen, "page", "left_anti").withColumn("hops", F.lit(hop)))
+    """(page, hops): pages reached from the start over (src, dst) links, each once, at the fewest hops; to the last page.
+
+    Runs of pages that lead to one page each, as `next` links do, are followed by pointer doubling: in about log2(n) joins
+    for n pages, also around cycles. Pages that lead to several start a further step.
+    """
+    known = _settled(links.filter("src is not null and dst is not null").distinct())
+    by_page = known.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("dst"))
+    single = _settled(by_page.filter("n = 1").select("src", "dst"))
+    many = known.join(by_page.filter("n > 1").select("src"), "src", "left_semi")
+    jumps, size = [single], single.count()
+    while (1 << len(jumps)) <= size:
+        far = jumps[-1].select(F.col("src").alias("dst"), F.col("dst").alias("_dst"))
+        jump = _settled(jumps[-1].join(far, "dst").select("src", F.col("_dst").alias("dst")))
+        if jump.isEmpty():
+            break
+        jumps.append(jump)
+    least = lambda df: df.groupBy("page").agg(F.min("hops").alias("hops"))
+    seen, front = None, _settled(start.select("page").distinct().filter("page is not null").withColumn("hops", F.lit(0)))
+    while True:
+        for k, jump in enumerate(jumps):
+            there = front.join(jump, F.col("page") == F.col("src")).select(F.col("dst").alias("page"), (F.col("hops") + (1 << k)).alias("hops"))
+            front = _settled(least(front.unionByName(there)))
+        if seen is not None:
+            front = front.join(seen.withColumnRenamed("hops", "_hops"), "page", "left").filter("_hops is null or hops < _hops").drop("_hops")
+        front = _settled(front)
+        if front.isEmpty():
+            return seen
+        seen = front if seen is None else _settled(least(seen.unionByName(front)))
+        front = _settled(least(front.join(many, F.col("page") == F.col("src")).select(F.col("dst").alias("page"), (F.col("hops") + 1).alias("hops"))))
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front)
-        seen = seen if hop % LEVELS else _settled(seen)
 
 
 def discovery_ladder(candidates: DataFrame, key: str, stage: str = "stage") -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstream.shared import settled
+from inkstream.shipping import ship
+
 #: Rows up to which a dimension is broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 100_000
-#: Rows of prefixes up to which a dimension becomes one expression.
-MAP_ROWS = 256
 
 
 def sized(dim: DataFrame) -> DataFrame:
@@ -24,22 +23,52 @@ def code_names(df: DataFrame, dim: DataFrame, code: str, dim_code: str, name: st
     return df.join(sized(side), F.lower(F.col(code).cast("string")) == F.col("_code"), "left").drop("_code")
 
 
-def _by_prefix(df: DataFrame, dim: DataFrame, value: str, prefix: str, out: str, lengths: Iterable[int], longest: bool) -> DataFrame:
-    """A small dimension is a map in one expression. Otherwise each distinct value is looked up once and joined back,
-    so repeated values cost nothing further."""
-    lengths = sorted(lengths)
-    small = dim.select(prefix, out).filter(F.col(prefix).isNotNull()).limit(MAP_ROWS + 1).collect()
-    if 0 < len(small) <= MAP_ROWS and all(r[1] is not None for r in small):
-        known: dict = {}
-        for r in sorted(small):
-            known.setdefault(r[0], r[1])
-        table = F.create_map(*[F.lit(x) for entry in known.items() for x in entry])
-        tried = [F.try_element_at(table, F.substring(F.col(value), F.lit(1), F.lit(n))) for n in (reversed(lengths) if longest else lengths)]
-        return df.withColumn(out, F.coalesce(*tried, F.lit(None)))
-    tries = F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.substring(F.col(value), F.lit(1), n)))
-    hits = df.select(value).distinct().select(value, F.explode(tries).alias(prefix)).join(sized(dim.select(prefix, out)), prefix)
-    pick = F.max_by if longest else F.min_by
-    return df.join(hits.groupBy(value).agg(pick(out, F.length(prefix)).alias(out)), value, "left")
+def prefix_matches(df: DataFrame, dim: DataFrame, value: str, prefix: str, out: str, most: int | None = None) -> DataFrame:
+    """df with `shortest` and `longest`: what the dimension has in `out` for the shortest and the longest of its prefixes
+    that starts the value; null if none does. `most` leaves out longer prefixes.
+
+    A prefix is an interval of sorted strings, and intervals are nested or apart. So distinct values and prefixes are sorted
+    together into bins of like size, and one pass over each bin keeps the prefixes that are open; those that were opened in
+    earlier bins are brought in from the bin's first string. Bins hold distinct strings, so no frequent value or crowded
+    prefix makes one larger. Of a repeated prefix the least `out` counts; null values and prefixes match nothing.
+    """
+    once = dim.filter(F.col(prefix).isNotNull()).groupBy(F.col(prefix).alias("s")).agg(F.min(out).alias("out"))
+    once = settled(once if most is None else once.filter(F.length("s") <= most), "prefixes")
+    kind = dict(once.dtypes)["out"]
+    rows = once.withColumn("asked", F.lit(False)).unionByName(df.select(F.col(value).alias("s")).filter("s is not null").distinct().select("s", F.lit(None).cast(kind).alias("out"), F.lit(True).alias("asked")))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    binned = settled(rows.repartitionByRange(n, "s").withColumn("bin", F.spark_partition_id()), "prefix-bins")
+    lengths = [r.n for r in once.select(F.length("s").alias("n")).distinct().collect()]  # no more than the longest prefix has characters
+    heads = binned.groupBy("bin").agg(F.min("s").alias("head"))
+    tried = F.explode(F.transform(F.array(*map(F.lit, lengths or [0])), lambda k: F.substring("head", F.lit(1), k))).alias("s")
+    open_ = heads.select("bin", "head", tried).filter("s <> head").distinct().join(once, "s").select("s", "out", F.lit(False).alias("asked"), "bin")
+    swept = binned.select("s", "out", "asked", "bin").unionByName(open_).repartition(n, "bin").sortWithinPartitions("bin", "s", "asked")
+    ship(df.sparkSession)
+    found = swept.mapInArrow(_sweep(kind), f"s string, shortest {kind}, longest {kind}")
+    return df.join(found.withColumnRenamed("s", value), value, "left")
+
+
+def _sweep(kind: str):
+    def run(batches):
+        import pyarrow as pa
+
+        schema = None
+        bin_, held = None, []  # prefixes that are open, each within the one before, with what they stand for
+        for batch in batches:
+            schema = schema or pa.schema([("s", pa.string()), ("shortest", batch.schema.field("out").type), ("longest", batch.schema.field("out").type)])
+            found = []
+            for s, out, asked, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != bin_:
+                    bin_, held = at, []
+                while held and not s.startswith(held[-1][0]):
+                    held.pop()
+                if not asked:
+                    held.append((s, out))
+                else:
+                    found.append((s, held[0][1], held[-1][1]) if held else (s, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return run
 
 
 def prefix_column(value: Column, table: dict[str, str], longest: bool = False) -> Column:
@@ -48,19 +77,14 @@ def prefix_column(value: Column, table: dict[str, str], longest: bool = False) -
     return F.coalesce(*[F.when(value.startswith(k), F.lit(table[k])) for k in keys], F.lit(None).cast("string"))
 
 
-def shortest_prefix(df: DataFrame, dim: DataFrame, value: str, prefix: str, out: str, most: int = 3) -> DataFrame:
-    """As with calling codes: the dimension's row for the shortest prefix of the value that it has."""
-    return _by_prefix(df, dim, value, prefix, out, range(1, most + 1), False)
+def shortest_prefix(df: DataFrame, dim: DataFrame, value: str, prefix: str, out: str, most: int | None = 3) -> DataFrame:
+    """As with calling codes: the dimension's `out` for the shortest prefix of the value that it has."""
+    return prefix_matches(df, dim, value, prefix, out, most).drop("longest").withColumnRenamed("shortest", out)
 
 
 def longest_prefix(df: DataFrame, dim: DataFrame, value: str, prefix: str, out: str, most: int | None = None) -> DataFrame:
-    """As with credentials by path: the dimension's row for the longest prefix of the value that it has.
-
-    Tries the lengths that the dimension's prefixes have; `most` leaves out longer ones.
-    """
-    found = dim.select(F.length(prefix).alias("n")).filter("n is not null").distinct().collect()
-    lengths = sorted(r.n for r in found if most is None or r.n <= most)
-    return _by_prefix(df, dim, value, prefix, out, lengths or [0], True)
+    """As with credentials by path: the dimension's `out` for the longest prefix of the value that it has."""
+    return prefix_matches(df, dim, value, prefix, out, most).drop("shortest").withColumnRenamed("longest", out)
 
 
 #: First words of names that are titles (fixed values).

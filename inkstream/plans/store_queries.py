@@ -148,8 +148,17 @@ def prefix_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D9, D15."""
     rows = [("1", "one"), ("12", "twelve"), ("20", "twenty"), ("3", "three"), ("345", "long")]
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("v"))
-    short = lookup.shortest_prefix(o, spark.createDataFrame(rows, "prefix string, shortest string"), "v", "prefix", "shortest")
-    return lookup.longest_prefix(short, spark.createDataFrame(rows, "prefix string, longest string"), "v", "prefix", "longest", 3).drop("v")
+    return lookup.prefix_matches(o, spark.createDataFrame(rows, "prefix string, place string"), "v", "prefix", "place").select("o_orderkey", "shortest", "longest")
+
+
+@query("""WITH d AS (SELECT left(url, CAST(12 + page_id % 23 AS INTEGER)) AS prefix, min(page_id) AS owner FROM pages WHERE page_id % 3 <> 0 GROUP BY 1),
+m AS (SELECT page_id, min_by(owner, length(prefix)) AS shortest, max_by(owner, length(prefix)) AS longest FROM pages JOIN d ON starts_with(url, prefix) GROUP BY page_id)
+SELECT page_id, shortest, longest FROM pages LEFT JOIN m USING (page_id)""")
+def owners_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses looked up by prefixes of many lengths, that repeat and lie within each other."""
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    dim = p.filter("page_id % 3 <> 0").select(F.expr("left(url, cast(12 + page_id % 23 as int))").alias("prefix"), F.col("page_id").alias("owner"))
+    return lookup.prefix_matches(p, dim, "url", "prefix", "owner").select("page_id", "shortest", "longest")
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS s, c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation FROM customer""")
@@ -179,6 +188,19 @@ def flattened_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of nations, flattened with paths."""
     n = read(spark, sf_dir, "nation")
     nodes = n.select(F.col("n_nationkey").cast("int").alias("id"), F.expr("case when n_nationkey >= 3 then cast(n_nationkey div 3 as int) end").alias("parent"), F.col("n_name").alias("title"))
+    return graph.flatten_tree(nodes).select("id", F.col("depth").cast("int").alias("depth"), "path")
+
+
+@query("""WITH RECURSIVE n AS (SELECT c_custkey AS id, c_mktsegment AS title, CASE WHEN c_custkey % 31 = 1 THEN NULL WHEN c_custkey % 29 = 0 THEN -c_custkey WHEN c_custkey % 37 = 5 THEN c_custkey + 1 WHEN c_custkey % 37 = 6 THEN c_custkey - 1 ELSE c_custkey // 3 END AS parent FROM customer),
+w AS (SELECT id, id AS place, parent, [id] AS way, title AS path FROM n UNION ALL SELECT w.id, n.id, n.parent, list_append(w.way, n.id), n.title || '/' || w.path FROM w JOIN n ON n.id = w.parent WHERE NOT list_contains(w.way, w.parent)),
+e AS (SELECT id, place, parent, way, path, parent IS NOT NULL AND list_contains(way, parent) AS again FROM w WHERE parent IS NULL OR list_contains(way, parent) OR parent NOT IN (SELECT id FROM n))
+SELECT id, CASE WHEN again THEN 'cycle' WHEN parent IS NULL THEN 'root' ELSE 'orphan' END AS kind, CASE WHEN NOT again THEN CAST(len(way) - 1 AS BIGINT) END AS depth,
+  CASE WHEN again THEN list_min(way[list_position(way, parent):]) WHEN parent IS NULL THEN place ELSE parent END AS top, CASE WHEN NOT again THEN path END AS path FROM e""")
+def outline_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node with its end: roots, parents that are not there, cycles."""
+    k = F.col("c_custkey")
+    parent = F.when(k % 31 == 1, None).when(k % 29 == 0, -k).when(k % 37 == 5, k + 1).when(k % 37 == 6, k - 1).otherwise(F.floor(k / 3))
+    nodes = read(spark, sf_dir, "customer").select(k.cast("long").alias("id"), parent.cast("long").alias("parent"), F.col("c_mktsegment").alias("title"))
     return graph.flatten_tree(nodes)
 
 

@@ -54,15 +54,12 @@ def test_entities(spark):
     assert ranked == ["b", "a"]
 
 
-def test_lookups(spark, monkeypatch):
+def test_lookups(spark):
     df = spark.createDataFrame([("44123",), ("1416",), ("99",), (None,)], "d string")
     dim = spark.createDataFrame([("4", "four"), ("44", "uk"), ("1", "us")], "p string, c string")
-    expected = {"44123": ("four", "uk"), "1416": ("us", "us"), "99": (None, None), None: (None, None)}
-    for most in (100_000, 0):
-        monkeypatch.setattr(lookup, "BROADCAST_ROWS", most)
-        short = {r.d: r.c for r in lookup.shortest_prefix(df, dim, "d", "p", "c").collect()}
-        far = {r.d: r.c for r in lookup.longest_prefix(df, dim, "d", "p", "c").collect()}
-        assert {k: (short[k], far[k]) for k in short} == expected
+    short = {r.d: r.c for r in lookup.shortest_prefix(df, dim, "d", "p", "c").collect()}
+    far = {r.d: r.c for r in lookup.longest_prefix(df, dim, "d", "p", "c").collect()}
+    assert {k: (short[k], far[k]) for k in short} == {"44123": ("four", "uk"), "1416": ("us", "us"), "99": (None, None), None: (None, None)}
 
 
 def test_closures(spark):
@@ -70,17 +67,49 @@ def test_closures(spark):
     assert rows(graph.follow_next(spark.sql("select 0 page"), links), "page") == [(0, 0), (1, 1), (2, 2), (5, 3)]
 
 
-def test_long_chains_and_deep_trees_are_followed_to_the_end(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 3)], "src int, dst int")
-    assert rows(graph.follow_next(spark.sql("select 0 page"), links), "page") == [(i, i) for i in range(21)]
-    nodes = spark.createDataFrame([(i, i - 1 if i else None, str(i)) for i in range(36)], "id int, parent int, title string")
-    assert rows(graph.flatten_tree(nodes), "id") == [(i, i, "/".join(map(str, range(i + 1)))) for i in range(36)]
-
-
-def test_a_node_below_itself_is_an_error(spark):
-    nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (1, 2, "a")], "id int, parent int, title string")
-    with pytest.raises(ValueError, match="below itself"):
-        graph.flatten_tree(nodes)
+def test_long_chains_are_followed_to_the_end_in_few_rounds(spark, monkeypatch):
+    written = []
+    settled = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df, name: written.append(name) or settled(df, name))
+    links = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    found = graph.follow_next(spark.sql("select 0L page"), links.union(spark.sql("select 10000L, 7L")))
+    assert found.agg(F.count("*"), F.max("hops"), F.sum("hops")).first()[:] == (10_001, 10_000, 50_005_000)
+    assert len(written) < 45  # two tables for each of 14 rounds, and a few more
+    written.clear()
+    ends = graph.tree_ends(spark.range(10_000).select("id", F.nullif(F.col("id") - 1, F.lit(-1)).alias("parent")))
+    assert ends.filter("kind = 'root' and top = 0 and depth = id").count() == 10_000
+    assert len(written) < 20
+
+
+def test_links_that_branch_meet_and_cycle(spark):
+    import collections
+    import random
+
+    random.seed(4)
+    links = [(random.randrange(60), random.randrange(60)) for _ in range(75)] + [(i, i + 1) for i in range(60, 90)] + [(3, 60), (90, 3), (None, 1), (2, None)]
+    start = [0, 5, 5, None, 200]
+    hops, todo = {0: 0, 5: 0, 200: 0}, collections.deque([0, 5, 200])
+    while todo:
+        page = todo.popleft()
+        for a, b in links:
+            if a == page and b is not None and b not in hops:
+                hops[b] = hops[page] + 1
+                todo.append(b)
+    found = graph.follow_next(spark.createDataFrame([(p,) for p in start], "page int"), spark.createDataFrame(links, "src int, dst int"))
+    assert dict(rows(found, "page")) == hops
+
+
+def test_every_node_of_a_tree_has_an_end(spark):
+    """Roots, deep paths, parents that are not there, cycles of one and more nodes with what hangs on them, repeats."""
+    nodes = [(i, i - 1 if i else None, str(i)) for i in range(300)]
+    nodes += [(1000, 999, "o"), (1001, 1000, "p"), (2000, 2001, "a"), (2001, 2002, "b"), (2002, 2000, "c"), (1990, 2001, "tail"), (1991, 1990, "tail of tail"), (3000, 3000, "self"), (3001, 3000, None)]
+    nodes += [(4000, None, None), (4001, 4000, "x"), (4001, 4000, "x"), (5, 7, "again"), (None, 5, "no id")]
+    got = {r.id: (r.kind, r.depth, r.top, r.path) for r in graph.flatten_tree(spark.createDataFrame(nodes, "id long, parent long, title string")).collect()}
+    want = {i: ("root", i, 0, "/".join(map(str, range(i + 1)))) for i in range(300)}
+    want |= {1000: ("orphan", 0, 999, "o"), 1001: ("orphan", 1, 999, "o/p")}
+    want |= {i: ("cycle", None, 2000, None) for i in (2000, 2001, 2002, 1990, 1991)} | {i: ("cycle", None, 3000, None) for i in (3000, 3001)}
+    assert got == want | {4000: ("root", 0, 4000, ""), 4001: ("root", 1, 4000, "x")}
+    assert graph.flatten_tree(spark.createDataFrame([], "id long, parent long, title string")).collect() == []
 
 
 def test_prefixes_of_any_length(spark):
@@ -93,6 +122,25 @@ def test_prefixes_of_any_length(spark):
     assert [r.c for r in lookup.longest_prefix(df, dim.limit(0), "v", "p", "c").collect()] == [None] * len(values)
 
 
+def test_prefixes_that_repeat_nest_and_cross_bins(spark):
+    import random
+
+    random.seed(9)
+    word = lambda n: "".join(random.choice("ab/é") for _ in range(random.randrange(n)))
+    dim = [(word(7), random.choice([None, 1, 2, 3])) for _ in range(300)] + [("ab", 9), ("ab", 4), (None, 1)]
+    values = [word(12) for _ in range(500)] + ["ab" * 40] * 50 + [None, ""]
+    known = {}
+    for p, o in dim:
+        if p is not None:
+            known[p] = min((x for x in (known.get(p), o) if x is not None), default=None)
+    for most in (None, 3):
+        of = {v: [p for p in sorted(known, key=len) if v is not None and v.startswith(p) and (most is None or len(p) <= most)] for v in values}
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+        got = lookup.prefix_matches(df, spark.createDataFrame(dim, "p string, o int"), "v", "p", "o", most).collect()
+        assert len(got) == len(values)
+        assert all((r.shortest, r.longest) == ((known[of[r.v][0]], known[of[r.v][-1]]) if of[r.v] else (None, None)) for r in got)
+
+
 def test_images_and_feeds(spark):
     html = '<img src="a.png" width="15"><img src="b.png" width=16 height="20"><img src="b.png"><link rel="alternate" type="application/rss+xml" href="/f"><base href="http://b/">'
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
