@@ -35,6 +35,8 @@ from inkstream.llm.words import KnownWords
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Widths of the buckets; parts longer than the last go to the queue.
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
+#: Bytes up to which a part is not worth cutting.
+UNCUT = 48
 #: Cells of one matrix.
 CELLS = 1 << 20
 #: Text bytes of one step.
@@ -145,7 +147,7 @@ class BytePairs:
         width = np.ones(len(rest), np.int64)
         for k, i in enumerate(rest.tolist()):
             raw = parts[i].encode()
-            if len(raw) <= WIDTHS[3]:
+            if len(raw) <= UNCUT:
                 pieces.append(raw)
             else:
                 cut = self.cut(raw)
