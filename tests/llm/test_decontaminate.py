@@ -27,33 +27,71 @@ def test_matches_brute_force():
         docs = [make(40) for _ in range(6)]
         for text, x in zip(docs, d.longest_matches([t.encode() for t in docs], d.TestSet(items)), strict=True):
             assert (x.words, sum(b - a for a, b in x.runs), sorted(items[i][0] for i in x.items)) == brute(text, items)
-            assert sorted(x.matches) == maximal(text, items)
+            assert [m[:2] for m in x.matches] == maximal(text, items)
+            q = [d.words_of(t.encode()) for _, t in items]
+            for place, n, i, at, times in x.matches:
+                assert q[i][at : at + n] == d.words_of(text.encode())[place : place + n]
+                places = [(j, k) for j, t in enumerate(q) for k in range(len(t) - n + 1) if t[k : k + n] == q[i][at : at + n] and (n >= 10 or len(t) == n)]
+                assert times == len(places) and (i, at) in places
             assert all(a < b < c for (a, b), (c, _) in zip(x.runs, x.runs[1:], strict=False))
 
 
 def maximal(text, items):
-    """(item, its word, the text's word, words) of matches that go no further on either side, word by word."""
+    """(place, words): how far a text goes on like some item from where a window opens, unless that is part of what came
+    from the place before."""
     w, out = text.split(), []
-    for i, (_, t) in enumerate(items):
-        q = t.split()
-        least = min(len(q), 10)
-        for a in range(len(q)):
-            for p in range(len(w)):
-                if (a and p and q[a - 1] == w[p - 1]) and least == 10:
-                    continue
+    for p in range(len(w)):
+        best = 0
+        for _, t in items:
+            q = t.split()
+            for a in range(len(q)):
                 n = 0
                 while a + n < len(q) and p + n < len(w) and q[a + n] == w[p + n]:
                     n += 1
-                if n >= least > 0:
-                    out.append((i, a, p, n))
-    return sorted(out)
+                if n >= min(len(q), 10) and (len(q) >= 10 or a == 0):
+                    best = max(best, n)
+        out.append(best)
+    return [(p, n) for p, n in enumerate(out) if n and not (p and n < out[p - 1])]
 
 
 def test_matches_as_long_as_they_go():
     item = " ".join(f"w{i}" for i in range(40))
     text = "x y " + " ".join(f"w{i}" for i in range(5, 38)) + " z " + " ".join(f"w{i}" for i in range(12))
     (x,) = d.longest_matches([text.encode()], d.TestSet([("i", item)]))
-    assert x.matches == [(0, 5, 2, 33), (0, 0, 36, 12)]
+    assert x.matches == [(2, 33, 0, 5, 1), (36, 12, 0, 0, 1)]
+
+
+def test_repeated_words_make_no_pairs():
+    """One word 40,000 times against 2,000 times: work and memory follow the words, not the pairs of places."""
+    import resource
+    import time
+
+    tests = d.TestSet([("a", "x " * 2000), ("b", "x " * 1500 + "y")])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    (x,) = d.longest_matches([b"x " * 40_000], tests)
+    assert x.runs == [(0, 40_000)] and x.items == {0, 1} and max(m[1] for m in x.matches) == 2000
+    assert len(x.matches) == 38_001  # from each place until the text is nearer its end than the longest item is long
+    assert time.perf_counter() - began < 4 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_tests_take_bounded_memory():
+    """A block of tests as large as may be, of distinct words and of repeated ones, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from inkstream.llm import decontaminate as d
+random.seed(1)
+words = [f"{random.randrange(10**6):x}" for _ in range(200_000)]
+items = [(str(i), " ".join(random.choices(words, k=400))) for i in range(d.BLOCK_BYTES // 2300)] + [("r", "again " * 50_000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+tests = d.TestSet(items)
+d.longest_matches([items[0][1].encode(), b"again " * 1000], tests)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    kb = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert kb < 250_000
 
 
 def _benchmark(spark, items):
