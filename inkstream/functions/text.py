@@ -160,9 +160,9 @@ def unescape_html(c: Column) -> Column:
     """Character references, numeric and by the names of HTML 4, as the characters that they mean; others stay."""
     named = F.create_map(*[F.lit(x) for name, n in sorted(name2codepoint.items()) for x in (name, n)])
     # Each step binds what the next one uses more than once, so that the expression stays small.
-    with_name = lambda p: F.struct(p.alias("text"), F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1).alias("name"))
+    with_name = lambda p: F.named_struct(F.lit("text"), p, F.lit("name"), F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1))
     number = lambda name: F.when(name.rlike("^#[0-9]"), F.substring(name, 2, 7)).when(name.startswith("#"), F.conv(F.substring(name, 3, 6), 16, 10)).cast("int")
-    with_number = lambda p: F.struct(p["text"].alias("text"), F.length(p["name"]).alias("n"), F.coalesce(number(p["name"]), F.try_element_at(named, p["name"])).alias("code"))
+    with_number = lambda p: F.named_struct(F.lit("text"), p["text"], F.lit("n"), F.length(p["name"]), F.lit("code"), F.coalesce(number(p["name"]), F.try_element_at(named, p["name"])))
     fits = lambda code: F.coalesce(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.lit(False))
     letter = lambda code: F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     shown = lambda p: F.when(fits(p["code"]), F.concat(letter(p["code"]), F.substring(p["text"], p["n"] + 2, F.length(p["text"])))).otherwise(F.concat(F.lit("&"), p["text"]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstream.functions import dates, records, urls
+from inkstream.operators import pages as markup
 from inkstream.operators import store
 from inkstream.sources import microformats
 
@@ -46,8 +47,9 @@ def crawl(pages: DataFrame, stored: DataFrame, now: Column, url: str = "url", ht
 
 
 def next_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, next): the page that each page names as the next, absolute as the crawl makes links; pages without one are
-    left out."""
-    tag = F.regexp_extract(F.col(html), r"""(?is)<(?:a|link)\s(?=[^>]*\brel=["']?next\b)[^>]*>""", 0)
-    href = F.regexp_extract(tag, r"""(?i)\bhref=["']?([^"'\s>]+)""", 1)
-    return pages.select(F.col(url).alias("url"), href.alias("href")).filter("href <> ''").select("url", urls.absolutise(F.col("href"), F.col("url")).alias("next"))
+    """(url, next): the pages that each page names as the next by links (`a`) with that relation, absolute as the crawl
+    makes links, each once; pages without one are left out."""
+    told = F.filter(markup.tags(F.col(html), "a"), lambda t: markup.has_token(markup.attribute(t, "rel"), "next"))
+    links = F.array_distinct(F.filter(F.transform(told, lambda t: markup.attribute(t, "href")), lambda h: h != ""))
+    found = pages.select(F.col(url).alias("url"), F.explode(links).alias("href"))
+    return found.select("url", urls.absolutise(F.col("href"), F.col("url")).alias("next")).distinct()

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstream.functions import text as tx
 from inkstream.functions import urls
 from inkstream.operators import graph, pages
 
@@ -13,35 +12,26 @@ from inkstream.operators import graph, pages
 FEED_TYPES = ("application/rss", "application/atom", "application/rdf", "application/xml", "text/xml", "application/x.atom")
 
 
-def _tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?i)(<{name}\s[^>]*>)"), F.lit(1))
-
-
-def _attribute(tag: Column, name: str) -> Column:
-    """A quoted or bare attribute; empty if there is none."""
-    return F.regexp_replace(F.regexp_extract(tag, rf"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), "^[\"']|[\"']$", "")
-
-
 def _links(tags: Column, url: Column) -> Column:
     """Where tags lead: addresses without fragments, each once. Steps bind what later ones use more than once."""
-    told = F.filter(F.transform(tags, lambda t: _attribute(t, "href")), lambda h: h != "")
-    return F.array_distinct(F.transform(F.transform(F.transform(told, tx.unescape_html), lambda h: urls.join(url, h)), lambda x: F.regexp_replace(x, "#.*$", "")))
+    told = F.filter(F.transform(tags, lambda t: pages.attribute(t, "href")), lambda h: h != "")
+    return F.array_distinct(F.transform(F.transform(told, lambda h: urls.join(url, h)), lambda x: F.regexp_replace(x, "#.*$", "")))
 
 
 def announced(html: Column, url: Column) -> Column:
     """Addresses of the feeds that link elements announce, in order."""
     types = "^(" + "|".join(x.replace(".", r"\.") for x in FEED_TYPES) + ")"
-    return _links(F.filter(_tags(html, "link"), lambda t: _attribute(t, "rel").isin("alternate", "service.feed") & _attribute(t, "type").rlike(types)), url)
+    return _links(F.filter(pages.tags(html, "link"), lambda t: pages.attribute(t, "rel").isin("alternate", "service.feed") & pages.attribute(t, "type").rlike(types)), url)
 
 
 def linked(html: Column, url: Column) -> Column:
     """Addresses of all links of a page."""
-    return _links(_tags(html, "a"), url)
+    return _links(pages.tags(html, "a"), url)
 
 
 def start_link(html: Column, url: Column) -> Column:
     """Where the site begins: its start, else its home link, else what the address gives away; null if nothing does."""
-    of = lambda rel: F.get(_links(F.filter(_tags(html, "link"), lambda t: _attribute(t, "rel") == rel), url), F.lit(0))
+    of = lambda rel: F.get(_links(F.filter(pages.tags(html, "link"), lambda t: pages.attribute(t, "rel") == rel), url), F.lit(0))
     return F.coalesce(of("start"), of("home"), urls.home(url))
 
 

@@ -24,9 +24,32 @@ def document_title(html: Column) -> Column:
     return F.coalesce(*[F.nullif(heading(html, n), F.lit("")) for n in range(1, 7)], title(html))
 
 
+def tags(html: Column, name: str) -> Column:
+    """The start tags of an element in order, those within comments left out. A > within quotes does not end a tag."""
+    bare = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")
+    return F.regexp_extract_all(bare, F.lit(rf"""(?is)(<{name}(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>)"""), F.lit(1))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The first attribute of that very name (not of one that ends in it, nor within another's value), quoted or bare, with
+    entities decoded; empty if there is none."""
+    found = F.regexp_extract(tag, rf"""(?is)^<[a-z][^\s/>]*+(?:(?:\s|/)*+(?!{name}\s*+=)(?:[^\s=>"'/]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+|["'=]))*+(?:\s|/)*+{name}\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", 1)
+    return tx.unescape_html(F.regexp_replace(found, "^[\"']|[\"']$", ""))
+
+
+def has_token(value: Column, token: str) -> Column:
+    """Whether blank-separated words hold a token, without regard to case."""
+    return F.array_contains(F.split(F.lower(value), r"\s+"), token)
+
+
+def attributes(html: Column, name: str, attr: str) -> Column:
+    """An attribute of all start tags of an element that have it, in order."""
+    return F.filter(F.transform(tags(html, name), lambda t: attribute(t, attr)), lambda v: v != "")
+
+
 def hrefs(html: Column) -> Column:
     """Targets of all links in order."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    return attributes(html, "a", "href")
 
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -42,22 +65,21 @@ def distinct_links(pages: DataFrame, key: str = "page_id", html: str = "html") -
 
 def images(pages: DataFrame, key: str = "page_id", html: str = "html", least: int = 16) -> DataFrame:
     """(key, pos, src): distinct images, without those that say they are narrower or lower than `least`."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)(<img\s[^>]*>)"), F.lit(1))
-    size = lambda t, side: F.regexp_extract(t, f'(?i){side}="?(\\d+)', 1).try_cast("int")
-    big = F.filter(tags, lambda t: (F.coalesce(size(t, "width"), F.lit(least)) >= least) & (F.coalesce(size(t, "height"), F.lit(least)) >= least))
-    found = F.array_distinct(F.filter(F.transform(big, lambda t: F.regexp_extract(t, r'(?i)src="([^"]*)"', 1)), lambda s: s != ""))
+    size = lambda t, side: F.regexp_extract(attribute(t, side), r"^\s*(\d+)", 1).try_cast("int")
+    big = F.filter(tags(F.col(html), "img"), lambda t: (F.coalesce(size(t, "width"), F.lit(least)) >= least) & (F.coalesce(size(t, "height"), F.lit(least)) >= least))
+    found = F.array_distinct(F.filter(F.transform(big, lambda t: attribute(t, "src")), lambda s: s != ""))
     return pages.select(key, F.posexplode(found).alias("pos", "src"))
 
 
 def feeds(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, href): feeds that a page's link elements announce."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)(<link\s[^>]*>)"), F.lit(1))
-    told = F.filter(tags, lambda t: t.rlike("(?i)rel=\"?[^\">]*alternate") & t.rlike("(?i)type=\"?application/(rss|atom|rdf)\\+xml"))
-    return pages.select(key, F.explode(F.array_distinct(F.transform(told, lambda t: F.regexp_extract(t, r'(?i)href="([^"]*)"', 1)))).alias("href"))
+    told = F.filter(tags(F.col(html), "link"), lambda t: has_token(attribute(t, "rel"), "alternate") & attribute(t, "type").rlike(r"(?i)application/(rss|atom|rdf)\+xml"))
+    links = F.filter(F.transform(told, lambda t: attribute(t, "href")), lambda h: h != "")
+    return pages.select(key, F.explode(F.array_distinct(links)).alias("href"))
 
 
 def base_href(html: Column) -> Column:
-    return F.regexp_extract(html, r'(?i)<base\s[^>]*?href="([^"]*)"', 1)
+    return F.coalesce(F.get(attributes(html, "base", "href"), F.lit(0)), F.lit(""))
 
 
 def is_html(raw: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Queries over what is kept beside the articles: the inverted index, facet bitmaps, saved responses."""
+"""Queries over what is kept beside the articles: the inverted index, facet bitmaps, saved responses, versions."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.operators import bitmaps, inverted, loader
+from inkstream.operators import bitmaps, inverted, loader, versioned
 from inkstream.plans.base import NOW, query, read
 from inkstream.shared import shared_dir
 from inkstream.sources import responses
@@ -80,3 +80,19 @@ def loaded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = p.filter(k % 3 == 0).select("url", F.lit(200).alias("status"), F.lit("e").alias("etag"), F.lit(None).cast("string").alias("modified"), F.encode("address", "UTF-8").alias("body"), F.timestamp_seconds(F.unix_timestamp(now) - age).alias("saved_at"))
     out = loader.load(p.select("url", now.alias("at"), "page_id"), cache, answers)
     return out.join(p.select("url", "page_id"), "url").select("page_id", "outcome", "status", F.length("body").alias("n_bytes"), "attempts", F.col("saved_at").isNotNull().alias("saved"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment FROM customer), t(n, day) AS (VALUES (1, TIMESTAMP '2024-01-01'), (2, TIMESTAMP '2024-01-02'), (3, TIMESTAMP '2024-01-03'), (4, TIMESTAMP '2024-01-04')),
+v AS (SELECT k, name, segment, 1 AS f, CASE WHEN k % 3 = 0 THEN 2 WHEN k % 7 = 0 THEN 4 END AS u FROM c UNION ALL SELECT k, name, 'two', 2, CASE WHEN k % 5 = 0 THEN 3 WHEN k % 7 = 0 THEN 4 END FROM c WHERE k % 3 = 0
+  UNION ALL SELECT k, name, segment, 3, CASE WHEN k % 7 = 0 THEN 4 END FROM c WHERE k % 15 = 0)
+SELECT k, name, segment, a.day AS valid_from, b.day AS valid_to FROM v JOIN t a ON a.n = f LEFT JOIN t b ON b.n = u""")
+def article_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1, D5, revisions: four commits, one of them twice; what changed is closed, what did not is left alone."""
+    path = f"{shared_dir(spark)}/inkstream/versions-{uuid.uuid4().hex}"
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
+    two = c.filter("k % 3 = 0").select("k", F.lit(None).cast("string").alias("name"), F.lit("two").alias("segment"))
+    for day, rows, name in ((1, c, "first"), (2, two, "second"), (9, two, "second"), (3, c.filter("k % 5 = 0"), "third")):
+        versioned.merge(path, rows, ["k"], at(day), commit=name)
+    versioned.merge(path, c.limit(0), ["k"], at(4), commit="fourth", gone=c.filter("k % 7 = 0").select("k"))
+    return versioned.history(spark, path, c.schema)

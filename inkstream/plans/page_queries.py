@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.functions import text as tx
@@ -37,6 +37,23 @@ def page_links_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.distinct_links(read(spark, sf_dir, "pages"))
 
 
+@query("""WITH l AS (SELECT page_id, list_value('/s' || page_id, '/b' || page_id, '/d' || page_id, '?a=1&p=' || page_id, '/u' || page_id, '/o' || page_id, url) AS h FROM pages), n AS (SELECT page_id, h, unnest(generate_series(1, 7)) AS i FROM l)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, h[i] AS href, i = 4 AS is_next FROM n""")
+def planted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links in single quotes, bare, beside attributes and texts that look like one, not those of comments or
+    other elements; of relations the very word."""
+    k = F.col("page_id").cast("string")
+    parts = [
+        '<!-- <a href="/no1"> --><p><a href=\'/s', k, "'>x</a><a href=/b", k, ' class=y>y</a><a data-href="/no2" href="/d', k, '">z</a><a title="x > y href=\'/no3\'" href="?a=1&amp;p=', k,
+        '" rel="prev NEXT">n</a><A id="q"HREF = "/u', k, '">u</A><link rel="next" href="/no4"><a rel="next-post" href="/o', k, '">o</a><abbr href="/no5">a</abbr><a name="no">b</a><a href="', F.col("url"), '">t</a>',
+    ]
+    planted = read(spark, sf_dir, "pages").select("page_id", F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts]).alias("html"))
+    rel = F.filter(pages.tags(F.col("html"), "a"), lambda t: pages.has_token(pages.attribute(t, "rel"), "next"))
+    following = F.transform(rel, lambda t: pages.attribute(t, "href"))
+    found = planted.select("page_id", F.posexplode(pages.hrefs(F.col("html"))).alias("pos", "href"), following.alias("_next"))
+    return found.select("page_id", "pos", "href", F.array_contains("_next", F.col("href")).alias("is_next"))
+
+
 @query(r"""SELECT page_id, regexp_replace(html, '<.*?>', '', 'g') AS bare, length(html) AS n_html,
   contains(lower(substr(html, 1, 256)), '<html') OR contains(lower(substr(html, 1, 256)), '<!doctype html') AS is_html FROM pages""")
 def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,7 +191,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K: each key's first row, written by idempotent batches of a stream."""
     at = _checkpoint(spark)
     crawl.finish(_events(spark, sf_dir).select("user_id", "event_id"), f"{at}/log", crawl.upsert_into(f"{at}/table", ["user_id"], ["event_id"]))
-    return spark.read.schema("user_id long, event_id long").parquet(f"{at}/table/batch=*")
+    return crawl.upserted(spark, f"{at}/table", "user_id long, event_id long")
 
 
 @query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")

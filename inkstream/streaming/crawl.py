@@ -6,9 +6,8 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from inkstream.operators.runs import first_wins
+from inkstream.operators import versioned
 
 #: Seconds for which a cached page is fresh, and after which it is dropped (the reference values of a polite crawl).
 FRESH_S, STALE_S = 300, 30 * 86_400
@@ -47,24 +46,23 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", dela
 
 
 def upsert_into(path: str, keys: list[str], order: list[str]):
-    """A foreachBatch function: of each batch the first row of every key that the table lacks is appended.
+    """A foreachBatch function: of each batch the first row of every key that the table lacks is added.
 
-    The batch number names the partition that a batch writes, so a repeated batch replaces its own rows only. Of earlier
-    batches the key columns alone are read, in one listing of the table; what grows with the table is that scan.
+    The table is a versioned one; of it the buckets of the batch's keys are read, whatever the batch's number. A batch that
+    is repeated, also under a new checkpoint, finds its keys and adds nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = first_wins(batch, keys, order)
-        if number:
-            kinds = T.StructType([*new.schema.fields, T.StructField("batch", T.LongType())])
-            earlier = spark.read.schema(kinds).parquet(path).filter(F.col("batch") < number)
-            new = new.join(earlier.select(*keys), keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        versioned.merge(path, batch, keys, F.current_timestamp(), order, insert_only=True)
 
     return write
 
 
+def upserted(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that upsert_into has put into a table."""
+    return versioned.current(spark, path, schema).drop("valid_from")
+
+
 def finish(stream: DataFrame, checkpoint: str, write=None, name: str | None = None, mode: str = "append") -> None:
     """Runs a stream over all that is there and ends: batches go to `write`, or rows to a table in memory."""
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode(mode)

@@ -166,7 +166,7 @@ def test_repeated_batches_change_nothing(spark, tmp_path):
     batch = spark.createDataFrame([(1, 2), (1, 1), (2, 5)], "k int, o int")
     for n in (0, 0, 1, 1):
         write(batch, n)
-    assert rows(spark.read.schema("k int, o int").parquet(str(tmp_path / "t" / "batch=*")), "k") == [(1, 1), (2, 5)]
+    assert rows(crawl.upserted(spark, str(tmp_path / "t"), "k int, o int"), "k") == [(1, 1), (2, 5)]
 
 
 def test_robots(spark):
@@ -190,3 +190,21 @@ def test_contacts(spark):
     names = lookup.split_name(F.lit("Lee, Ann Mary"))
     assert [one(names[k]) for k in ("given_name", "additional_name", "family_name", "honorific_prefix")] == ["Ann", "Mary", "Lee", None]
     assert one(lookup.scrub_name(F.lit('bob (work) McGee'), F.lit("ACME"), F.lit("e"))) == "Bob McGee" and one(lookup.scrub_name(F.lit(""), F.lit(""), F.lit("e.f@g"))) == "E F"
+
+
+def test_every_next_link_is_followed(spark):
+    from inkstream.operators import crawl_step
+
+    html = '<a rel="next" data-href="/no" href="?a=1&amp;p=2">x</a><a href=/p3 rel="x next">y</a><a rel="next-post" href="/no">z</a><link rel="next" href="/no"><!-- <a rel=next href=/no> --><a rel=next href=/p3>again</a><a rel="next">none</a>'
+    df = spark.createDataFrame([("http://h.example/d/x", html), ("http://h.example/", "<p>nothing"), ("http://h.example/n", None)], "url string, html string")
+    got = {(r.url, r.next) for r in crawl_step.next_pages(df).collect()}
+    assert got == {("http://h.example/d/x", "http://h.example/d/x?a=1&p=2"), ("http://h.example/d/x", "http://h.example/p3")}
+
+
+def test_attributes_as_browsers_read_them(spark):
+    tag = """<img alt='a > b src=no' data-src=no SRC = x.png width="20px"height='30' src=second hidden title=a"b>"""
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(pages.tags(F.lit("<p>" + tag + "<image src=no><IMG/><!-- <img> "), "img")) == [tag, "<IMG/>"]
+    assert [one(pages.attribute(F.lit(tag), n)) for n in ("src", "width", "height", "alt", "hidden", "none")] == ["x.png", "20px", "30", "a > b src=no", "", ""]
+    df = spark.createDataFrame([(1, "<img src='a.png' width=15><img src=b.png height=16 width='200'>")], "page_id int, html string")
+    assert rows(pages.images(df), "pos") == [(1, 0, "b.png")]
