@@ -1,4 +1,4 @@
-"""Queries over what is kept beside the articles: the inverted index, facet bitmaps, saved responses, versions."""
+"""Queries over what is kept beside the articles: the inverted index, facet bitmaps, saved responses, versions, mentions of known names."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.operators import bitmaps, inverted, loader, versioned
+from inkstream.operators import bitmaps, inverted, loader, mentions, versioned
 from inkstream.plans.base import NOW, query, read
 from inkstream.shared import shared_dir
 from inkstream.sources import responses
@@ -96,3 +96,17 @@ def article_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         versioned.merge(path, rows, ["k"], at(day), commit=name)
     versioned.merge(path, c.limit(0), ["k"], at(4), commit="fourth", gone=c.filter("k % 7 = 0").select("k"))
     return versioned.history(spark, path, c.schema)
+
+
+@query(r"""WITH g AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS name FROM documents WHERE doc_id % 50 = 0),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS name, unnest(generate_series(1, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')))) AS pos FROM documents),
+m AS (SELECT doc_id, count(*) AS n, md5(string_agg(name, ',' ORDER BY pos)) AS names FROM w JOIN g USING (name) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_mentions, coalesce(names, md5('')) AS names_md5, true AS in_place FROM documents LEFT JOIN m USING (doc_id)""")
+def found_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C9, I102: mentions of known names in whole texts; the names are the long words of some of the documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    names = docs.filter("doc_id % 50 = 0").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{7,})"), F.lit(1))).alias("name")).distinct().withColumn("kind", F.lit("word"))
+    found = mentions.find_mentions(docs, names, "doc_id", "text").join(docs, "doc_id")
+    listed = F.array_join(F.transform("mentions", lambda m: m["name"]), ",")
+    placed = F.forall("mentions", lambda m: F.substring(F.col("text"), m["offset"] + 1, m["length"]) == m["name"])
+    return found.select("doc_id", F.size("mentions").cast("long").alias("n_mentions"), F.md5(listed).alias("names_md5"), placed.alias("in_place"))

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstream.functions import variants
 from inkstream.functions.text import escape_html
 from inkstream.plans.base import NOW, dealt, query, read, spread
 from inkstream.sources import connectors, feeds, html_tree, microformats, objects, tables
@@ -115,8 +116,34 @@ def jsonp_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON in a call, keys as slugs, empty texts left out."""
     e = read(spark, sf_dir, "events")
     text = F.concat(F.lit('cb({"Event Type":"'), "event_type", F.lit('","None":"","Props":'), "props", F.lit("});"))
-    found = objects.objects(e.select("event_id", text.alias("t")), "t", "json")
-    return found.select("event_id", F.get_json_object("object", "$.Props.k").alias("k"), F.get_json_object("object", "$.Event_Type").alias("event_type"))
+    found = e.select("event_id", variants.parse(text).alias("v"))
+    return found.select("event_id", variants.text(variants.at(F.col("v"), "Props.k")).alias("k"), variants.text(variants.at(F.col("v"), "Event_Type")).alias("event_type"))
+
+
+@query("""WITH i AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)
+SELECT o_custkey, CAST(n // 4 + 1 AS INTEGER) AS page, CAST(n AS INTEGER) AS index, CAST(o_orderkey AS VARCHAR) AS key, o_orderpriority AS priority FROM i WHERE n < 12""")
+def variant_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of saved pages as variants, at most 3 pages, numbered over all of them."""
+    from pyspark.sql.window import Window
+
+    o = read(spark, sf_dir, "orders").withColumn("page", F.floor((F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1) / 4).cast("int") + 1)
+    listed = F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("Order Key"), F.col("o_orderpriority").alias("order-priority"))))
+    pages = o.groupBy("o_custkey", "page").agg(F.concat(F.lit("cb("), F.to_json(F.struct(F.struct(listed.alias("item")).alias("Result Set"))), F.lit(");")).alias("payload"))
+    found = variants.items(pages, "payload", ["o_custkey"], "page", "Result_Set.item")
+    return found.select("o_custkey", "page", "index", *[variants.text(variants.at(F.col("item"), p)).alias(n) for n, p in (("key", "Order_Key"), ("priority", "order_priority"))])
+
+
+@query("""SELECT n_nationkey, n_name AS name, r_name AS home, CASE WHEN n_nationkey % 4 = 0 THEN 'nowhere' ELSE r_name END AS said FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def entity_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of one answer, with what they refer to in place of references."""
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    place = F.concat(F.lit("urn:r"), F.col("n_regionkey").cast("string"))
+    of = lambda **f: F.struct(*[v.alias(k) for k, v in f.items()])
+    nation = of(name=F.col("n_name"), home=place, said=F.when(F.col("n_nationkey") % 4 == 0, "nowhere").otherwise(place))
+    answer = F.concat(F.lit('{"urn:n":'), F.to_json(nation), F.lit(',"'), place, F.lit('":'), F.to_json(of(name=F.col("r_name"))), F.lit("}"))
+    found = F.element_at(variants.inlined(variants.parse(answer)), F.lit("urn:n"))
+    said = F.element_at(found, F.lit("said"))
+    return n.select("n_nationkey", variants.text(F.element_at(found, F.lit("name"))).alias("name"), variants.text(variants.at(F.element_at(found, F.lit("home")), "name")).alias("home"), F.coalesce(variants.text(variants.at(said, "name")), variants.text(said)).alias("said"))
 
 
 @query("""SELECT c_nationkey, CAST((row_number() OVER w - 1) // 5 + 1 AS INTEGER) AS page, CAST(row_number() OVER w - 1 AS INTEGER) AS index, c_name AS title FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey) QUALIFY row_number() OVER w <= 12""")
