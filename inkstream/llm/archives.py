@@ -8,8 +8,9 @@ bounded number of gzip members, so that neither driver nor executors keep files
 Null html is the empty payload, and equal to other empty payloads. Among records of equal payloads of at least
 `least` bytes the one with the largest page_id is the response; repeated rows of that page_id all are. Records with a
 null page_id keep null, and without any other id among equals all are responses. Null urls become `unknown:`. Payloads
-of any length are one record each, with their declared length. An empty table gives no records; further columns may have
-any names.
+of any length are one record each, with their declared length. Ids are texts of any kind: what cannot stand in a header
+line (blanks, line breaks, percent signs, other alphabets) is written as %XX there and comes back byte for byte. An empty
+table gives no records; further columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -130,10 +132,15 @@ def _iso(date: str) -> str:
 def page_of(head: bytes) -> str | None:
     for line in head.split(b"\r\n"):
         if line.lower().startswith(b"x-page-id:"):
-            return line[10:].strip().decode()
+            return unquote(line[10:].strip().decode())
     return None
 
 
+def _line(value: str) -> str:
+    """A value as it can stand in a header line: blanks, line breaks, percent signs and what is not ASCII as %XX."""
+    return quote(value, safe="!\"#$&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
 def to_warc(record: Record, refers_to: str | None = None) -> bytes:
     """A WARC/1.1 response or, with the page it refers to, revisit record."""
     digest = base32_sha1(record.payload)
@@ -142,7 +149,7 @@ def to_warc(record: Record, refers_to: str | None = None) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: {record_id(page or record.url, digest)}",
+        f"WARC-Record-ID: {record_id(record.url if page is None else page, digest)}",
         f"WARC-Date: {_iso(record.date)}",
         f"WARC-Target-URI: {record.url}",
         f"WARC-IP-Address: {record.ip}",
@@ -152,7 +159,7 @@ def to_warc(record: Record, refers_to: str | None = None) -> bytes:
         f"WARC-Payload-Length: {len(record.payload)}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page: {_line(refers_to)}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -199,7 +206,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     def kernel(batch: pa.RecordBatch) -> dict:
         heads, refers = [], batch.column("refers").to_pylist()
         for k, body in zip(batch.column("key").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            page = f"X-Page-Id: {k}\r\n" if k is not None else ""
+            page = f"X-Page-Id: {_line(str(k))}\r\n" if k is not None else ""
             heads.append(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{page}Content-Length: {len((body or '').encode())}\r\n\r\n".encode())
         records = [Record(_word(u), date, h, p) for u, h, p in zip(batch.column("url").to_pylist(), heads, encoded(batch.column("html")), strict=True)]
         name = f"{uuid.uuid4().hex}.arc"
@@ -238,7 +245,8 @@ def read_archives(archives: DataFrame, warc: str = "warc") -> DataFrame:
                 out["record_type"].append(kind)
                 out["payload_bytes"].append(len(payload) if kind == "response" else int(f["warc-payload-length"]))
                 out["payload_digest"].append(base32_sha1(payload) if kind == "response" else said)
-                out["refers_to"].append(f.get("warc-refers-to-page"))
+                told = f.get("warc-refers-to-page")
+                out["refers_to"].append(told if told is None else unquote(told))
                 out["refers_to_id"].append(f.get("warc-refers-to"))
                 out["block_ok"].append(f["warc-block-digest"] == f"sha1:{base32_sha1(block)}" and (kind != "response" or base32_sha1(payload) == said))
         return out

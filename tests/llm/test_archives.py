@@ -65,3 +65,14 @@ def test_synthesised_fields():
 def test_archives_are_readable_gzip(spark):
     rows = a.write_archives(pages(spark)).collect()
     assert sum(gzip.decompress(r.warc).count(b"WARC/1.1\r\nWARC-Type") for r in rows) == len(PAGES)
+
+
+def test_ids_of_any_kind_come_back(spark):
+    ids = [" a ", "b\r\nX: y", "c: d", "%41", "é\U0001f600", "", "\t", "100% sure", "x\x00y"]
+    rows = [(i, "http://h", f"own {n}") for n, i in enumerate(ids)] + [(i, "http://h", "shared") for i in ids]
+    back = a.read_archives(a.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string"))).collect()
+    top = max(ids)
+    assert sorted((r.page, r.refers_to, r.record_type) for r in back if r.refers_to is not None) == sorted((i, top, "revisit") for i in ids if i != top)
+    assert sorted(r.page for r in back if r.refers_to is None) == sorted([*ids, top])
+    responses = {r.record_id for r in back if r.record_type == "response"}
+    assert all(r.refers_to_id in responses and r.block_ok for r in back if r.record_type == "revisit")
