@@ -2,15 +2,20 @@
 
 Names are looked up by `resolve`; inside a for block the loop's variable and `forloop` come first. A template is
 compiled once, on the driver, so rendering stays in the JVM.
+
+Templates may also be values of the table (`render_values`), and a template may name such a value, {{ *path }} (`render`).
+Of those the shapes are compiled, that is the tags without the text between them, which stays data: a table whose rows
+each have a text of their own has as many shapes as it has ways to put tags together.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstream.functions import coerce, expression
@@ -87,6 +92,9 @@ def block_arguments(text: str) -> dict[str, tuple[bool, str]]:
 
 
 class _Template:
+    #: What stands between the tags, if that is data: an array column.
+    between: Column | None = None
+
     def __init__(self, text: str):
         self.parts: list[tuple[str, str]] = []
         at = 0
@@ -97,6 +105,10 @@ class _Template:
         self.parts.append(("text", text[at:]))
         self.at = 0
 
+    def literal(self, place: int, text: str) -> Column:
+        """The text at a place among the parts, where texts and tags take turns."""
+        return F.lit(text) if self.between is None else F.get(self.between, F.lit(place // 2))
+
     def block(self, ends: tuple[str, ...], escape: bool) -> tuple[list, str]:
         """Nodes up to one of the closing tags, as functions of a resolver; and that tag."""
         out: list[Callable[[Resolve], Column]] = []
@@ -104,8 +116,8 @@ class _Template:
             kind, body = self.parts[self.at]
             self.at += 1
             if kind == "text":
-                if body:
-                    out.append(lambda r, b=body: F.lit(b))
+                if body or self.between is not None:
+                    out.append(lambda r, c=self.literal(self.at - 1, body): c)
             elif kind == "value":
                 out.append(_value(body, escape))
             else:
@@ -135,10 +147,10 @@ class _Template:
             start = self.at
             while self.at < len(self.parts) and self.parts[self.at] != ("tag", "endasis"):
                 self.at += 1
-            marks = {"text": "{0}", "value": "{{{{ {0} }}}}", "tag": "{{% {0} %}}"}
-            text = "".join(marks[k].format(b) for k, b in self.parts[start : self.at])
+            marks = {"value": "{{{{ {0} }}}}", "tag": "{{% {0} %}}"}
+            whole = [self.literal(start + i, b) if k == "text" else F.lit(marks[k].format(b)) for i, (k, b) in enumerate(self.parts[start : self.at])]
             self.at += 1
-            return lambda r: F.lit(text)
+            return lambda r: F.concat(*whole)
         if name in BLOCKS:
             given = block_arguments(rest)
             return lambda r: BLOCKS[name](r, **{k: F.lit(v) if literal else r(v) for k, (literal, v) in given.items()})
@@ -196,6 +208,67 @@ def compile_template(text: str, resolve: Resolve = columns, escape: bool = True)
     return _whole(_Template(text).block((), escape)[0], resolve)
 
 
+#: Shapes compiled into one plan.
+SHAPES = 100
+_TAG = r"(?s)(\{\{\s*.+?\s*\}\}|\{%\s*.+?\s*%\})"
+
+
+def render_values(df: DataFrame, template: str, out: str, resolve: Resolve = columns, escape: bool = True, depth: int = 1) -> DataFrame:
+    """df with `out`: each row's own template, a text column, rendered over the row; what comes out is rendered again until
+    depth is reached. Templates that cannot be compiled give null, as null ones do.
+
+    The distinct shapes are found first and compiled in blocks of SHAPES. Rows of one block take one pass, in which each row
+    has its shape chosen by digest; of several blocks each reads its own rows of a written table.
+    """
+    from inkstream.shared import settled
+
+    for _ in range(depth):
+        tags = F.regexp_extract_all(F.col(template), F.lit(_TAG), F.lit(1))
+        rows = df.withColumns({"_shape": F.md5(F.to_json(tags)), "_tags": tags, "_between": F.split(F.col(template), _TAG, -1)})
+        shapes = rows.filter("_tags is not null").select("_shape", "_tags").distinct()
+        first = shapes.limit(SHAPES + 1).collect()
+        if len(first) <= SHAPES:
+            df = _chosen(rows, first, out, resolve, escape)
+        else:
+            rows = settled(rows, "templates")
+            done, block = rows.filter("_shape is null").transform(lambda d: _chosen(d, [], out, resolve, escape)), []
+            for shape in itertools.chain(settled(shapes, "shapes").toLocalIterator(), [None]):
+                if shape is not None:
+                    block.append(shape)
+                if block and (shape is None or len(block) == SHAPES):
+                    done = done.unionByName(_chosen(rows.filter(F.col("_shape").isin([b["_shape"] for b in block])), block, out, resolve, escape))
+                    block = []
+            df = done
+        template = out
+    return df
+
+
+def _chosen(rows: DataFrame, shapes: list, out: str, resolve: Resolve, escape: bool) -> DataFrame:
+    found = F.lit(None).cast("string")
+    for shape in shapes:
+        # Texts and tags take turns, so a text stands at every even place; \0 cannot open a tag.
+        made = _Template("\0".join(["", *shape["_tags"], ""]))
+        made.between = F.col("_between")
+        try:
+            made = _whole(made.block((), escape)[0], resolve)
+        except (TemplateError, expression.ExpressionError):
+            continue
+        found = F.when(F.col("_shape") == shape["_shape"], made).otherwise(found)
+    return rows.withColumn(out, found).drop("_shape", "_tags", "_between")
+
+
+def render(df: DataFrame, text: str, out: str, resolve: Resolve = columns, escape: bool = True) -> DataFrame:
+    """df with `out`: the template rendered over each row. {{ *path }} stands for what the path's value gives as a template
+    over the same row, {{ **path }} for what that gives in turn."""
+    stars = {m[1]: (len(m[2]), m[3]) for m in re.finditer(r"\{\{\s*((\*+)([^|}\s]+))", text)}
+    held = {}
+    for i, (name, (depth, path)) in enumerate(sorted(stars.items())):
+        held[name] = f"_star{i}"
+        df = render_values(df.withColumn(held[name], resolve(path).cast("string")), held[name], held[name], resolve, depth=depth)
+    found = compile_template(text, lambda path: F.col(held[path]) if path in held else resolve(path), escape)
+    return df.withColumn(out, found).drop(*held.values())
+
+
 def render_object(o: object, resolve: Resolve = columns) -> Column:
     """An object as JSON text in which every text, at any depth, is rendered as a template; all else stays."""
     if isinstance(o, dict):

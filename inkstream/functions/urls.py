@@ -87,12 +87,12 @@ def canonical(c: Column, keep_fragment: bool = False) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """feed: prefixes become http://, a scheme is added where there is none, host in lower case, without :80."""
-    c = F.regexp_replace(F.trim(c), "^feed:(//)?(https?://)", "$2")
-    c = F.regexp_replace(c, "^feed:(//)?", "http://")
-    c = F.when(c.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), c).otherwise(F.concat(F.lit("http://"), c))
-    rest = F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    return F.concat(scheme(c), F.lit("://"), F.regexp_replace(authority(c), ":80$", ""), F.when(rest == "", "/").otherwise(rest))
+    """feed: prefixes become http:, scheme and host are in lower case, :80 goes, as do a question mark and a hash with
+    nothing behind them; nothing is added."""
+    c = F.regexp_replace(F.regexp_replace(F.trim(c), "^feed://https?//", "http://"), "^feed:", "http:")
+    c = F.regexp_replace(F.regexp_replace(c, r"#\z", ""), r"\?(#|\z)", "$1")
+    head = F.regexp_extract(c, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?)", 1)
+    return F.concat(F.regexp_replace(F.lower(head), r"^([a-z0-9+.-]*:?//.*):80\z", "$1"), F.substring(c, F.length(head) + 1, F.length(c)))
 
 
 def absolutise(link: Column, page: Column) -> Column:

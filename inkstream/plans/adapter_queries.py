@@ -54,12 +54,12 @@ def faceted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_nationkey", "title", F.date_format("date", "yyyy-MM-dd").alias("day"), "content", "shout", *listed, F.get("tags", F.lit(0)).alias("first_tag"), F.size("tags").alias("n_tags"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN month(o_orderdate) BETWEEN 4 AND 9 THEN '+02:00' ELSE '+01:00' END AS "offset", CASE WHEN month(o_orderdate) BETWEEN 4 AND 9 THEN 120 ELSE 60 END AS minutes, month(o_orderdate) BETWEEN 4 AND 9 AS summer FROM orders WHERE month(o_orderdate) NOT IN (3, 10) AND year(o_orderdate) >= 1996""")
+@query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, last_day(make_date(year(o_orderdate), 3, 1)) AS a, last_day(make_date(year(o_orderdate), CASE WHEN year(o_orderdate) < 1996 THEN 9 ELSE 10 END, 1)) AS z FROM orders),
+s AS (SELECT o_orderkey, d > a - CAST(dayofweek(a) AS INTEGER) AND d <= z - CAST(dayofweek(z) AS INTEGER) AS summer FROM d)
+SELECT o_orderkey, CASE WHEN summer THEN '+02:00' ELSE '+01:00' END AS "offset", CASE WHEN summer THEN 120 ELSE 60 END AS minutes, summer FROM s""")
 def zone_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I77, in months without a change of the clocks."""
-    o, d = read(spark, sf_dir, "orders"), F.col("o_orderdate")
-    some = o.filter(~F.month(d).isin(3, 10) & (F.year(d) >= 1996))
-    return some.select("o_orderkey", *[c.alias(k) for k, c in dates.zone_parts(d.cast("timestamp"), "Europe/Paris").items()])
+    """Midnights in UTC; clocks change on the last Sundays of March and of September, since 1996 of October."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", *[c.alias(k) for k, c in dates.zone_parts(F.col("o_orderdate").cast("timestamp"), "Europe/Paris").items()])
 
 
 @query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN s_name || ': x' WHEN 2 THEN 'Who: ' || s_name ELSE 'May 5, 2009: ' || s_name END AS title FROM supplier""")

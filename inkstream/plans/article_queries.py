@@ -111,12 +111,18 @@ def analysis_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.alias("analysed"), entities.analysable(text).alias("long_enough"))
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'http://h.example/a' WHEN 1 THEN 'https://h.example/B' WHEN 2 THEN 'http://h.example:8080/?Q' ELSE 'ftp://h.example/x' END AS normal FROM pages""")
+@query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, regexp_replace(url, '^[A-Za-z]+://[^/?#]*', '') AS rest FROM pages)
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'http://' || host || rest WHEN 1 THEN 'http://' || host || rest WHEN 2 THEN scheme || '://' || host || rest WHEN 3 THEN host || rest ELSE scheme || '://' || host END AS normal FROM p""")
 def normal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I53."""
-    forms = ("feed://H.Example:80/a", "https://H.EXAMPLE/B", "http://h.example:8080/?Q", "ftp://H.example/x")
-    url = F.element_at(F.array(*map(F.lit, forms)), (F.col("page_id") % 4 + 1).cast("int"))
-    return read(spark, sf_dir, "pages").select("page_id", urls.normalize(url).alias("normal"))
+    """The pages' addresses behind feed prefixes, with a port, in capitals, without a scheme or path."""
+    p = read(spark, sf_dir, "pages")
+    host, scheme = F.lower(urls.authority(F.col("url"))), urls.scheme(F.col("url"))
+    rest = F.regexp_replace("url", "^[A-Za-z]+://[^/?#]*", "")
+    forms = (
+        F.concat(F.lit("feed://https//"), host, rest), F.concat(F.lit("feed://"), F.upper(host), F.lit(":80"), rest), F.concat(F.upper(scheme), F.lit("://"), F.initcap(host), F.lit(":80"), rest),
+        F.concat(host, rest), F.concat(scheme, F.lit("://"), F.upper(host), F.lit("#")),
+    )
+    return p.select("page_id", urls.normalize(F.element_at(F.array(*forms), (F.col("page_id") % 5 + 1).cast("int"))).alias("normal"))
 
 
 @query("""SELECT s_suppkey, CAST(i AS INTEGER) AS pos, CASE i WHEN 0 THEN '/big' || s_suppkey || '.png' WHEN 1 THEN '/plain.png' END AS src FROM supplier, (SELECT unnest([0, 1]) AS i)""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstream.functions import coerce, dates, expression
+from inkstream.functions import coerce, dates, expression, template
 from inkstream.functions import text as tx
 from inkstream.operators import lookup
 from inkstream.plans.base import NOW, query, read
@@ -217,8 +217,6 @@ def scrubbed_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, '<b>' || upper(first_role) || '</b> ' || CASE WHEN conv_id > 20 THEN 'late &amp; ' || CAST(conv_id AS VARCHAR) ELSE 'early' END || ': ' || array_to_string(list_transform(roles, lambda r, i: CAST(i AS VARCHAR) || '=' || r || CASE WHEN i = len(roles) THEN '.' ELSE ', ' END), '') || ' {{ raw }}' AS html FROM t""")
 def rendered_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A template with a condition, a loop and filters, compiled to one Column."""
-    from inkstream.functions import template
-
     c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"), F.min("role").alias("first_role"), F.lit("late & ").alias("late"))
     text = "<b>{{ first_role|upper }}</b> {% if conv_id > 20 %}{{ late }}{{ conv_id }}{% else %}early{% endif %}: {% for r in roles %}{{ forloop.counter }}={{ r }}{% if forloop.last %}.{% else %}, {% endif %}{% endfor %} {% asis %}{{ raw }}{% endasis %}"
     return c.select("conv_id", template.compile_template(text).alias("html"))
@@ -235,3 +233,14 @@ def record_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, _ = records.parted(F.col("m"), ["tel", "tel.work"])
     at = lambda k: F.try_element_at("m", F.lit(k))
     return df.select("c_custkey", at("tel").alias("tel"), at("tel.work").alias("tel_work"), at("tel.1").alias("tel_1"), F.size("m").alias("n_all"), F.when(F.col("c_custkey") % 2 == 0, F.size(known)).otherwise(F.size(records.with_parts(known, "work"))).alias("n_known"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'No. ' || c_custkey || ' in ' || lower(c_mktsegment) || '!' WHEN 1 THEN 'To ' || c_mktsegment || ': ' || CASE WHEN c_nationkey > 10 THEN 'far' ELSE 'near' END || ' from ' || c_custkey ELSE '' END AS line,
+  CASE WHEN c_custkey % 3 <> 2 THEN 'say: ' || CASE c_custkey % 3 WHEN 0 THEN 'No. ' || c_custkey || ' in ' || lower(c_mktsegment) || '!' ELSE 'To ' || c_mktsegment || ': ' || CASE WHEN c_nationkey > 10 THEN 'far' ELSE 'near' END || ' from ' || c_custkey END ELSE 'say: ' END AS said FROM customer""")
+def indirect_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row has a template of its own, and one that another template names."""
+    c, k = read(spark, sf_dir, "customer"), F.col("c_custkey")
+    own = F.when(k % 3 == 0, F.concat(F.lit("No. "), k, F.lit(" in {{ c_mktsegment|lower }}!"))).when(k % 3 == 1, F.concat(F.lit("To {{ c_mktsegment }}: {% if c_nationkey > 10 %}far{% else %}near{% endif %} from "), k))
+    rows = template.render(c.withColumn("own", own), "{{ *own }}", "line")
+    twice = template.render(rows.withColumn("name", F.lit("say: {{ own|safe }}")), "{{ **name }}", "said")
+    return twice.select("c_custkey", "line", "said")

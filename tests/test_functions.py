@@ -175,3 +175,23 @@ def test_homes(spark):
     cases = {"http://h/~ann/x/y?z": "http://h/~ann", "http://h/a/archives/2001": "http://h/a", "http://h/archives": "http://h/", "http://h/": None, "http://h/a": None}
     df = spark.createDataFrame([(k,) for k in cases], "v string")
     assert {r[0]: r[1] for r in df.select("v", urls.home(F.col("v"))).collect()} == cases
+
+
+def test_templates_as_data(spark, monkeypatch):
+    rows = [
+        (1, "a{{ n }}b", "x&y"), (2, "c{{ n }}d", "z"), (3, "{% if k == 3 %}three {% asis %}{{ n }} as {% is %}{% endasis %}{% endif %}!", "n"), (4, "no tags {", "n"), (5, None, "n"),
+        (6, "{% wrong %}", "n"), (7, "", "n"), (8, "{{ n|upper }}{{ n }}", "q"), (9, "{% if k == 9 %}open", "n"), (10, "{{ t }}", "n"),
+    ]
+    df = spark.createDataFrame(rows, "k int, t string, n string")
+    want = {1: "ax&amp;yb", 2: "czd", 3: "three {{ n }} as {% is %}!", 4: "no tags {", 5: None, 6: None, 7: "", 8: "Qq", 9: None, 10: "{{ t }}"}
+    for most in (100, 2):
+        monkeypatch.setattr(template, "SHAPES", most)
+        assert {r.k: r.o for r in template.render_values(df, "t", "o").collect()} == want
+    two = spark.createDataFrame([("{{ b }}", "{{ c }}", "end")], "a string, b string, c string")
+    assert [template.render(two, t, "o").first().o for t in ("<{{ a }}>", "<{{ *a }}>", "<{{ **a|upper }}>", "<{{ ***a }} {{ c }}>", "<{{ *a }}{{ *b }}>")] == ["<{{ b }}>", "<{{ c }}>", "<END>", "<end end>", "<{{ c }}end>"]
+
+
+def test_normalized_addresses(spark):
+    cases = {"http://H.example": "http://h.example", "example.com/a": "example.com/a", "feed://http//x/y": "http://x/y", "feed://https//x/y": "http://x/y", "feed:http://X:80/y": "http:http://X:80/y", "FTP://A:80": "ftp://a", "//H:80/Q?": "//h/Q", "": "", "http://h:8080/#": "http://h:8080/"}
+    df = spark.createDataFrame([(k,) for k in cases], "u string")
+    assert {r.u: r.n for r in df.select("u", urls.normalize(F.col("u")).alias("n")).collect()} == cases
