@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from inkstream.functions import variants
 from inkstream.functions.text import escape_html
 from inkstream.plans.base import NOW, dealt, query, read, spread
-from inkstream.sources import connectors, feeds, html_tree, microformats, objects, tables
+from inkstream.sources import connectors, feeds, html_tree, microformats, objects, tables, xml_rows
 from inkstream.sources.arrow import parse_column
 from inkstream.streaming import crawl, refresh
 
@@ -84,6 +84,26 @@ def rss_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.entries(docs, "rss", ["o_custkey"]).select("o_custkey", F.col("id").cast("long").alias("o_orderkey"), "title", "link", "updated")
 
 
+@query(_FEED_SQL)
+def rss_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents read by the schema of their kind, without Python."""
+    o, title, link = _items(spark, sf_dir)
+    fields = {"title": title, "link": link, "guid": F.col("o_orderkey").cast("string"), "pubDate": F.col("o_orderdate")}
+    docs = feeds.write_rss(o, ["o_custkey"], "o_orderkey", F.lit("Orders"), fields)
+    return xml_rows.rss_entries(docs, "rss", ["o_custkey"]).select("o_custkey", F.col("id").cast("long").alias("o_orderkey"), "title", "link", "updated")
+
+
+@query("""SELECT c_custkey, c_name AS given, CAST(round(c_acctbal) AS BIGINT) AS balance, c_mktsegment AS first_tag, 'b' AS second_tag FROM customer""")
+def xml_by_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects as XML, read by a schema that an example gave once."""
+    c = read(spark, sf_dir, "customer")
+    xml = _markup('<c xmlns="urn:x" balance="', F.round("c_acctbal").cast("long"), '"><Name>', F.col("c_name"), "</Name><tag>", F.col("c_mktsegment"), "</tag><tag>b</tag></c>")
+    schema = xml_rows.infer(spark, '<c balance="1"><Name>n</Name><tag>a</tag><tag>b</tag></c>')
+    row = xml_rows.parse(F.col("xml"), schema)
+    found = c.select("c_custkey", xml.alias("xml")).select("c_custkey", row.alias("o"))
+    return found.select("c_custkey", F.col("o.Name").alias("given"), F.col("o.`@balance`").cast("long").alias("balance"), F.get("o.tag", F.lit(0)).alias("first_tag"), F.get("o.tag", F.lit(1)).alias("second_tag"))
+
+
 @query(_FEED_SQL)
 def atom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19-A23, B12."""
