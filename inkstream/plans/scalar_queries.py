@@ -244,3 +244,14 @@ def indirect_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = template.render(c.withColumn("own", own), "{{ *own }}", "line")
     twice = template.render(rows.withColumn("name", F.lit("say: {{ own|safe }}")), "{{ **name }}", "said")
     return twice.select("c_custkey", "line", "said")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (1, 3) AND o_orderpriority <> '5-LOW' THEN CAST(o_custkey * 2 + 1 AS VARCHAR) ELSE o_orderpriority END AS pick,
+  CAST((o_orderkey & 6) | (o_custkey << 3) AS BIGINT) AS bits, (3 - (o_orderkey % 7)) - floor((3 - (o_orderkey % 7)) / 4.0) * 4 AS turn, CAST(floor(o_custkey / 3.0) AS BIGINT) AS third FROM orders""")
+def full_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All operators by their binding powers."""
+    of = expression.compile_expression
+    picked = of("o_custkey * 2 + 1 if o_orderkey % 5 in [1.0, 3.0] and not o_orderpriority == '5-LOW' else o_orderpriority")
+    return read(spark, sf_dir, "orders").withColumns({"o_custkey": F.col("o_custkey").cast("long"), "o_orderkey": F.col("o_orderkey").cast("long")}).select(
+        "o_orderkey", F.regexp_replace(picked, r"\.0$", "").alias("pick"), of("o_orderkey & 6 | o_custkey << 3").alias("bits"), of("(3 - o_orderkey % 7) % 4").cast("double").alias("turn"), of("o_custkey // 3").cast("long").alias("third"),
+    )

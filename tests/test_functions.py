@@ -97,7 +97,7 @@ def test_dates(spark):
 
 
 EXPRESSIONS = {
-    "a + b * 1": None, "1 + 2 == 3": True, "not (a > 1) or b < 0": True, "c + '!' == 'text!'": True, "int('3.9') - 1 == 2": True,
+    "a + b ! 1": None, "a + b * 2 == 5": True, "1 + 2 == 3": True, "not (a > 1) or b < 0": True, "c + '!' == 'text!'": True, "int('3.9') - 1 == 2": True,
     "a == 1 and b == 2 and not false": True, "-a < 0": True, "bool('no') or null": False, "float(a) >= 1.0": True, "x.e.y[1] == 5": True,
 }
 
@@ -195,3 +195,30 @@ def test_normalized_addresses(spark):
     cases = {"http://H.example": "http://h.example", "example.com/a": "example.com/a", "feed://http//x/y": "http://x/y", "feed://https//x/y": "http://x/y", "feed:http://X:80/y": "http:http://X:80/y", "FTP://A:80": "ftp://a", "//H:80/Q?": "//h/Q", "": "", "http://h:8080/#": "http://h:8080/"}
     df = spark.createDataFrame([(k,) for k in cases], "u string")
     assert {r.u: r.n for r in df.select("u", urls.normalize(F.col("u")).alias("n")).collect()} == cases
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "2 + 3 * 4 ** 2 // 5 - -7 % 3", "-2 ** 2", "2 ** 3 ** 2", "7 // -2", "-7 % 3", "7 / 2", "~5 & 6 | 8 ^ 3", "1 << 4 >> 2", "3 in [1, 2, 3]", "4 not in [1, 2]", "1 if 2 > 1 else 0", "0 if 2 < 1 else 5 if 3 <> 3 else 9",
+        "1 + 1 == 2 and not 3 > 4 or false", "none is none", "1 is not 2", "'b' in 'abc'", "2 * (3 + 4) - 1", "1 if 'x' in [] else 2",
+    ],
+)
+def test_all_operators_bind_as_in_python(spark, text):
+    from inkstream.functions.expression import compile_expression
+
+    python = text.replace("<>", "!=").replace("false", "False").replace("none", "None")
+    got = spark.range(1).select(compile_expression(text).alias("x")).first().x
+    want = eval(python, {"__builtins__": {}})  # noqa: S307
+    assert (float(got) if not isinstance(got, bool | str) else got) == want
+
+
+def test_division_by_zero_columns_and_errors(spark):
+    from inkstream.functions.expression import ExpressionError, compile_expression
+
+    df = spark.createDataFrame([("7", 2, ["a", "b"])], "s string, i int, l array<string>")
+    one = lambda t: df.select(compile_expression(t).alias("x")).first().x
+    assert [one(t) for t in ("i / 0", "i // 0", "s * i", "'a' in l", "'z' not in l", "i | 1", "s if i > 5 else i")] == [None, None, 14.0, True, True, 3, "2"]
+    for bad in ("1 if 2", "3 not 4", "[1, 2", "1 **", "* 2"):
+        with pytest.raises(ExpressionError):
+            compile_expression(bad)
