@@ -1,4 +1,5 @@
-"""Operator 6, removal of repeated byte strings: suffixes ordered by radix passes, to the depth of the threshold only.
+"""Operator 6, removal of repeated byte strings: suffixes at anchors of windows, ordered by radix passes to the depth of the
+threshold only.
 
 A window is a string of `length` bytes. Sorting every suffix of a corpus would move each byte `length` times over, so
 suffixes enter the passes at anchors: each window's anchor is the place of its least PREFIX-byte hash (the leftmost of
