@@ -3,8 +3,6 @@ they were made from, so that SQL over the source columns checks them."""
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from inkstream.functions import variants
 from inkstream.functions.text import escape_html
 from inkstream.plans.base import NOW, dealt, query, read, spread
+from inkstream.shared import shared_dir
 from inkstream.sources import connectors, feeds, html_tree, microformats, objects, tables, xml_rows
 from inkstream.sources.arrow import parse_column
 from inkstream.streaming import crawl, refresh
@@ -219,13 +218,8 @@ def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    """A folder of its own within the shared one; in local mode, where there is none, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="inkstream-")
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """A folder of its own within the shared one."""
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
