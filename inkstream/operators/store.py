@@ -92,3 +92,15 @@ def tag_text(df: DataFrame, keys: list[str], tag: str, order: str) -> DataFrame:
 
 def analysis_text(title: Column, content: Column) -> Column:
     return F.concat_ws(" ", title, content)
+
+
+def serialized(df: DataFrame, model: str, key: str) -> DataFrame:
+    """Rows as JSON objects of pk, model and fields, as a list of records is handed out; null fields are written as null."""
+    fields = F.struct(*[F.col(c) for c in df.columns if c != key])
+    return df.select(key, F.to_json(F.struct(F.col(key).alias("pk"), F.lit(model).alias("model"), fields.alias("fields")), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def detail_json(df: DataFrame, model: str, key: str, **wanted: object) -> DataFrame:
+    """One row: the records of the given key or slug as a JSON list, null if there is none. Records of one key are few."""
+    rows = serialized(by_key(df, **wanted), model, key).agg(F.sort_array(F.collect_list("json")).alias("all"))
+    return rows.select(F.when(F.size("all") > 0, F.concat(F.lit("["), F.array_join("all", ","), F.lit("]"))).alias("json"))

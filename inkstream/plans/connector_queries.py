@@ -111,3 +111,27 @@ def merchant_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "c_custkey", _item("$.title").alias("title"), F.replace(_item("$['georss:point']"), F.lit(" "), F.lit("")).alias("point"), _item("$.category[0].term").alias("term"), hcard("adr.work.locality").alias("city"), hcard("tel.voice.work").alias("tel"),
         _item("$.links[0].href").alias("alternate"), _item("$.pagination.page_count", "meta").alias("total"), (_item("$.location").isNotNull() | _item("$.tags").isNotNull()).alias("left_over"),
     )
+
+
+_ENDPOINTS = [n for n in connectors.CONNECTORS if n.split(".")[0] in ("search", "bookmarks", "music")]
+
+
+@query(f"""SELECT e AS endpoint, s_suppkey AS k, s_name AS title, 'http://h.example/' || s_suppkey AS link FROM supplier, (SELECT unnest([{", ".join(f"'{n}'" for n in _ENDPOINTS)}]) AS e)""")
+def all_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of every search, bookmark and music endpoint, by the paths and names of each."""
+    s = spread(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_name", F.lit(1).alias("n")))
+    link, out = ("http://h.example/", F.col("k")), None
+    for name in _ENDPOINTS:
+        c = connectors.CONNECTORS[name]
+        if c.kind == "json":
+            text = _json('{"responseData":{"results":[{"titleNoFormatting":"', F.col("s_name"), '","url":"', *link, '"}]}}')
+        elif name.startswith("bookmarks"):
+            text = _markup('<posts><post description="', F.col("s_name"), '" href="', *link, '"/></posts>')
+        else:
+            path = c.items.split(".")
+            opened, closed = "".join(f"<{p}>" for p in path), "".join(f"</{p}>" for p in reversed(path))
+            text = _markup(f"<lfm>{opened}<name>", F.col("s_name"), "</name><url>", *link, f"</url>{closed}</lfm>")
+        found = connectors.items(s.withColumn("t", text), "t", name, ["k"], "n")
+        rows = found.select(F.lit(name).alias("endpoint"), "k", _item("$.title").alias("title"), _item("$.link").alias("link"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -247,3 +247,17 @@ def scrubbed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     calling = spark.createDataFrame([("1", "one"), ("44", "forty-four")], "code string, country string")
     areas = spark.createDataFrame([("416", "Toronto")], "code string, locality string")
     return contacts.phone_places(c.withColumnRenamed("country", "_country"), calling, areas, "phone").withColumnsRenamed({"country": "calling", "_country": "country"}).drop("phone")
+
+
+@query("""SELECT s_suppkey, '{"pk":' || s_suppkey || ',"model":"crawl.site","fields":{"name":"' || s_name || '","nation":' || CASE WHEN s_nationkey > 12 THEN CAST(s_nationkey AS VARCHAR) ELSE 'null' END || '}}' AS json FROM supplier""")
+def serialized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as a list of them is handed out."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.when(F.col("s_nationkey") > 12, F.col("s_nationkey")).alias("nation"))
+    return store.serialized(s, "crawl.site", "s_suppkey")
+
+
+@query("""SELECT '[' || string_agg('{"pk":' || c_custkey || ',"model":"crawl.author","fields":{"segment":"' || c_mktsegment || '","nation":' || c_nationkey || '}}', ',' ORDER BY '{"pk":' || c_custkey) || ']' AS json FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'BUILDING'""")
+def record_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of one slug as JSON."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    return store.detail_json(c, "crawl.author", "c_custkey", nation=7, segment="BUILDING")
