@@ -48,6 +48,66 @@ def parse(c: Column) -> Column:
     return F.coalesce(F.when(trimmed.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d"), F.try_to_timestamp(trimmed)), F.when(trimmed.rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_timestamp(trimmed)), *tried)
 
 
+#: Marks of Korean dates, months and days as Greek and Hungarian feeds write them, zones beside the usual ones.
+KOREAN = {"year": "년", "month": "월", "day": "일", "am": "오전", "pm": "오후"}
+GREEK_MONTHS = {
+    "Ιαν": 1, "Φεβ": 2, "Μάώ": 3, "Μαώ": 3, "Απρ": 4, "Μάι": 5, "Μαϊ": 5, "Μαι": 5, "Ιούν": 6, "Ιον": 6, "Ιούλ": 7, "Ιολ": 7, "Αύγ": 8, "Αυγ": 8, "Σεπ": 9, "Οκτ": 10, "Νοέ": 11, "Νοε": 11, "Δεκ": 12,
+}
+GREEK_DAYS = ("Κυρ", "Δευ", "Τρι", "Τετ", "Πεμ", "Παρ", "Σαβ")
+HUNGARIAN_MONTHS = {"január": 1, "februári": 2, "március": 3, "április": 4, "május": 5, "június": 6, "július": 7, "augusztus": 8, "szeptember": 9, "október": 10, "november": 11, "december": 12}
+ZONES = {
+    "UT": "+00:00", "UTC": "+00:00", "GMT": "+00:00", "Z": "+00:00", "AST": "-04:00", "ADT": "-03:00", "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00",
+    "AT": "-04:00", "ET": "-05:00", "CT": "-06:00", "MT": "-07:00", "PT": "-08:00",
+}
+
+
+def _table(values: dict[str, object]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, zone: Column) -> Column:
+    """A time from its parts; hours beyond the day go into the next, a zone is Z, a name or an offset; null for parts that are
+    no date."""
+    offset = F.when(zone.rlike(r"^[-+]\d\d?:?\d\d$"), zone).otherwise(F.try_element_at(_table(ZONES), F.upper(zone)))
+    sign = F.when(offset.startswith("-"), -1).otherwise(1)
+    away = sign * (F.regexp_extract(offset, r"^[-+](\d\d?):?\d\d$", 1).cast("int") * 60 + F.regexp_extract(offset, r"(\d\d)$", 1).cast("int"))
+    number = lambda c: F.nullif(c, F.lit("")).try_cast("int")
+    date = F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd"))
+    after = (F.coalesce(number(hour), F.lit(0)) * 60 + F.coalesce(number(minute), F.lit(0)) - away) * 60 + F.coalesce(number(second), F.lit(0))
+    return F.timestamp_seconds(F.unix_timestamp(date) + after)
+
+
+def parse_feed(c: Column) -> Column:
+    """A date as feeds write it: by the rules for mail, W3DTF (also days of the year), Hungarian and Greek dates, those of
+    databases and of two Korean services (all three at +09:00), then ISO 8601 and what `parse` knows. Null if none fits."""
+    c = F.trim(c)
+
+    def matched(pattern: str, make) -> Column:
+        return F.when(c.rlike(pattern), make(lambda n: F.regexp_extract(c, pattern, n)))
+
+    seoul, zero = F.lit("+09:00"), F.lit("0")
+    months = {m: i for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"), 1)}
+    century = lambda y: F.when(F.length(y) == 4, y).otherwise(F.concat(F.when(y.try_cast("int") < 69, "20").otherwise("19"), y))
+    mail = r"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*[\s-]+(\d{4}|\d\d)(?:\s+(\d{1,2}):(\d\d)(?::(\d\d))?)?\s*([-+]\d{4}|[a-z]+)?$"
+    w3 = r"^(\d{4})-?(\d\d)-?(\d\d)T(\d\d):?(\d\d)(?::?(\d\d)(?:[.,]\d+)?)?(Z|[-+]\d\d:?\d\d)$"
+    hungarian = r"^(\d{4})-([^-]+)-(\d{1,2})T(\d{1,2}):(\d\d)([-+]\d{1,2}:\d\d)"
+    greek = r"^([^,]+),\s+(\d\d)\s+(\S+)\s+(\d{4})\s+(\d\d):(\d\d):(\d\d)\s+(\S+)"
+    nate = rf"^(\d{{4}})-(\d\d)-(\d\d)\s+({KOREAN['am']}|{KOREAN['pm']})\s+(\d{{1,2}}):(\d{{1,2}}):(\d{{1,2}})"
+    onblog = rf"^(\d{{4}}){KOREAN['year']}\s+(\d\d){KOREAN['month']}\s+(\d\d){KOREAN['day']}\s+(\d\d):(\d\d):(\d\d)"
+    return F.coalesce(
+        matched(mail, lambda g: _moment(century(g(3)), F.try_element_at(_table(months), F.lower(g(2))), g(1), g(4), g(5), g(6), F.coalesce(F.nullif(g(7), F.lit("")), F.lit("Z")))),
+        matched(w3, lambda g: _moment(g(1), g(2), g(3), g(4), g(5), g(6), g(7))),
+        F.try_to_timestamp(F.when(c.rlike(r"^\d{4}-\d{3}$"), c), F.lit("yyyy-DDD")),
+        F.try_to_timestamp(F.when(c.rlike(r"^\d{7}$"), c), F.lit("yyyyDDD")),
+        matched(hungarian, lambda g: _moment(g(1), F.try_element_at(_table(HUNGARIAN_MONTHS), g(2)), g(3), g(4), g(5), zero, g(6))),
+        F.when(F.regexp_extract(c, greek, 1).isin(*GREEK_DAYS), matched(greek, lambda g: _moment(g(4), F.try_element_at(_table(GREEK_MONTHS), g(3)), g(2), g(5), g(6), g(7), g(8)))),
+        matched(r"^(\d{4})-(\d\d)-(\d\d)\s+(\d\d):(\d\d):(\d\d)", lambda g: _moment(g(1), g(2), g(3), g(4), g(5), g(6), seoul)),
+        matched(nate, lambda g: _moment(g(1), g(2), g(3), (g(5).try_cast("int") + F.when(g(4) == KOREAN["pm"], 12).otherwise(0)).cast("string"), g(6), g(7), seoul)),
+        matched(onblog, lambda g: _moment(g(1), g(2), g(3), g(4), g(5), g(6), seoul)),
+        parse(c),
+    )
+
+
 def normalize(c: Column) -> Column:
     """A date or time as far as it is given: year, month, day, hour, minute and second, with zone; fractions go, zero
     offset is Z; what follows is passed over; empty if the text opens with no date."""

@@ -255,3 +255,21 @@ def full_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").withColumns({"o_custkey": F.col("o_custkey").cast("long"), "o_orderkey": F.col("o_orderkey").cast("long")}).select(
         "o_orderkey", F.regexp_replace(picked, r"\.0$", "").alias("pick"), of("o_orderkey & 6 | o_custkey << 3").alias("bits"), of("(3 - o_orderkey % 7) % 4").cast("double").alias("turn"), of("o_custkey // 3").cast("long").alias("third"),
     )
+
+
+@query("""SELECT event_id, CASE event_id % 9 WHEN 0 THEN date_trunc('second', ts) + INTERVAL 5 HOUR WHEN 1 THEN date_trunc('second', ts) - INTERVAL 90 MINUTE WHEN 2 THEN date_trunc('day', ts) WHEN 3 THEN date_trunc('minute', ts) - INTERVAL 1 HOUR
+  WHEN 4 THEN date_trunc('second', ts) + INTERVAL 4 HOUR WHEN 5 THEN date_trunc('second', ts) - INTERVAL 9 HOUR WHEN 6 THEN date_trunc('second', ts) - INTERVAL 9 HOUR WHEN 7 THEN date_trunc('second', ts) - INTERVAL 9 HOUR END AS parsed FROM events""")
+def feed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as feeds of nine kinds write them."""
+    f, k = lambda p: F.date_format("ts", p), F.col("event_id") % 9
+    hour, pm = F.hour("ts"), F.hour("ts") >= 12
+    half = F.concat(F.when(pm, dates.KOREAN["pm"]).otherwise(dates.KOREAN["am"]), F.lit(" "), F.when(pm, hour - 12).otherwise(hour).cast("string"))
+    month = lambda table: F.element_at(F.create_map(*[x for name, n in reversed(table.items()) for x in (F.lit(n), F.lit(name))]), F.month("ts"))
+    hungarian = F.concat(f("yyyy-"), month(dates.HUNGARIAN_MONTHS), f("-dd'T'H:mm"), F.lit("+01:00"))
+    greek = F.concat(F.element_at(F.array(*map(F.lit, dates.GREEK_DAYS)), F.dayofweek("ts")), f(", dd "), month({n: i for n, i in dates.GREEK_MONTHS.items() if n not in ("Μαώ", "Μαϊ", "Μαι", "Ιον", "Ιολ", "Αυγ", "Νοε")}), f(" yyyy HH:mm:ss"), F.lit(" EDT"))
+    korean = F.concat(f("yyyy"), F.lit(dates.KOREAN["year"]), f(" MM"), F.lit(dates.KOREAN["month"]), f(" dd"), F.lit(dates.KOREAN["day"]), f(" HH:mm:ss"))
+    v = (
+        F.when(k == 0, F.concat(f("EEE, d MMM yy HH:mm:ss"), F.lit(" ET"))).when(k == 1, F.concat(f("yyyyMMdd'T'HHmmss"), F.lit("+0130"))).when(k == 2, f("yyyy-DDD")).when(k == 3, hungarian).when(k == 4, greek)
+        .when(k == 5, f("yyyy-MM-dd HH:mm:ss.SSS")).when(k == 6, F.concat(f("yyyy-MM-dd "), half, f(":m:s"))).when(k == 7, korean).otherwise("no date")
+    )
+    return read(spark, sf_dir, "events").select("event_id", dates.parse_feed(v).alias("parsed"))

@@ -222,3 +222,14 @@ def test_division_by_zero_columns_and_errors(spark):
     for bad in ("1 if 2", "3 not 4", "[1, 2", "1 **", "* 2"):
         with pytest.raises(ExpressionError):
             compile_expression(bad)
+
+
+def test_dates_of_feeds(spark):
+    cases = {
+        "Thu, 01 Jan 2004 19:48:21 GMT": "2004-01-01 19:48:21", "1 January 04 19:48 PST": "2004-01-02 03:48:00", "01 Jan 2004": "2004-01-01 00:00:00", "2003-12-31T10:14:55.5-08:00": "2003-12-31 18:14:55",
+        "2003-335": "2003-12-01 00:00:00", "2004-július-13T9:15-05:00": "2004-07-13 14:15:00", "Κυρ, 11 Ιούλ 2004 12:00:00 EST": "2004-07-11 17:00:00", "2004-07-08 23:56:58.0": "2004-07-08 14:56:58",
+        "2004-05-25 오후 11:23:17": "2004-05-25 14:23:17", "2004년 05월 28일  01:31:15": "2004-05-27 16:31:15", "2004-05-25 오후 12:00:00": "2004-05-25 15:00:00", "2004": "2004-01-01 00:00:00", "Xyz, 11 Ιούλ 2004 12:00:00 EST": None,
+        "2004-foo-13T9:15-05:00": None, "": None, "31 Feb 2004 00:00:00 GMT": None, "01 Foo 2004": None, "01 Jan 2004 10:00:00 XYZ": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "d string")
+    assert {r.d: r.t for r in df.select("d", dates.parse_feed(F.col("d")).cast("string").alias("t")).collect()} == cases
