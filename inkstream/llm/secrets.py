@@ -129,7 +129,8 @@ def _of_kind(kind: int):
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Counts by kind, the digest of the base spans, all spans as text, and how many values look live or are shared."""
+    """Counts by kind, the digest of the base spans, all spans as text, what their owners say of each (`live` or `copied`),
+    and how many values look live or are shared."""
     name = F.array(*map(F.lit, KINDS))
     words = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["stop"])), ",")
     base = F.filter("judged", lambda s: s["kind"] < 3)
@@ -139,6 +140,7 @@ def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
         *[n(_of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(4)],
         F.sha2(words(base), 256).alias("base_sha256"),
         words(F.col("judged")).alias("spans"),
+        F.array_join(F.transform("judged", lambda s: F.when(s["shared"], "copied").otherwise("live")), ",").alias("verdicts"),
         n(lambda s: ~s["shared"]).alias("n_owner_specific"),
         n(lambda s: s["shared"]).alias("n_widely_copied"),
     )

@@ -91,3 +91,12 @@ def test_an_opaque_string_with_a_base_span_inside_is_masked_whole(spark):
     assert [x[:3] for x in s.candidates(key)] == [(0, 60, 3), (22, 38, 2)]
     assert [x[2] for x in s.candidates("0123456789abcdef" * 3)] == [2]
     assert s.mask_secrets(plain(spark, [(1, f"a {key} b")])).first().text == "a [live] b"
+
+
+def test_base_spans_are_judged_by_their_owners_as_well(spark):
+    """A password that several sources show is a copied example, one of a single source looks live; both stay."""
+    example, own = "correct-horse-battery", "q7Zk2LmX9vRt4WpY8"
+    docs = plain(spark, [(i, f'password = "{example}"') for i in range(3)] + [(9, f'password = "{own}" and token: {example}'), (10, "nothing")])
+    rows = {r.doc_id: r for r in s.digest(s.scan_secrets(docs)).collect()}
+    assert [rows[i].verdicts for i in (0, 1, 2, 9, 10)] == ["copied", "copied", "copied", "live,copied", ""]
+    assert [(rows[i].n_assign, rows[i].n_owner_specific, rows[i].n_widely_copied) for i in (0, 9)] == [(1, 0, 1), (2, 1, 1)]
