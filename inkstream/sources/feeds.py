@@ -18,14 +18,21 @@ from inkstream.sources.arrow import parse_column
 FEED = (
     "struct<version:string,bozo:boolean,title:string,link:string,subtitle:string,language:string,updated:string,"
     "entries:array<struct<id:string,title:string,link:string,summary:string,content:string,published:string,updated:string,"
-    "author:string,author_email:string,contributors:array<string>,categories:array<string>,enclosures:array<string>,source:string>>>"
+    "author:string,author_email:string,contributors:array<string>,categories:array<string>,enclosures:array<string>,source:string,"
+    "rights:string,license:string,comments:string,publisher:string,image:string,duration:string,explicit:boolean,block:boolean,created:string,expired:string,"
+    "tags:array<struct<term:string,scheme:string,label:string>>,media:array<struct<href:string,type:string,length:long>>>>,"
+    "author:string,author_email:string,rights:string,license:string,generator:string,publisher:string,image:string,icon:string,info:string,errors_to:string,ttl:int,"
+    "cloud:map<string,string>,textinput:struct<title:string,link:string,name:string,description:string>,explicit:boolean,block:boolean,tags:array<struct<term:string,scheme:string,label:string>>>"
 )
 #: Names under which a field may stand, best first (fixed values).
 NAMES = {
     "id": ("id", "guid"), "title": ("title",), "summary": ("summary", "description", "abstract", "subtitle"), "content": ("encoded", "content", "body", "fullitem"),
     "published": ("published", "pubDate", "issued", "date"), "updated": ("updated", "modified", "lastBuildDate", "lastmod", "date", "pubDate"), "subtitle": ("subtitle", "tagline", "description"),
     "language": ("language",), "author": ("author", "creator", "managingEditor", "publisher", "owner"),
-}
+    "rights": ("rights", "copyright"), "publisher": ("publisher", "webMaster"), "info": ("info",), "created": ("created",), "expired": ("expired", "expirationDate"),
+}
+#: The scheme of tags that podcasts name (fixed value).
+PODCAST = "http://www.itunes.com/"
 _MONTHS = {m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 
 
@@ -99,6 +106,57 @@ def _person(e: _Element) -> tuple[str, str]:
     return "", ""
 
 
+def _tags(e: _Element) -> list[dict]:
+    """Term, scheme and label of all tags, each once."""
+    out = []
+    for c in e:
+        low = c.tag.lower()
+        if low == "category":
+            podcast = "text" in c.attrs and not c.attrs.get("term")
+            out.append((c.attrs.get("term") or (c.attrs["text"] if podcast else c.text()), PODCAST if podcast else c.attrs.get("scheme") or c.attrs.get("domain"), c.attrs.get("label")))
+            out += [(n.attrs["text"], PODCAST, None) for n in c if "text" in n.attrs]
+        elif low == "subject":
+            out.append((c.text(), None, None))
+        elif low == "keywords":
+            out += [(w, PODCAST, None) for w in c.text().replace(",", " ").split()]
+    return [{"term": t, "scheme": s, "label": n} for t, s, n in dict.fromkeys(out) if t or n]
+
+
+def _image(e: _Element) -> str:
+    """An image by reference, else by the address it holds."""
+    return next((x for c in e.every("image") if (x := c.attrs.get("href") or c.attrs.get("resource") or c.find("url"))), "")
+
+
+def _license(e: _Element) -> str:
+    links = [c.attrs.get("href", "") for c in e.every("link") if c.attrs.get("rel") == "license"]
+    return next((x for x in [*links, *(c.attrs.get("resource") or c.text() for c in e.every("license"))] if x), "")
+
+
+def _details(e: _Element) -> dict:
+    """What feeds and entries have alike."""
+    said = {n: e.find(n).lower() for n in ("explicit", "block")}
+    return {"rights": e.find(*NAMES["rights"]), "license": _license(e), "publisher": e.find(*NAMES["publisher"]), "image": _image(e), "tags": _tags(e)} | {n: v == "yes" if v else None for n, v in said.items()}
+
+
+def _about(head: _Element) -> dict:
+    """What feeds have alone, besides title, link and language."""
+    name, mail = _person(head)
+    cloud = next((c.attrs for c in head.every("cloud")), None)
+    asked = next((c for c in head.every("textinput")), None)
+    ttl = head.find("ttl")
+    return _details(head) | {
+        "author": name, "author_email": mail, "generator": head.find("generator") or next((c.attrs.get("resource", "") for c in head.every("generatoragent")), ""), "icon": head.find("icon", "logo"), "info": head.find(*NAMES["info"]),
+        "errors_to": next((c.attrs.get("resource") or c.text() for c in head.every("errorreportsto")), ""), "ttl": int(ttl) if ttl.isdecimal() and len(ttl) < 10 else None, "cloud": dict(cloud) if cloud is not None else None,
+        "textinput": {n: asked.find(n) for n in ("title", "link", "name", "description")} if asked is not None else None,
+    }
+
+
+def _media(e: _Element) -> list[dict]:
+    found = [(c, c.attrs.get("url", "")) for c in e.every("enclosure")] + [(c, c.attrs.get("href", "")) for c in e.every("link") if c.attrs.get("rel") == "enclosure"]
+    size = lambda c: int(n) if (n := c.attrs.get("length", "")).isdecimal() and len(n) < 19 else None
+    return [{"href": href, "type": c.attrs.get("type"), "length": size(c)} for c, href in found]
+
+
 def _link(e: _Element) -> str:
     links = e.every("link", "logo" if e.tag.lower() == "channel" and "href" in e.attrs else "link")
     best = [x for x in links if x.attrs.get("rel", "alternate") == "alternate"]
@@ -117,7 +175,8 @@ def _entry(e: _Element) -> dict:
     summary, content = e.find(*NAMES["summary"]), e.find(*NAMES["content"])
     link = _link(e)
     published, updated = iso(e.find(*NAMES["published"])), iso(e.find(*NAMES["updated"]))
-    return {
+    return _details(e) | {
+        "comments": e.find("comments"), "duration": e.find("duration"), "created": iso(e.find(*NAMES["created"])), "expired": iso(e.find(*NAMES["expired"])), "media": _media(e),
         "id": e.find(*NAMES["id"]) or link, "title": e.find(*NAMES["title"]), "link": link, "summary": summary or content, "content": content or summary,
         "published": published or updated, "updated": updated or published, "author": name, "author_email": mail,
         "contributors": [c.find("name") or c.text() for c in e.every("contributor")], "categories": list(dict.fromkeys(t for t in tags if t)),
@@ -152,7 +211,7 @@ def parse_feed(text: str) -> dict:
         root = _Element(next((n for n in loose.walk() if n.tag in ("rss", "rdf", "feed", "channel")), loose))
     head = next((c for c in root if c.tag.lower() == "channel"), root)
     items = [c for part in ([head, root] if head.node is not root.node else [root]) for c in part if c.tag.lower() in ("item", "entry")]
-    return {
+    return _about(head) | {
         "version": _version(root), "bozo": bozo, "title": head.find("title") or head.attrs.get("title", ""), "link": _link(head), "subtitle": head.find(*NAMES["subtitle"]),
         "language": head.find("language") or root.attrs.get("lang", ""), "updated": iso(head.find(*NAMES["updated"])), "entries": [_entry(i) for i in items],
     }

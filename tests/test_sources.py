@@ -92,3 +92,21 @@ def test_objects():
 def test_unreadable_objects_are_null(spark):
     df = spark.createDataFrame([("<a>",), ("<a>1</a>",), (None,)], "x string")
     assert [json.loads(r.object) if r.object else None for r in objects.objects(df, "x", "xml").collect()] == [None, {"a": "1"}, None]
+
+
+PODCAST = """<rss version="2.0" xmlns:itunes="http://www.itunes.com/dtds/podcast-1.0.dtd" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:cc="http://web.resource.org/cc/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">
+<channel><title>P</title><copyright>all</copyright><generator>g 1.0</generator><ttl>60</ttl><webMaster>w@h (W)</webMaster><itunes:owner><itunes:name>Own</itunes:name><itunes:email>o@h</itunes:email></itunes:owner><itunes:explicit>no</itunes:explicit>
+<itunes:image href="http://h/i.png"/><itunes:category text="Arts"><itunes:category text="Food"/></itunes:category><cloud domain="d" port="80"/><textInput><title>Search</title><name>q</name><link>http://h/s</link></textInput>
+<item><title>E</title><comments>http://h/c</comments><itunes:duration>1:02:03</itunes:duration><itunes:explicit>yes</itunes:explicit><itunes:keywords>a b, a</itunes:keywords><category domain="http://x">c</category><dc:subject>s</dc:subject><dc:rights>mine</dc:rights>
+<cc:license rdf:resource="http://cc/by"/><enclosure url="http://h/1.mp3" type="audio/mpeg" length="123"/><enclosure url="http://h/2" length="many"/><created>2024-01-02</created></item></channel></rss>"""
+
+
+def test_details_of_feeds_and_entries(spark):
+    (row,) = feeds.feeds(spark.createDataFrame([(PODCAST,)], "x string"), "x").collect()
+    f, e = row.feed, row.feed.entries[0]
+    assert (f.rights, f.generator, f.ttl, f.publisher, f.author, f.author_email, f.explicit, f.block, f.image) == ("all", "g 1.0", 60, "w@h (W)", "Own", "o@h", False, None, "http://h/i.png")
+    assert [(t.term, t.scheme) for t in f.tags] == [("Arts", feeds.PODCAST), ("Food", feeds.PODCAST)]
+    assert f.cloud == {"domain": "d", "port": "80"} and (f.textinput.title, f.textinput.name, f.textinput.link) == ("Search", "q", "http://h/s")
+    assert (e.comments, e.duration, e.explicit, e.rights, e.license, e.created) == ("http://h/c", "1:02:03", True, "mine", "http://cc/by", "2024-01-02T00:00:00Z")
+    assert [(t.term, t.scheme) for t in e.tags] == [("a", feeds.PODCAST), ("b", feeds.PODCAST), ("c", "http://x"), ("s", None)]
+    assert [(m.href, m.type, m.length) for m in e.media] == [("http://h/1.mp3", "audio/mpeg", 123), ("http://h/2", None, None)]
