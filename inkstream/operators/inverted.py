@@ -97,7 +97,9 @@ def append(path: str, changed: DataFrame, key: str, field: str, deleted: DataFra
     known = batches(spark, path)
     gen = max(known, default=-1) + 1 if gen is None else gen
     earlier = [g for g in known if g < gen]
-    docs = changed.select(F.col(key).cast("long").alias("doc"), F.col(field).alias("text")).filter("doc is not null").groupBy("doc").agg(F.max("text").alias("text"))
+    docs = changed.select(F.col(key).cast("long").alias("doc"), F.col(field).alias("text")).filter("doc is not null")
+    if not docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # reads numbers alone; texts are shuffled only if some repeat
+        docs = docs.groupBy("doc").agg(F.max("text").alias("text"))
     tokens = docs.select("doc", words_of(F.col("text")).alias("w")).select("doc", F.size("w").alias("size"), "w")
     _write_postings(_postings(tokens), path, gen)
     tokens.select("doc", "size").write.mode("overwrite").parquet(f"{path}/docs/gen={gen}")

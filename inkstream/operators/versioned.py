@@ -20,19 +20,20 @@ BUCKETS = 64
 _LOG = "id string, at timestamp, buckets array<int>, commit long"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def log(spark: SparkSession, path: str) -> DataFrame:
     """(id, at, buckets, commit): a row for each commit."""
-    if not _exists(spark, f"{path}/log"):
+    if not exists(spark, f"{path}/log"):
         return spark.createDataFrame([], _LOG)
     return spark.read.schema(_LOG).parquet(f"{path}/log")
 
 
-def _bucket(keys: list[str]) -> Column:
+def bucket_of(keys: list[str]) -> Column:
+    """The bucket of a row, by its keys."""
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
@@ -48,7 +49,7 @@ def _buckets(spark: SparkSession, path: str, wanted: set[int] | None = None) ->
         for b in r.buckets:
             last[b] = max(last.get(b, -1), r.commit)
     found = [f"{path}/rows/commit={c}/bucket={b}" for b, c in sorted(last.items()) if wanted is None or b in wanted]
-    return [f for f in found if _exists(spark, f)]  # a bucket whose rows were all deleted has no folder
+    return [f for f in found if exists(spark, f)]  # a bucket whose rows were all deleted has no folder
 
 
 def _rows(spark: SparkSession, path: str, schema: T.StructType, folders: list[str]) -> DataFrame:
@@ -69,7 +70,7 @@ def history(spark: SparkSession, path: str, schema: str | T.StructType) -> DataF
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     now = current(spark, path, kind).withColumn("valid_to", F.lit(None).cast("timestamp"))
     commits = [r.commit for r in log(spark, path).select("commit").collect()]
-    folders = [f for f in (f"{path}/history/commit={c}" for c in commits) if _exists(spark, f)]
+    folders = [f for f in (f"{path}/history/commit={c}" for c in commits) if exists(spark, f)]
     if not folders:
         return now
     closed = T.StructType([*kind.fields, T.StructField("valid_from", T.TimestampType()), T.StructField("valid_to", T.TimestampType())])
@@ -97,9 +98,9 @@ def merge(path: str, found: DataFrame, keys: list[str], at: Column, order: list[
     number = max(done.values(), default=-1) + 1
     rest = [c for c in found.columns if c not in keys]
     new = first_wins(found, keys, order or [*rest, *keys]).select(*found.columns)
-    touched = new.select(_bucket(keys).alias("b"))
+    touched = new.select(bucket_of(keys).alias("b"))
     if gone is not None:
-        touched = touched.union(gone.select(_bucket(keys).alias("b")))
+        touched = touched.union(gone.select(bucket_of(keys).alias("b")))
     buckets = sorted(r.b for r in touched.distinct().collect())  # BUCKETS rows at most
     if not buckets:
         return None
@@ -123,7 +124,7 @@ def merge(path: str, found: DataFrame, keys: list[str], at: Column, order: list[
     changed = there & came & differs
     deleted = F.col("_gone").isNotNull() & ~came  # a row that is found and gone is found
     state = both.withColumns({"_changed": changed, "_deleted": deleted}).withColumns({"_now": F.struct(*[value[c].alias(c) for c in rest]) if rest else F.struct(F.lit(1).alias("_"))})
-    state = state.withColumn("bucket", _bucket(keys))
+    state = state.withColumn("bucket", bucket_of(keys))
     rows = state.filter(~F.col("_deleted")).select(*keys, *[F.col(f"_now.{c}").alias(c) for c in rest], F.when(there & ~F.col("_changed"), F.col("_from")).otherwise(at).alias("valid_from"), "bucket")
     rows.select(*found.columns, "valid_from", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/commit={number}")
     closed = state.filter(there & (F.col("_changed") | F.col("_deleted"))).select(*keys, *[F.col(f"_{i}").alias(c) for i, c in enumerate(rest)], F.col("_from").alias("valid_from"), at.alias("valid_to"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstream.operators import versioned
+from inkstream.operators.runs import first_wins
 
 #: Seconds for which a cached page is fresh, and after which it is dropped (the reference values of a polite crawl).
 FRESH_S, STALE_S = 300, 30 * 86_400
@@ -48,19 +49,27 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", dela
 def upsert_into(path: str, keys: list[str], order: list[str]):
     """A foreachBatch function: of each batch the first row of every key that the table lacks is added.
 
-    The table is a versioned one; of it the buckets of the batch's keys are read, whatever the batch's number. A batch that
-    is repeated, also under a new checkpoint, finds its keys and adds nothing.
+    The table lies in buckets of its keys; of it the keys in the batch's buckets are read, whatever the batch's number. A
+    batch that is repeated, also under a new checkpoint, finds its keys and adds nothing; one that broke off adds what it
+    had not yet. Null is a key like any other.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        versioned.merge(path, batch, keys, F.current_timestamp(), order, insert_only=True)
+        spark = batch.sparkSession
+        new = first_wins(batch, keys, order).withColumn("bucket", versioned.bucket_of(keys))
+        if versioned.exists(spark, path):
+            buckets = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS rows at most
+            earlier = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(buckets))
+            held = earlier.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+            new = new.join(held, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)], "left_anti")
+        new.write.mode("append").partitionBy("bucket").parquet(path)
 
     return write
 
 
 def upserted(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows that upsert_into has put into a table."""
-    return versioned.current(spark, path, schema).drop("valid_from")
+    return spark.read.schema(f"{schema}, bucket int").parquet(path).drop("bucket")
 
 
 def finish(stream: DataFrame, checkpoint: str, write=None, name: str | None = None, mode: str = "append") -> None:
