@@ -116,3 +116,16 @@ def due_times(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
     """(key, due): the refresh times that a stopped query holds, read from its state as a table."""
     state = spark.read.format("statestore").option("stateVarName", "due").load(checkpoint)
     return state.select(F.col(f"key.{key}").alias(key), F.timestamp_micros(F.col("value.at")).alias("due"))
+
+
+def remaining(spark: SparkSession, checkpoint: str, key: str, ts: str, minutes: int = 120) -> DataFrame:
+    """(key, ts, asked): what `refreshes` without `keep` would still give for requests that a stopped query holds because
+    the watermark has not passed them. For a finite input these rows and the stream's own are all there are. A key's
+    requests of the watermark's delay meet in one row."""
+    state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    waiting = state("waiting").groupBy(F.col(f"key.{key}").alias(key)).agg(F.sort_array(F.collect_list("list_element.at")).alias("asked"))
+    due = state("due").select(F.col(f"key.{key}").alias("_key"), F.col("value.at").alias("due"))
+    start = F.struct(F.col("due").alias("due"), F.array().cast("array<bigint>").alias("taken"))
+    take = lambda at, t: F.when(at["due"].isNull() | (t >= at["due"]), F.struct((t + minutes * _MINUTE).alias("due"), F.concat(at["taken"], F.array(t)).alias("taken"))).otherwise(at)
+    taken = waiting.join(due, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.explode(F.aggregate("asked", start, take, lambda at: at["taken"])).alias("at"))
+    return taken.select(key, F.timestamp_micros("at").alias(ts), F.lit(True).alias("asked"))

@@ -92,3 +92,22 @@ def test_known_pages_and_state_as_a_table(spark, tmp_path):
     assert [x for x in got if x[0] != "z"] == [("a", 110, True), ("c", 5, True)]
     due = {x.k: int((x.due - T0).total_seconds() // 60) for x in refresh.due_times(spark, str(tmp_path / "log"), "k").collect()}
     assert due["a"] == 230 and due["c"] == 125
+
+
+def test_requests_that_the_watermark_has_not_passed_are_taken_from_the_state(spark, tmp_path):
+    asked = {"a": [5, 60, 125, 130, 240, 250, 395, 400, 400], "b": [391, 399], "c": [270, 389, 392], "d": [1]}
+    r = Requests(spark, tmp_path)
+    for part in (0, 1):
+        r.put(*[(k, m) for k, ms in asked.items() for i, m in enumerate(ms) if i % 2 == part])
+    got = r.run()
+    rest = _minutes(refresh.remaining(spark, str(tmp_path / "log"), "k", "ts").collect())
+    assert rest and sorted(got + rest) == [(k, *x) for k, ms in sorted(asked.items()) for x in expected(ms, 120, 500)]
+
+
+def test_stream_due_reaches_the_end_of_the_input(spark, tmp_path):
+    from inkstream.plans.registry import QUERIES
+
+    rows = [(i, u, T0 + dt.timedelta(minutes=m)) for i, (u, m) in enumerate([(1, 0), (1, 130), (1, 260), (2, 255), (3, 10)])]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.user_id, int((r.ts - T0).total_seconds() // 60)) for r in QUERIES["stream_due"](spark, str(tmp_path)).collect())
+    assert got == [(1, 0), (1, 130), (1, 260), (2, 255), (3, 10)]
