@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from inkstream.shared import settled
 from inkstream.shipping import ship
+from inkstream.sources.arrow import slices
 
 #: Bytes of names in one block; their automaton takes some 60 times that in each Python worker.
 BLOCK_BYTES = 2 << 20
@@ -79,7 +80,7 @@ def _undisputed(batches: Iterator) -> Iterator:
     """(_row, mentions by offset, longest first at a place) without overlaps."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1, 64)):
         kept = [leftmost([(m["offset"], m["length"], m) for m in found]) for found in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[m for _, _, m in x] for x in kept], batch.schema.field(1).type)], schema=batch.schema)
 
@@ -130,19 +131,25 @@ def _pass(rows: DataFrame, block: list[tuple[str, list[str]]], fold: bool, kept:
     sent, mark = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
     schema = StructType([*rows.select(*kept).schema.fields, *_parse_datatype_string(f"mentions {_MENTION}").fields])
     arrow = to_arrow_schema(schema)
+    listed = arrow.field("mentions").type
+    item = listed.value_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if mark not in _BUILT:
             _BUILT.clear()
             _BUILT[mark] = Names(sent.value, fold)
         known = _BUILT[mark]
-        for batch in batches:
-            out = []
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            flat, ends = [], [0]
             for t in batch.column("text").to_pylist():
                 found = known.find(t) if t else []
-                chosen = leftmost(found) if settle_overlaps else found
-                out.append([{"offset": s, "length": n, "name": known.names[i][0], "kinds": known.names[i][1]} for s, n, i in chosen])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, arrow.field("mentions").type)], schema=arrow)
+                flat += leftmost(found) if settle_overlaps else found
+                ends.append(len(flat))
+            offsets, lengths, which = zip(*flat, strict=True) if flat else ((), (), ())
+            kinds = [known.names[i][1] for i in which]
+            columns = [pa.array(offsets, pa.int32()), pa.array(lengths, pa.int32()), pa.array([known.names[i][0] for i in which], pa.string()), pa.array(kinds, item.field("kinds").type)]
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(item)), type=listed)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], schema=arrow)
 
     return rows.select(*kept, "text").mapInArrow(run, schema)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -12,6 +14,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from inkstream.shipping import ship
 
 
+#: Rows, and bytes of the column that is parsed, that are Python objects at a time.
+SLICE_ROWS, SLICE_BYTES = 1_024, 1 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str | int, rows: int = SLICE_ROWS, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of at most so many rows and bytes of a column of texts; a longer text is a run of its own. What is
+    made of a run is given on before the next is read, so a worker's memory does not grow with its batches."""
+    values, at = batch.column(column), 0
+    long = pa.types.is_string(values.type) or pa.types.is_large_string(values.type) or pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64) if long else np.zeros(len(values), np.int64)
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = min(max(int(np.searchsorted(ends, before + limit, side="right")), at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def parse_column(df: DataFrame, column: str, parse: Callable[[object], object], out: str, kind: str, error: str | None = None) -> DataFrame:
     """df with a further column: parse(value) for each value; null stays null. Runs in Arrow batches, without a shuffle.
 
@@ -32,7 +51,7 @@ def parse_column(df: DataFrame, column: str, parse: Callable[[object], object],
             return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, column)):
             found = [one(v) for v in batch.column(column).to_pylist()]
             more = [pa.array([e for _, e in found], pa.string())] if error else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], field.type), *more], schema=arrow)
