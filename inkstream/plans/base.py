@@ -17,11 +17,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows of a task with much to do for each: a scan's tasks are cut by the bytes of its files, of which small columns have few.
+ROWS_A_TASK = 25_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table's rows over at least half as many partitions as there are cores, for steps in Python: a scan of one small
-    file is one task. df is a scan with projections; larger tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.queryExecution().executedPlan().execute().getNumPartitions() <= cores else df
+    """A table's rows over at least half as many partitions as there are cores, and as rows by ROWS_A_TASK, for steps in
+    Python or on variants. df is a scan with projections, of which the rows are counted; give it before its rows are made longer."""
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+    return df.repartition(wanted) if 2 * df._jdf.queryExecution().executedPlan().execute().getNumPartitions() <= wanted else df
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
