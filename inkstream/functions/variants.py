@@ -6,6 +6,8 @@ of keys with one slug the last in the order of keys counts. Empty texts are left
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,31 +30,45 @@ def text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it: what stands in functions of elements is made anew for
+    each mention and each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def fields(v: Column) -> Column:
     """An object's values by slugs, without empty texts; null for what is no object."""
     entries = F.map_entries(F.try_variant_get(v, "$", _OBJECT))
     named = F.transform(entries, lambda e: F.named_struct(F.lit("key"), slug(e["key"]), F.lit("value"), e["value"]))
     kept = F.filter(named, lambda e: ~F.coalesce(text(e["value"]) == "", F.lit(False)))
     # Later entries of one slug win: the map is built from those that no later one shares it with.
-    keys = F.transform(kept, lambda e: e["key"])
-    last = F.filter(kept, lambda e, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), e["key"]) == 0)
-    return F.map_from_entries(last)
+    last = lambda kept, keys: F.filter(kept, lambda e, i: F.array_position(F.slice(keys, i + 2, F.size(keys)), e["key"]) == 0)
+    return F.map_from_entries(_once(kept, lambda k: _once(F.transform(k, lambda e: e["key"]), lambda keys: last(k, keys))))
 
 
 def elements(v: Column) -> Column:
     """A list's elements; of anything else that is there a list of it alone."""
-    listed = F.try_variant_get(v, "$", _LIST)
-    return F.when(listed.isNotNull(), listed).when(v.isNotNull() & ~F.is_variant_null(v), F.array(v)).otherwise(F.array().cast(_LIST))
+    alone = lambda x: F.when(x.isNotNull() & ~F.is_variant_null(x), F.array(x)).otherwise(F.array().cast(_LIST))
+    return _once(v, lambda x: F.coalesce(F.try_variant_get(x, "$", _LIST), alone(x)))
 
 
 def at(v: Column, path: str) -> Column:
     """What stands at a path of slugs, `a.b.c`; on the way a list stands for its first element."""
     for step in path.split(".") if path else []:
-        first = F.coalesce(F.get(F.try_variant_get(v, "$", _LIST), F.lit(0)), v)
-        v = F.try_element_at(fields(first), F.lit(step))
+        v = _once(v, _reader(step))
     return v
 
 
+def _reader(step: str) -> Callable[[Column], Column]:
+    return lambda x: _field(F.coalesce(F.get(F.try_variant_get(x, "$", _LIST), F.lit(0)), x), step)
+
+
+def _field(v: Column, name: str) -> Column:
+    """`fields(v)[name]`, without the other fields."""
+    said = F.filter(F.map_entries(F.try_variant_get(v, "$", _OBJECT)), lambda e: (e["key"] == name) | (slug(e["key"]) == name))
+    return F.try_element_at(F.filter(said, lambda e: ~F.coalesce(text(e["value"]) == "", F.lit(False))), F.lit(-1))["value"]
+
+
 def items(payloads: DataFrame, column: str, keys: list[str], page: str, path: str, page_limit: int = 3, item_limit: int = -1) -> DataFrame:
     """Items of saved pages: keys, page, index (from 0 over all pages of the keys) and the item as a variant. -1: no limit.
 
