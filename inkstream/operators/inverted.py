@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -32,8 +32,10 @@ CELL_BITS = 12
 BUCKETS = 64
 #: Cells that an early-stopping query scores before it rules out others.
 FIRST_CELLS = 16
-#: Rows up to which dead documents are broadcast.
-BROADCAST_ROWS = 100_000
+#: Parts of a bucket's cells when postings are written.
+PARTS = 8
+#: Rows, of two numbers each, up to which dead documents are broadcast; beyond it the entries of postings are shuffled.
+BROADCAST_ROWS = 1_000_000
 _SCHEMAS = {
     "postings": "term string, cell long, n int, most int, least int, docs array<long>, tfs array<int>, sizes array<int>, gen long, bucket int",
     "docs": "doc long, size int, gen long",
@@ -64,16 +66,21 @@ def _live(spark: SparkSession, path: str, name: str, gens: list[int]) -> DataFra
     return _table(spark, path, name).filter(F.col("gen").isin(gens))
 
 
+def _cell() -> Column:
+    return F.shiftright("doc", CELL_BITS).alias("cell")
+
+
 def _postings(tokens: DataFrame) -> DataFrame:
-    """(doc, size, w) as rows of the postings: counted within documents, then gathered by term and cell."""
-    counted = tokens.select("doc", "size", F.explode("w").alias("term")).groupBy("term", "doc", "size").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return _cells(counted)
+    """(doc, size, w) as rows of the postings: counted within documents, then gathered by term and cell. Nothing is shuffled
+    if the tokens have their cell beside them and are dealt by it."""
+    words = tokens.select("doc", "size", "cell" if "cell" in tokens.columns else _cell(), F.explode("w").alias("term"))
+    return _cells(words.groupBy("term", "cell", "doc", "size").agg(F.count(F.lit(1)).cast("int").alias("tf")))
 
 
 def _cells(entries: DataFrame) -> DataFrame:
-    """Entries (term, doc, tf, size) gathered by term and cell: 4,096 at most in each."""
+    """Entries (term, cell, doc, tf, size), dealt by cell, gathered by term and cell: 4,096 at most in each."""
     entry = F.struct("doc", "tf", "size")
-    cells = entries.groupBy("term", F.shiftright("doc", CELL_BITS).alias("cell")).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    cells = entries.groupBy("term", "cell").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     each = lambda name: F.transform("e", lambda x: x[name])
     return cells.select(
         "term", "cell", F.size("e").alias("n"), F.array_max(each("tf")).alias("most"), F.array_min(each("size")).alias("least"),
@@ -82,9 +89,10 @@ def _cells(entries: DataFrame) -> DataFrame:
 
 
 def _write_postings(rows: DataFrame, path: str, gen: int) -> None:
-    """In files by bucket, sorted by term and cell; a bucket with a frequent term spreads over several tasks and files."""
+    """In files by bucket, sorted by term and cell; a bucket spreads over several tasks and files by its cells, so one with
+    a frequent term does too. Dealt by hash: ranges would make the rows twice, once to sample them."""
     at = rows.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int"))
-    sorted_rows = at.repartitionByRange("bucket", "term", "cell").sortWithinPartitions("bucket", "term", "cell")
+    sorted_rows = at.repartition("bucket", F.pmod("cell", F.lit(PARTS))).sortWithinPartitions("bucket", "term", "cell")
     sorted_rows.write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("bucket").parquet(f"{path}/postings/gen={gen}")
 
 
@@ -100,9 +108,11 @@ def append(path: str, changed: DataFrame, key: str, field: str, deleted: DataFra
     docs = changed.select(F.col(key).cast("long").alias("doc"), F.col(field).alias("text")).filter("doc is not null")
     if not docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():  # reads numbers alone; texts are shuffled only if some repeat
         docs = docs.groupBy("doc").agg(F.max("text").alias("text"))
-    tokens = docs.select("doc", words_of(F.col("text")).alias("w")).select("doc", F.size("w").alias("size"), "w")
-    _write_postings(_postings(tokens), path, gen)
-    tokens.select("doc", "size").write.mode("overwrite").parquet(f"{path}/docs/gen={gen}")
+    tokens = docs.select("doc", F.size(words_of(F.col("text"))).alias("size"))
+    # Texts are dealt by cell, some thousand documents each, instead of their words by term.
+    dealt = docs.select("doc", _cell(), "text").repartition("cell").select("doc", "cell", words_of(F.col("text")).alias("w"))
+    _write_postings(_postings(dealt.select("doc", "cell", F.size("w").alias("size"), "w")), path, gen)
+    tokens.write.mode("overwrite").parquet(f"{path}/docs/gen={gen}")
     written = spark.read.schema("doc long, size int").parquet(f"{path}/docs/gen={gen}")
     touched = written.select("doc")
     if deleted is not None:
@@ -136,7 +146,8 @@ def merge(path: str, spark: SparkSession) -> int:
     """All batches as one, without what is dead; later queries read that alone. Returns its number."""
     gens = batches(spark, path)
     gen = max(gens) + 1
-    hits = _without_dead(_entries(_live(spark, path, "postings", gens)), _live(spark, path, "dead", gens))
+    blocks = _live(spark, path, "postings", gens).select("term", "gen", "cell", "docs", "tfs", "sizes").repartition("cell")  # as they are, not by entry
+    hits = _without_dead(_entries(blocks, "cell"), _live(spark, path, "dead", gens))
     _write_postings(_cells(hits), path, gen)
     current(spark, path, gens).write.mode("overwrite").parquet(f"{path}/docs/gen={gen}")
     spark.createDataFrame([], "doc long").write.mode("overwrite").parquet(f"{path}/dead/gen={gen}")
@@ -155,10 +166,10 @@ def _blocks(spark: SparkSession, path: str, words: list[str], gens: list[int]) -
     return _live(spark, path, "postings", gens).filter(F.col("bucket").isin(buckets) & F.col("term").isin(words))
 
 
-def _entries(blocks: DataFrame) -> DataFrame:
-    """(term, gen, doc, tf, size) of blocks."""
+def _entries(blocks: DataFrame, *more: str) -> DataFrame:
+    """(term, gen, doc, tf, size) of blocks, and more of their columns."""
     zipped = F.explode(F.arrays_zip("docs", "tfs", "sizes")).alias("e")
-    return blocks.select("term", "gen", zipped).select("term", "gen", F.col("e.docs").alias("doc"), F.col("e.tfs").alias("tf"), F.col("e.sizes").alias("size"))
+    return blocks.select("term", "gen", *more, zipped).select("term", "gen", *more, F.col("e.docs").alias("doc"), F.col("e.tfs").alias("tf"), F.col("e.sizes").alias("size"))
 
 
 def _weight(tf, size, average):

@@ -90,3 +90,13 @@ def test_a_batch_without_totals_does_not_count(spark, tmp_path):
     inverted.append(path, _docs(spark, [(1, "a", None)]), "id", "body")
     inverted._write_postings(inverted._postings(spark.sql("select 9L doc, 1 size, array('a') w")), path, 1)
     assert set(_scores(inverted.ranked(spark, path, "a", "id"))) == {1}
+
+
+def test_words_are_not_shuffled_when_postings_are_made(spark):
+    """Before, every pair of a word and a document was shuffled twice."""
+    dealt = spark.range(100).selectExpr("id doc", "shiftright(id, 12) cell", "1 size", "array('a', 'b', 'a') w").repartition("cell")
+    rows = inverted._postings(dealt)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.term, r.n, r.most) for r in rows.collect()) == [("a", 100, 2), ("b", 100, 1)]
