@@ -16,6 +16,12 @@ def _settled(df: DataFrame) -> DataFrame:
     return settled(df.coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "closure")
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """For joins with tables that grow with the nodes: by sorting. A file of numbers is some tenth of what they take as
+    rows, so by its size Spark would broadcast tables of millions of rows, in each round, through the driver."""
+    return df.hint("merge")
+
+
 def profile(triples: DataFrame, predicates: dict[str, str]) -> DataFrame:
     """A row for each subject with the (least) object of every named predicate, null where there is none.
 
@@ -39,7 +45,7 @@ def _doubled(active: DataFrame, combine: dict[str, Column], state: DataFrame) ->
     A node that many jump to is one row of the side that is looked up; AQE splits the rows that look it up.
     """
     held = state.select(F.col("id").alias("jump"), *[F.col(c).alias(f"_{c}") for c in state.columns if c != "id"])
-    return active.join(held, "jump", "left").select("id", *[c.alias(name) for name, c in combine.items()])
+    return active.join(_sorted(held), "jump", "left").select("id", *[c.alias(name) for name, c in combine.items()])
 
 
 def tree_ends(nodes: DataFrame) -> DataFrame:
@@ -56,7 +62,7 @@ def tree_ends(nodes: DataFrame) -> DataFrame:
     there = known.select(F.col("id").alias("parent"), F.lit(True).alias("_there"))
     step = F.when(F.col("_there"), F.col("parent"))
     state = _settled(
-        known.join(there, "parent", "left").select(
+        known.join(_sorted(there), "parent", "left").select(
             "id", step.alias("jump"), F.when(step.isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("id").alias("low"),
             F.when(F.col("parent").isNull(), F.struct(F.lit("root").alias("kind"), F.col("id").alias("top")))
             .when(F.col("_there").isNull(), F.struct(F.lit("orphan").alias("kind"), F.col("parent").alias("top"))).alias("end"),
@@ -83,7 +89,7 @@ def tree_ends(nodes: DataFrame) -> DataFrame:
     lost = state.filter("end is null")
     names = lost.select(F.col("id").alias("jump"), F.col("low").alias("top"))
     ended = state.filter("end is not null").select("id", "end.kind", "depth", "end.top")
-    return ended.unionByName(lost.join(names, "jump").select("id", F.lit("cycle").alias("kind"), F.lit(None).cast("long").alias("depth"), "top"))
+    return ended.unionByName(lost.join(_sorted(names), "jump").select("id", F.lit("cycle").alias("kind"), F.lit(None).cast("long").alias("depth"), "top"))
 
 
 def flatten_tree(nodes: DataFrame, separator: str = "/") -> DataFrame:
@@ -96,11 +102,11 @@ def flatten_tree(nodes: DataFrame, separator: str = "/") -> DataFrame:
     rows = _settled(once.select("id", "n.parent", "n.title"))
     ends = _settled(tree_ends(rows))
     jump = F.when((F.col("depth") > 0) & (F.col("kind") != "cycle"), F.col("parent"))
-    state = _settled(rows.join(ends.filter("kind <> 'cycle'"), "id").select("id", jump.alias("jump"), F.array_compact(F.array("title")).alias("titles")))
+    state = _settled(rows.join(_sorted(ends.filter("kind <> 'cycle'")), "id").select("id", jump.alias("jump"), F.array_compact(F.array("title")).alias("titles")))
     combine = {"jump": F.col("_jump"), "titles": F.concat("_titles", "titles")}
     while not state.filter("jump is not null").isEmpty():
         state = _settled(_doubled(state.filter("jump is not null"), combine, state).unionByName(state.filter("jump is null")))
-    return ends.join(state.select("id", F.array_join("titles", separator).alias("path")), "id", "left").select("id", "kind", "depth", "top", "path")
+    return ends.join(_sorted(state.select("id", F.array_join("titles", separator).alias("path"))), "id", "left").select("id", "kind", "depth", "top", "path")
 
 
 def follow_next(start: DataFrame, links: DataFrame) -> DataFrame:
@@ -116,7 +122,7 @@ def follow_next(start: DataFrame, links: DataFrame) -> DataFrame:
     jumps, size = [single], single.count()
     while (1 << len(jumps)) <= size:
         far = jumps[-1].select(F.col("src").alias("dst"), F.col("dst").alias("_dst"))
-        jump = _settled(jumps[-1].join(far, "dst").select("src", F.col("_dst").alias("dst")))
+        jump = _settled(jumps[-1].join(_sorted(far), "dst").select("src", F.col("_dst").alias("dst")))
         if jump.isEmpty():
             break
         jumps.append(jump)
@@ -124,7 +130,7 @@ def follow_next(start: DataFrame, links: DataFrame) -> DataFrame:
     seen, front = None, _settled(start.select("page").distinct().filter("page is not null").withColumn("hops", F.lit(0)))
     while True:
         for k, jump in enumerate(jumps):
-            there = front.join(jump, F.col("page") == F.col("src")).select(F.col("dst").alias("page"), (F.col("hops") + (1 << k)).alias("hops"))
+            there = front.join(_sorted(jump), F.col("page") == F.col("src")).select(F.col("dst").alias("page"), (F.col("hops") + (1 << k)).alias("hops"))
             front = _settled(least(front.unionByName(there)))
         if seen is not None:
             front = front.join(seen.withColumnRenamed("hops", "_hops"), "page", "left").filter("_hops is null or hops < _hops").drop("_hops")

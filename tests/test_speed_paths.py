@@ -59,3 +59,12 @@ def test_checked_pages_tell_each_part_alone(monkeypatch):
     assert ht.checked(page) == want
     monkeypatch.setattr(ht, "sanitize", lambda t: 1 / 0)
     assert ht.checked(page) == want | {"safe": None}
+
+
+def test_rounds_over_trees_broadcast_nothing(spark):
+    """Before, Spark broadcast the side that is looked up, by the size of its file."""
+    from inkstream.operators import graph
+
+    state = spark.range(10).selectExpr("id", "id + 1 jump", "0L depth")
+    plan = graph._doubled(state, {"jump": F.col("_jump")}, state)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
