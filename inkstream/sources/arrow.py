@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -16,6 +16,15 @@ from inkstream.shipping import ship
 
 #: Rows, and bytes of the column that is parsed, that are Python objects at a time.
 SLICE_ROWS, SLICE_BYTES = 1_024, 1 << 20
+#: Bytes of a batch that Spark gives to a worker, which holds two of them at a time; a longer row is a batch of its own or its last.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bytes of an Arrow batch (64 MB by default) to BATCH_BYTES; what is lower already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def slices(batch: pa.RecordBatch, column: str | int, rows: int = SLICE_ROWS, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -35,8 +44,10 @@ def parse_column(df: DataFrame, column: str, parse: Callable[[object], object],
     """df with a further column: parse(value) for each value; null stays null. Runs in Arrow batches, without a shuffle.
 
     A value that parse raises on gives null and leaves the other rows alone; `error` names a column for what it said.
+    Lowers the session's bytes of an Arrow batch.
     """
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     added = f"{out} {kind}" + (f", {error} string" if error else "")
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields])
     arrow = to_arrow_schema(schema)
